@@ -56,9 +56,10 @@ def scan_session(
     return network_inventory(heard)
 
 
-def scan_windows(beacons: DataFrame, seconds: int = 30) -> DataFrame:
-    """Inventory per tumbling scan window."""
-    window = F.window(F.timestamp_micros("capture_us"), f"{seconds} seconds")
+def scan_windows(beacons: DataFrame, seconds: int = 30, time: str | None = None) -> DataFrame:
+    """Inventory per tumbling scan window; ``time`` names a timestamp column, if there is one."""
+    moment = F.timestamp_micros("capture_us") if time is None else F.col(time)
+    window = F.window(moment, f"{seconds} seconds")
     return (
         beacons.groupBy(window.alias("window"), "bssid")
         .agg(*_inventory_columns())
