@@ -73,3 +73,63 @@ def _table(spark: SparkSession, data_dir: str, name: str, build) -> DataFrame:
         source = spark.read.parquet(f"{data_dir.rstrip('/')}/events.parquet")
         _tables[key] = materialise(build(source), name)
     return _tables[key]
+
+
+def _octets(value, width: int):
+    """Little-endian hexadecimal text of an integer column."""
+    big_endian = F.lpad(F.hex(value.cast("bigint")), 2 * width, "0")
+    pairs = F.regexp_extract_all(big_endian, F.lit("(..)"), F.lit(1))
+    return F.array_join(F.reverse(pairs), "")
+
+
+def _element(number: int, info):
+    """Hexadecimal text of one information element."""
+    return F.concat(F.lit(f"{number:02X}"), F.lpad(F.hex((F.length(info) / 2).cast("int")), 2, "0"), info)
+
+
+def frames_from_beacons(rows: DataFrame) -> DataFrame:
+    """802.11 beacon frames that carry the values of beacon rows.
+
+    One frame in 50 is unusable: another subtype, a truncated header, or no elements.
+    """
+    mac = F.replace("bssid", F.lit(":"), F.lit(""))
+    rates = F.transform(
+        F.split("supported_rates", ","),
+        lambda r: F.lpad(F.hex((r.cast("double") * 2).cast("int")), 2, "0"),
+    )
+    extended = F.size(rates) > 8
+    rsn = F.col("security") == "WPA2/WPA3"
+    base = 3 + extended.cast("int") + rsn.cast("int")
+    filler = F.repeat(_element(221, F.lit("00904C0418")), (F.col("ie_count") - base).cast("int"))
+    elements = F.concat(
+        _element(0, F.hex("ssid")),
+        _element(1, F.array_join(F.slice(rates, 1, 8), "")),
+        _element(3, _octets(F.col("channel"), 1)),
+        F.when(extended, _element(50, F.array_join(F.slice(rates, 9, 8), ""))).otherwise(""),
+        F.when(rsn, _element(48, F.lit("0100"))).otherwise(""),
+        filler,
+    )
+    case = F.col("frame_id") % 150
+    header = F.concat(
+        F.when(case == 0, "4000").otherwise("8000"), F.lit("0000"), F.lit("F" * 12), mac, mac,
+        _octets(F.col("seq_num") * 16, 2),
+    )
+    fixed = F.concat(
+        _octets(F.col("beacon_timestamp"), 8), _octets(F.col("beacon_interval"), 2),
+        _octets(F.col("capabilities"), 2),
+    )
+    text = (
+        F.when(case == 1, header)
+        .when(case == 2, F.concat(header, fixed))
+        .otherwise(F.concat(header, fixed, elements))
+    )
+    return rows.select(
+        "frame_id", "sensor_id", "session_id", "capture_us", "rssi", F.unhex(text).alias("frame")
+    )
+
+
+def frames(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The derived ``frames`` table."""
+    return _table(
+        spark, data_dir, "frames", lambda events: frames_from_beacons(beacons(spark, data_dir))
+    )

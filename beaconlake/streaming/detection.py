@@ -16,9 +16,10 @@ from beaconlake.operators.decode import decode_frames, observations
 from beaconlake.operators.deviations import STATISTICS, with_profile
 from beaconlake.operators.iforest import BROADCAST_NODES, Forest, pack_trees, path_scores
 from beaconlake.operators.inventory import scan_windows
+from beaconlake.operators.ranking import bucketed_row_number
 from beaconlake.operators.rules import with_reasons
 from beaconlake.schema import (
-    BEACON_SCHEMA, COUNT_TOLERANCE, DUPLICATE_GAP_US, EVIDENCE_WEIGHTS, FRAME_SCHEMA, HISTORY, KEY,
+    BEACON_SCHEMA, COOLDOWN_US, COUNT_TOLERANCE, DUPLICATE_GAP_US, EVIDENCE_WEIGHTS, FRAME_SCHEMA, HISTORY, KEY,
     MIN_HISTORY, MODEL_THRESHOLD, ORDER, REQUIRED_STREAK, SECURITY_CODES, SEQ_MODULUS, SKEW_FLOOR,
     SKEW_GAP_US, SKEW_SIGMAS, STRONG_EVIDENCE, SUSPICION_THRESHOLD, UNKNOWN,
 )
@@ -259,6 +260,18 @@ def collect_baseline(frames: DataFrame, table: str, checkpoint: str, **trigger)
     )
 
 
+def _numbered(alerts: DataFrame, alerts_path: str, batch: int) -> DataFrame:
+    """Continue the running alert number from the batches before this one."""
+    spark = alerts.sparkSession
+    earlier = 0
+    if batch > 0:
+        stored = spark.read.option("basePath", alerts_path).parquet(f"{alerts_path}/batch=*")
+        earlier = stored.filter(F.col("batch") < batch).count()
+    bucket = F.expr(f"capture_us div {COOLDOWN_US}")
+    ranked = bucketed_row_number(alerts, [], bucket, [*ORDER, *KEY], "alert_number")
+    return ranked.withColumn("alert_number", F.col("alert_number") + earlier)
+
+
 def run_detection(
     detected: DataFrame, alerts_path: str, checkpoint: str, log_path: str | None = None,
     late_path: str | None = None, **trigger,
@@ -272,10 +285,10 @@ def run_detection(
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            alerts = alerts_of(batch)
-            alerts.write.mode("overwrite").parquet(f"{alerts_path}/batch={number}")
+            path = f"{alerts_path}/batch={number}"
+            _numbered(alerts_of(batch), alerts_path, number).write.mode("overwrite").parquet(path)
             if log_path is not None:
-                log = alert_log(alerts.withColumn("alert_number", F.col("frame_id")))
+                log = alert_log(batch.sparkSession.read.parquet(path)).orderBy("alert_number", "line")
                 log.select("text").write.mode("overwrite").text(f"{log_path}/batch={number}")
             if late_path is not None:
                 late = batch.filter("is_late").select(*BEACON_SCHEMA.fieldNames())
