@@ -49,14 +49,14 @@ def suspicion_streaks(rows: DataFrame) -> DataFrame:
     )
 
 
-def emitted(times: np.ndarray, last: int | None, cooldown: int = COOLDOWN_US) -> list[int]:
+def emitted(times: np.ndarray, last: int | None, cooldown: int = COOLDOWN_US) -> np.ndarray:
     """Positions in ascending ``times`` that are at least ``cooldown`` after the last emitted."""
     at = 0 if last is None else int(np.searchsorted(times, last + cooldown))
     found = []
     while at < len(times):
         found.append(at)
         at = int(np.searchsorted(times, times[at] + cooldown))
-    return found
+    return np.array(found, dtype=np.int64)
 
 
 def _slice_exits(table: pa.Table) -> pa.Table:

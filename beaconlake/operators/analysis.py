@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from beaconlake.operators.ranking import bucketed_row_number, with_quantiles
-from beaconlake.schema import EVIDENCE_WEIGHTS, ORDER
+from beaconlake.schema import EVIDENCE_WEIGHTS
 from beaconlake.session import materialise
 
 SKEW_SHOWN_BELOW = 0.005
@@ -16,15 +16,11 @@ QUARTILES = {"q0": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "q4": 1.0}
 
 
 def network_labels(
-    rows: DataFrame, order: tuple[str, ...] = tuple(ORDER), bucket: str = "capture_us div 3600000000"
+    rows: DataFrame, order: str = "capture_us", bucket: str = "first div 3600000000"
 ) -> DataFrame:
-    """``ssid, ssid_label``: presentation names in order of first appearance."""
-    first = rows.filter(F.col("ssid").isNotNull()).groupBy("ssid").agg(
-        F.min(F.struct(*order)).alias("first")
-    )
-    ranked = bucketed_row_number(
-        first.select("ssid", "first.*"), [], F.expr(bucket), [*order, "ssid"], "position"
-    )
+    """``ssid, ssid_label``: presentation names in order of first appearance, then of name."""
+    first = rows.filter(F.col("ssid").isNotNull()).groupBy("ssid").agg(F.min(order).alias("first"))
+    ranked = bucketed_row_number(first, [], F.expr(bucket), ["first", "ssid"], "position")
     return ranked.select("ssid", F.format_string(LABEL, "position").alias("ssid_label"))
 
 
@@ -97,7 +93,7 @@ def skew_distribution(features: DataFrame, anonymise: bool = True) -> DataFrame:
 def ie_baseline(profiles: DataFrame, anonymise: bool = True) -> DataFrame:
     """Typical element count of the first eight profiles, labelled by network name."""
     first = profiles.orderBy("bssid").limit(SHOWN_PROFILES).select("bssid", "ssid", "ie_count")
-    labels = network_labels(first, ("bssid",), "0")
+    labels = network_labels(first, "bssid", "0")
     return label_networks(first, labels, anonymise)
 
 

@@ -8,11 +8,6 @@ from beaconlake.functions.frames import security_code
 from beaconlake.operators.slicing import SLICED_KEY, halo, with_slices
 from beaconlake.schema import HISTORY, MIN_HISTORY, ORDER
 
-SEQUENTIAL = [
-    "seq_jump", "seq_anomaly_score", "is_seq_duplicate", "seq_dup_delta", "clock_skew",
-    "valid_skew", "inter_beacon_ms", "timing_variance", "security_encoded",
-]
-
 
 def sequence_features(beacons: DataFrame, tiers: int = 3, **slicing) -> DataFrame:
     """Add the sequential features and ``slice``.
@@ -20,42 +15,48 @@ def sequence_features(beacons: DataFrame, tiers: int = 3, **slicing) -> DataFram
     One exchange on ``(sensor_id, bssid, slice)`` serves every window here and any later window
     on the same columns.
     """
-    sliced = with_slices(beacons, **slicing)
-    rows = sliced.withColumn("_halo", F.lit(False)).unionByName(
-        halo(sliced).withColumn("_halo", F.lit(True)), allowMissingColumns=True
-    )
+    sliced, any_hot = with_slices(beacons, **slicing)
+    rows = sliced.withColumn("_halo", F.lit(False))
+    if any_hot:
+        earlier = halo(sliced).withColumn("_halo", F.lit(True))
+        rows = rows.unionByName(earlier, allowMissingColumns=True)
     in_seq = Window.partitionBy(*SLICED_KEY, "seq_num").orderBy(*ORDER)
     in_time = Window.partitionBy(*SLICED_KEY).orderBy(*ORDER)
     recent = in_time.rowsBetween(1 - HISTORY, 0)
-    gap = F.col("_gap_us")
+
+    def since(column: str, window):
+        return F.col(column) - F.lag(column).over(window)
+
+    gap, gap_ms = F.col("_gap_us"), F.col("_gap_us") / F.lit(1000.0)
     lagged = (
-        rows.withColumn("_seq_gap_us", F.col("capture_us") - F.lag("capture_us").over(in_seq))
-        .withColumn("_gap_us", F.col("capture_us") - F.lag("capture_us").over(in_time))
-        .withColumn("_tsf_gap", F.col("beacon_timestamp") - F.lag("beacon_timestamp").over(in_time))
-        .withColumn("_previous_seq", F.lag("seq_num").over(in_time))
-        .withColumn("_gap_ms", gap / F.lit(1000.0))
-        .withColumn("_gaps", F.count("_gap_ms").over(recent))
-        .withColumn("_gap_var", F.var_pop("_gap_ms").over(recent))
+        rows.withColumn("_seq_gap_us", since("capture_us", in_seq))
+        .withColumns(
+            {
+                "_gap_us": since("capture_us", in_time),
+                "_tsf_gap": since("beacon_timestamp", in_time),
+                "_previous_seq": F.lag("seq_num").over(in_time),
+            }
+        )
+        .withColumns(
+            {"_gaps": F.count(gap_ms).over(recent), "_gap_var": F.var_pop(gap_ms).over(recent)}
+        )
     )
     jump = S.seq_jump(F.col("seq_num"), F.col("_previous_seq"))
+    made = {
+        "seq_jump": jump,
+        "seq_anomaly_score": S.seq_anomaly_score(jump, tiers),
+        "is_seq_duplicate": S.is_duplicate(F.col("_seq_gap_us")),
+        "seq_dup_delta": F.round(F.coalesce(F.col("_seq_gap_us") / 1e6, F.lit(0.0)), 6),
+        "clock_skew": S.clock_skew(F.col("_tsf_gap"), gap),
+        "valid_skew": S.valid_skew(gap),
+        "inter_beacon_ms": F.coalesce(gap_ms, F.lit(0.0)),
+        "timing_variance": F.when(
+            F.col("_gaps") >= MIN_HISTORY, F.round("_gap_var", 6)
+        ).otherwise(F.lit(0.0)),
+        "security_encoded": security_code(F.col("security")),
+    }
     return (
         lagged.filter(~F.col("_halo"))
-        .withColumn("seq_jump", jump)
-        .withColumn("seq_anomaly_score", S.seq_anomaly_score(F.col("seq_jump"), tiers))
-        .withColumn("is_seq_duplicate", S.is_duplicate(F.col("_seq_gap_us")))
-        .withColumn(
-            "seq_dup_delta", F.round(F.coalesce(F.col("_seq_gap_us") / 1e6, F.lit(0.0)), 6)
-        )
-        .withColumn("clock_skew", S.clock_skew(F.col("_tsf_gap"), gap))
-        .withColumn("valid_skew", S.valid_skew(gap))
-        .withColumn("inter_beacon_ms", F.coalesce(F.col("_gap_ms"), F.lit(0.0)))
-        .withColumn(
-            "timing_variance",
-            F.when(F.col("_gaps") >= MIN_HISTORY, F.round("_gap_var", 6)).otherwise(F.lit(0.0)),
-        )
-        .withColumn("security_encoded", security_code(F.col("security")))
-        .drop(
-            "_halo", "_seq_gap_us", "_gap_us", "_tsf_gap", "_previous_seq", "_gap_ms", "_gaps",
-            "_gap_var",
-        )
+        .withColumns(made)
+        .drop("_halo", "_seq_gap_us", "_gap_us", "_tsf_gap", "_previous_seq", "_gaps", "_gap_var")
     )

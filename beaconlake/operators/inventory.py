@@ -5,30 +5,46 @@ from pyspark.sql import functions as F
 
 from beaconlake.functions.frames import signal_band
 from beaconlake.operators.profiles import completion_percent
-from beaconlake.schema import HIDDEN, ORDER
+from beaconlake.schema import HIDDEN
 
 NO_SIGNAL = -999
 
 
+SIGHTED = ["ssid", "channel", "rssi", "security"]
+
+
+def _sightings(beacons: DataFrame, *keys) -> DataFrame:
+    """Rows of a key with equal advertised values merged into one with a count and a time span.
+
+    Few distinct combinations exist per access point and the aggregates are plain numbers, so this
+    is a hash aggregate that shrinks the data before the shuffle and before anything is sorted.
+    """
+    return beacons.groupBy(*keys, *SIGHTED).agg(
+        F.count("*").alias("n"), F.min("capture_us").alias("first_us"),
+        F.max("capture_us").alias("last_us"),
+    )
+
+
 def _inventory_columns() -> list:
-    arrival = F.struct(*ORDER)
-    named = F.when(F.col("ssid") != HIDDEN, arrival)
-    tuned = F.when(F.col("channel") != 0, arrival)
+    """Aggregates over sightings; equal capture times are resolved by the values themselves."""
+    first, last = F.struct("first_us", "ssid"), F.struct("last_us", *SIGHTED)
+    named = F.when(F.col("ssid") != HIDDEN, first)
+    tuned = F.when(F.col("channel") != 0, last)
     return [
         # min_by / max_by skip rows whose ordering is null.
         F.coalesce(F.min_by("ssid", named), F.lit(HIDDEN)).alias("ssid"),
         F.coalesce(F.max_by("channel", tuned), F.lit(0)).alias("channel"),
-        F.max_by("rssi", arrival).alias("rssi"),
-        F.max_by("security", arrival).alias("security"),
-        F.count("*").alias("beacons"),
-        F.min("capture_us").alias("first_seen_us"),
-        F.max("capture_us").alias("last_seen_us"),
+        F.max_by("rssi", last).alias("rssi"),
+        F.max_by("security", last).alias("security"),
+        F.sum("n").alias("beacons"),
+        F.min("first_us").alias("first_seen_us"),
+        F.max("last_us").alias("last_seen_us"),
     ]
 
 
 def network_inventory(beacons: DataFrame) -> DataFrame:
     """One row per access point: first revealed name, last non-zero channel, last signal."""
-    return beacons.groupBy("bssid").agg(*_inventory_columns())
+    return _sightings(beacons, "bssid").groupBy("bssid").agg(*_inventory_columns())
 
 
 def strongest_first(networks: DataFrame, top: int | None = None) -> DataFrame:
@@ -56,12 +72,30 @@ def scan_session(
     return network_inventory(heard)
 
 
-def scan_windows(beacons: DataFrame, seconds: int = 30, time: str | None = None) -> DataFrame:
-    """Inventory per tumbling scan window; ``time`` names a timestamp column, if there is one."""
-    moment = F.timestamp_micros("capture_us") if time is None else F.col(time)
-    window = F.window(moment, f"{seconds} seconds")
+def scan_windows(beacons: DataFrame, seconds: int = 30) -> DataFrame:
+    """Inventory per tumbling scan window."""
+    width = seconds * 1_000_000
+    start = F.expr(f"capture_us - pmod(capture_us, {width})").alias("start_us")
     return (
-        beacons.groupBy(window.alias("window"), "bssid")
+        _sightings(beacons, start, "bssid")
+        .groupBy("start_us", "bssid")
+        .agg(*_inventory_columns())
+        .select(F.timestamp_micros("start_us").alias("window_start"), "*")
+        .drop("start_us")
+    )
+
+
+def stream_scan_windows(beacons: DataFrame, seconds: int = 30, late: str = "10 seconds") -> DataFrame:
+    """The same on a stream: a window comes out once the watermark has passed it."""
+    timed = beacons.withColumn("capture_ts", F.timestamp_micros("capture_us")).withWatermark(
+        "capture_ts", late
+    )
+    return (
+        timed.select(
+            "capture_ts", "bssid", *SIGHTED, F.lit(1).alias("n"),
+            F.col("capture_us").alias("first_us"), F.col("capture_us").alias("last_us"),
+        )
+        .groupBy(F.window("capture_ts", f"{seconds} seconds").alias("window"), "bssid")
         .agg(*_inventory_columns())
         .select(F.col("window.start").alias("window_start"), "*")
         .drop("window")
@@ -84,13 +118,13 @@ def select_target(
 
 def collection_summary(beacons: DataFrame) -> DataFrame:
     """Per access point: first name, rows, last signal and profiling progress; busiest first."""
-    arrival = F.struct(*ORDER)
     return (
-        beacons.groupBy("bssid")
+        _sightings(beacons, "bssid")
+        .groupBy("bssid")
         .agg(
-            F.min_by("ssid", arrival).alias("ssid"),
-            F.count("*").alias("beacons"),
-            F.max_by("rssi", arrival).alias("rssi"),
+            F.min_by("ssid", F.struct("first_us", "ssid")).alias("ssid"),
+            F.sum("n").alias("beacons"),
+            F.max_by("rssi", F.struct("last_us", *SIGHTED)).alias("rssi"),
         )
         .withColumn("completion_percent", completion_percent(F.col("beacons")))
         .orderBy(F.desc("beacons"), "bssid")

@@ -29,7 +29,6 @@ def _summaries(observations: DataFrame, skew: Column, keep: Column) -> DataFrame
     kept = F.when(F.col("keep"), F.col("n"))
     marked = (
         with_quantiles(counts, ["bssid", "field"], {"q1": 0.25, "q3": 0.75})
-        .withColumn("rows", F.sum("n").over(whole))
         .withColumn("keep", keep)
         .withColumn("mean", F.sum(kept * F.col("num")).over(whole) / F.sum(kept).over(whole))
     )

@@ -68,17 +68,19 @@ def value_counts(
 
 
 def with_quantiles(counts: DataFrame, keys: Sequence[str], probs: dict[str, float]) -> DataFrame:
-    """Add linearly interpolated quantiles of ``num`` (weighted by ``n``) to each row of a key."""
+    """Add to each value its key's linearly interpolated quantiles (weighted by ``n``) and ``rows``."""
     whole = Window.partitionBy(*keys)
-    ranked = counts.withColumn("_upto", F.sum("n").over(whole.orderBy("num"))).withColumn(
-        "_total", F.sum("n").over(whole)
+    ranked = counts.withColumns(
+        {"_upto": F.sum("n").over(whole.orderBy("num")), "rows": F.sum("n").over(whole)}
     )
-    for name, prob in probs.items():
-        position = (F.col("_total") - 1) * F.lit(float(prob))
+
+    def at(prob: float) -> Column:
+        position = (F.col("rows") - 1) * F.lit(float(prob))
         below = F.min(F.when(F.col("_upto") > F.floor(position), F.col("num"))).over(whole)
         above = F.min(F.when(F.col("_upto") > F.ceil(position), F.col("num"))).over(whole)
-        ranked = ranked.withColumn(name, below + (above - below) * (position - F.floor(position)))
-    return ranked.drop("_upto", "_total")
+        return below + (above - below) * (position - F.floor(position))
+
+    return ranked.withColumns({name: at(prob) for name, prob in probs.items()}).drop("_upto")
 
 
 def quantiles(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from beaconlake.schema import HISTORY, KEY, ORDER
 from beaconlake.session import materialise
 
-ROWS_PER_SLICE = 2_000_000
+ROWS_PER_SLICE = 1_000_000
 BUCKET_US = 3_600_000_000
 SLICED_KEY = [*KEY, "slice"]
 CARRIED = [*ORDER, "seq_num", "beacon_timestamp"]
@@ -39,22 +39,21 @@ def hot_keys(
 
 def with_slices(
     df: DataFrame, rows_per_slice: int = ROWS_PER_SLICE, bucket_us: int = BUCKET_US
-) -> DataFrame:
-    """Add ``slice``: null for ordinary keys, a time-slice number for hot ones.
+) -> tuple[DataFrame, bool]:
+    """Add ``slice``, and tell whether there is any: null for ordinary keys, a number for hot ones.
 
     Hot keys are found by one pass over the key and time columns, right away. Without any, the
     slice is a null literal and Catalyst removes every hot-key branch from later plans.
     """
-    if "slice" in df.columns:
-        return df
     hot = materialise(hot_keys(df, rows_per_slice, bucket_us), "hot-keys")
     if hot.isEmpty():
-        return df.withColumn("slice", F.lit(None).cast("bigint"))
-    return (
+        return df.withColumn("slice", F.lit(None).cast("bigint")), False
+    sliced = (
         df.join(F.broadcast(hot), KEY, "left")
         .withColumn("slice", F.expr("capture_us div width_us"))
         .drop("width_us")
     )
+    return sliced, True
 
 
 def halo(sliced: DataFrame) -> DataFrame:

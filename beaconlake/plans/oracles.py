@@ -461,7 +461,7 @@ ORACLES: dict[str, str] = {
         round(min(clock_skew) FILTER (clock_skew BETWEEN a - 1.5*(b-a) AND b + 1.5*(b-a)), 9) AS whisker_low,
         round(max(clock_skew) FILTER (clock_skew BETWEEN a - 1.5*(b-a) AND b + 1.5*(b-a)), 9) AS whisker_high
       FROM box JOIN shown USING (ssid) GROUP BY ALL""",
-    "ap_labels": f"""WITH {BEACONS}, f AS (SELECT ssid, min((capture_us, frame_id)) AS first FROM beacons
+    "ap_labels": f"""WITH {BEACONS}, f AS (SELECT ssid, min(capture_us) AS first FROM beacons
         GROUP BY ssid) SELECT ssid, 'LAB_AP_' || lpad(CAST(row_number() OVER (ORDER BY first, ssid)
         AS VARCHAR), 2, '0') AS ssid_label FROM f""",
     "ie_baseline": f"""{WITH_PROFILES}, f AS (SELECT bssid, ssid, ie_count FROM profiles ORDER BY bssid LIMIT 8),

@@ -15,7 +15,6 @@ from beaconlake.operators.alerts import alert_log, emitted
 from beaconlake.operators.decode import decode_frames, observations
 from beaconlake.operators.deviations import STATISTICS, with_profile
 from beaconlake.operators.iforest import BROADCAST_NODES, Forest, pack_trees, path_scores
-from beaconlake.operators.inventory import scan_windows
 from beaconlake.operators.ranking import bucketed_row_number
 from beaconlake.operators.rules import with_reasons
 from beaconlake.schema import (
@@ -332,9 +331,3 @@ class SessionTotals(StreamingQueryListener):
 
     def onQueryTerminated(self, event) -> None:
         pass
-
-
-def stream_scan_windows(beacons: DataFrame, seconds: int = 30, late: str = "10 seconds") -> DataFrame:
-    """Network inventory per tumbling window, once the watermark has passed it."""
-    timed = beacons.withColumn("capture_ts", F.timestamp_micros("capture_us"))
-    return scan_windows(timed.withWatermark("capture_ts", late), seconds, "capture_ts")
