@@ -9,7 +9,8 @@ SAFE_MACS = ["ff:ff:ff:ff:ff:ff", "00:00:00:00:00:00", "aa:bb:cc:dd:ee:ff"]
 # Six pairs of hexadecimal digits joined by : or -, between word boundaries.
 # The boundaries are spelled out so that letters outside ASCII count as word characters.
 WORD = r"[\p{L}\p{N}_]"
-MAC_PATTERN = rf"(?<!{WORD})(?:[0-9A-Fa-f]{{2}}[:-]){{5}}[0-9A-Fa-f]{{2}}(?!{WORD})"
+# The look-ahead fails fast on ordinary text.
+MAC_PATTERN = rf"(?=[0-9A-Fa-f]{{2}}[:-])(?<!{WORD})(?:[0-9A-Fa-f]{{2}}[:-]){{5}}[0-9A-Fa-f]{{2}}(?!{WORD})"
 HOME_PATTERN = "(?U)/home/[^/\\s\"']+/"
 HOME_REPLACEMENT = "/home/user/"
 EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
@@ -21,12 +22,12 @@ def normalise_mac(mac: Column) -> Column:
 
 def pseudonym(mac: Column) -> Column:
     """Deterministic locally administered address; safe addresses keep themselves."""
-    plain = normalise_mac(mac)
-    digest = F.sha2(plain, 256)
-    octets = [F.substring(digest, 1 + 2 * i, 2) for i in range(5)]
-    return F.when(plain.isin(SAFE_MACS), plain).otherwise(
-        F.concat_ws(":", F.lit("02"), *octets)
-    )
+    return _pseudonym_of(normalise_mac(mac))
+
+
+def _pseudonym_of(plain: Column) -> Column:
+    octets = F.regexp_replace(F.substring(F.sha2(plain, 256), 1, 10), "(..)", ":$1")
+    return F.when(plain.isin(SAFE_MACS), plain).otherwise(F.concat(F.lit("02"), octets))
 
 
 def replace_literals(text: Column, mapping: dict[str, str]) -> Column:
@@ -46,16 +47,17 @@ def macs_in(text: Column) -> Column:
 
 def replace_macs(text: Column) -> Column:
     """Every address in the text becomes its pseudonym; safe ones stay as written."""
+
+    def changed(found: Column) -> Column:
+        plain = F.replace(F.lower(found), F.lit("-"), F.lit(":"))
+        return F.when(plain.isin(SAFE_MACS), found).otherwise(_pseudonym_of(plain))
+
     between = F.split(text, MAC_PATTERN, -1)
-    changed = F.transform(
-        macs_in(text),
-        lambda m: F.when(normalise_mac(m).isin(SAFE_MACS), m).otherwise(pseudonym(m)),
-    )
-    closed = F.concat(changed, F.array(F.lit("")))
+    closed = F.concat(F.transform(macs_in(text), changed), F.array(F.lit("")))
     return F.array_join(F.zip_with(between, closed, lambda a, b: F.concat(a, b)), "")
 
 
-def scrub(text: Column, ssid_map: dict[str, str], path_map: dict[str, str]) -> Column:
-    """Names, then mapped paths, then home paths, then addresses."""
+def scrub_names(text: Column, ssid_map: dict[str, str], path_map: dict[str, str]) -> Column:
+    """Network names, then mapped paths, then home paths. Addresses come after these."""
     text = replace_literals(replace_literals(text, ssid_map), path_map)
-    return replace_macs(replace_home_paths(text))
+    return replace_home_paths(text)

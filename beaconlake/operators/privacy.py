@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beaconlake.functions.privacy import (
-    SAFE_MACS, macs_in, normalise_mac, pseudonym, replace_home_paths, replace_literals, scrub,
+    SAFE_MACS, macs_in, normalise_mac, pseudonym, replace_literals, replace_macs, scrub_names,
 )
 
 # File endings and folders that hold no text to scrub.
@@ -33,10 +33,12 @@ def scrub_text(
     rows: DataFrame, columns: list[str], ssid_map: dict[str, str] | None = None,
     path_map: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Scrub the named text columns in place."""
-    return rows.withColumns(
-        {c: scrub(F.col(c), ssid_map or {}, path_map or {}) for c in columns}
+    """Scrub the named text columns in place: names, paths, home paths, then addresses."""
+    # Two projections, so that the address step does not evaluate the first one twice.
+    named = rows.withColumns(
+        {c: scrub_names(F.col(c), ssid_map or {}, path_map or {}) for c in columns}
     )
+    return named.withColumns({c: replace_macs(F.col(c)) for c in columns})
 
 
 def scrub_beacons(beacons: DataFrame, ssid_map: dict[str, str] | None = None) -> DataFrame:
@@ -64,9 +66,11 @@ def changed_rows(
     path_map: dict[str, str] | None = None,
 ) -> DataFrame:
     """``key, original, scrubbed`` of the rows that scrubbing changes."""
-    return rows.select(
-        key, F.col(column).alias("original"),
-        scrub(F.col(column), ssid_map or {}, path_map or {}).alias("scrubbed"),
+    pair = rows.select(key, F.col(column).alias("original"), F.col(column).alias("scrubbed"))
+    scrubbed = scrub_text(pair, ["scrubbed"], ssid_map, path_map)
+    # Filters do not move below the generator, so each text is scrubbed once.
+    return scrubbed.select(
+        key, F.inline(F.array(F.struct("original", "scrubbed")))
     ).filter(F.col("scrubbed") != F.col("original"))
 
 
@@ -75,8 +79,7 @@ def mac_audit(
     path_map: dict[str, str] | None = None,
 ) -> DataFrame:
     """``mac, pseudonym`` of every address that scrubbing replaces. Keep it private."""
-    text = replace_literals(F.col(column), ssid_map or {})
-    text = replace_home_paths(replace_literals(text, path_map or {}))
+    text = scrub_names(F.col(column), ssid_map or {}, path_map or {})
     found = rows.select(F.explode(macs_in(text)).alias("found"))
     return (
         found.select(normalise_mac(F.col("found")).alias("mac"))

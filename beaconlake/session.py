@@ -15,6 +15,9 @@ def local_session(name: str, cpus: int | str = "*", shuffle_partitions: int = 8)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Small test data should still use every core.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128KB")
+        .config("spark.sql.files.openCostInBytes", "256KB")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
