@@ -25,7 +25,7 @@ def valid_skew(gap_us: Column) -> Column:
 
 def clock_skew(tsf_gap: Column, gap_us: Column) -> Column:
     """Relative deviation of the transmitter's clock from the receiver's."""
-    skew = (tsf_gap - gap_us).cast("double") / gap_us.cast("double")
+    skew = (tsf_gap - gap_us).cast("double") / F.nullif(gap_us, F.lit(0)).cast("double")
     return F.when(gap_us.between(*SKEW_GAP_US), F.round(skew, 8)).otherwise(F.lit(0.0))
 
 

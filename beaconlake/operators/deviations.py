@@ -44,7 +44,7 @@ def profile_deviations(rows: DataFrame, profiles: DataFrame) -> DataFrame:
         with_profile(rows, profiles)
         .withColumn(
             "clock_skew_deviation",
-            F.when(known, F.when(std > 0, off / std).otherwise(off)).otherwise(zero),
+            F.when(known, F.when(std > 0, off / F.nullif(std, zero)).otherwise(off)).otherwise(zero),
         )
         .withColumn(
             "rssi_deviation",

@@ -216,12 +216,8 @@ class Forest:
         key = F.lit("all") if self.key is None else F.col(self.key)
         keyed = rows.withColumn("model_key", F.when(F.lit(True) if where is None else where, key))
         raw = _raw_scores(self, keyed, broadcast_nodes)
-        offsets = self.params.select("model_key", "offset")
-        return (
-            raw.join(offsets, "model_key", "left")
-            .withColumn(into, F.col("raw_score") - F.col("offset"))
-            .drop("model_key", "raw_score", "offset")
-        )
+        decision = F.col("raw_score") - F.col("offset")
+        return raw.withColumn(into, decision).drop("model_key", "raw_score", "offset")
 
     def nodes(self) -> DataFrame:
         """The forest as a node table."""
@@ -244,7 +240,9 @@ def _scaled(features: list[str], have: list[str]) -> list[Column]:
 
 
 def _raw_scores(forest: Forest, keyed: DataFrame, broadcast_nodes: int) -> DataFrame:
-    scaling = forest.params.select("model_key", "means", "scales")
+    """Add ``raw_score``, and the key's ``offset`` once the forest has one."""
+    known = [c for c in ("means", "scales", "offset") if c in forest.params.columns]
+    scaling = forest.params.select("model_key", *known)
     points = [f"_x{i}" for i in range(len(forest.features))]
     scaled = _scaled(forest.features, keyed.columns)
     ready = (

@@ -49,7 +49,7 @@ def _away(name: str) -> Column:
 
 def _skew_z() -> Column:
     mean = F.coalesce("p_clock_skew_mean", F.lit(0.0))
-    return F.abs(F.col("clock_skew") - mean) / F.col("p_clock_skew_std")
+    return F.abs(F.col("clock_skew") - mean) / F.nullif("p_clock_skew_std", F.lit(0.0))
 
 
 def _conditions() -> dict[str, Column]:

@@ -161,7 +161,7 @@ def confusion_counts(predictions: DataFrame) -> DataFrame:
 
 
 def _ratio(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+    return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
 
 def classification_report(predictions: DataFrame) -> DataFrame:

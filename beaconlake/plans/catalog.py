@@ -13,7 +13,7 @@ from beaconlake.operators.decode import (
 )
 from beaconlake.operators.deviations import profile_deviations
 from beaconlake.operators.features import sequence_features
-from beaconlake.operators.iforest import fit_global, fit_per_ap, score_range
+from beaconlake.operators.iforest import Forest, fit_global, fit_per_ap, score_range
 from beaconlake.operators.rules import evidence_contribution, with_reasons
 from beaconlake.plans.capture import beacons, frames
 from beaconlake.plans.detection import baseline_profiles, detect, score_frames
@@ -346,6 +346,18 @@ def detection_totals(spark, data_dir):
     return streaks.crossJoin(raised)  # one row each
 
 
+@query
+def collected_table(spark, data_dir):
+    """The streaming collector over the whole frames table: decode, features, append."""
+    folder = frames(spark, data_dir).inputFiles()[0].rsplit("/", 1)[0]
+    path, checkpoint = new_path(spark, "collected"), new_path(spark, "collector-checkpoint")
+    live.collect_baseline(live.read_frames(spark, folder), path, checkpoint).awaitTermination()
+    return spark.read.parquet(path).select(
+        "frame_id", "bssid", "ssid", "supported_rates", "seq_jump", "seq_anomaly_score",
+        "is_seq_duplicate", "clock_skew", "valid_skew", "inter_beacon_ms", "label",
+    )
+
+
 @query
 def stream_alerts(spark, data_dir):
     """The streaming job over the whole beacons table, run until it has caught up."""
@@ -399,6 +411,17 @@ def forest_global(spark, data_dir):
     return _rounded(score_range(fit_global(base)), 6, "score_min", "score_max")
 
 
+@query
+def stored_forest(spark, data_dir):
+    """Scores of a forest that was saved and loaded again, per access point and label."""
+    path = new_path(spark, "forest")
+    fit_per_ap(sequence_features(_baseline(spark, data_dir)), _profiles(spark, data_dir)).save(path)
+    scored = Forest.load(spark, path).score(sequence_features(beacons(spark, data_dir)))
+    return scored.groupBy("bssid", "label").agg(
+        F.count("*").alias("rows"), F.round(F.avg("model_score"), 6).alias("mean_score")
+    )
+
+
 @query
 def model_alerts(spark, data_dir):
     base, known = sequence_features(_baseline(spark, data_dir)), _profiles(spark, data_dir)

@@ -404,6 +404,9 @@ ORACLES: dict[str, str] = {
     "stream_alerts": f"{WITH_BOTH}, {evidence('features')}, {STREAKS}, {ALERTS}".replace(
         "WITH", "WITH RECURSIVE", 1
     ) + f" SELECT {ALERT_COLUMNS} FROM alerts",
+    "collected_table": f"""WITH {BEACONS}, usable AS (SELECT * FROM beacons WHERE {USABLE_FRAME}),
+      {features('usable')} SELECT frame_id, bssid, ssid, supported_rates, seq_jump, seq_anomaly_score,
+      is_seq_duplicate, clock_skew, valid_skew, inter_beacon_ms, CAST(0 AS INT) AS label FROM features""",
     "forest_scaling": f"""{WITH_BASE} SELECT bssid, count(*) AS rows, {SCALING} FROM base_features
       GROUP BY bssid HAVING count(*) >= 20""",
     "labelled_union": f"WITH {BEACONS} SELECT bssid, label, count(*) AS rows FROM beacons GROUP BY ALL",

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from conftest import AP
+from pyspark.sql import functions as F
 
 from beaconlake.operators import alerts as A
 from beaconlake.operators.rules import evidence, with_reasons
@@ -77,6 +78,13 @@ def test_missing_model_column_and_reason_texts(spark, profiles):
     assert "(Δ=16)" in reasons[1] and "0.002000" in reasons[4] and "(39.8σ)" in reasons[4]
 
 
+def test_profile_without_spread_gives_no_timing_evidence(spark, profiles):
+    frame = spark.createDataFrame([tuple({**FEATURE, **TIMING}.values())], FEATURE_SCHEMA)
+    for std in (0.0, None):
+        flat = profiles.withColumn("clock_skew_std", F.lit(std).cast("double"))
+        assert with_reasons(evidence(frame, flat)).first()["reasons"] == []
+
+
 def scored(spark, rows, sliced):
     """Rows of ``bssid, seconds, suspicious`` with slices of ten seconds or none."""
     data = [

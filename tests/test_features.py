@@ -59,6 +59,11 @@ def test_timing_variance_needs_five_of_twenty(make_beacons):
         assert row["timing_variance"] == pytest.approx(want, abs=2e-6)
 
 
+def test_frames_at_the_same_time(make_beacons):
+    rows = feature_rows(make_beacons([{"capture_us": 5}, {"capture_us": 5, "seq_num": 101}]))
+    assert (rows[1]["clock_skew"], rows[1]["valid_skew"], rows[1]["seq_jump"]) == (0.0, 0, 1)
+
+
 def brute_force(rows):
     """The sequential features one frame at a time."""
     last, seen, gaps, out = {}, {}, {}, {}
