@@ -382,7 +382,7 @@ def _fit(
     scores = _raw_scores(unset, training.filter("usable").drop("draw"), BROADCAST_NODES)
     # Rounding bounds the number of distinct scores per key for the exact quantile.
     offsets = quantiles(
-        scores, ["model_key"], F.round("raw_score", 6), {"offset": contamination}
+        scores, ["model_key"], "round(raw_score, 6)", {"offset": contamination}
     )
     ranges = scores.groupBy("model_key").agg(
         F.min("raw_score").alias("low"), F.max("raw_score").alias("high")

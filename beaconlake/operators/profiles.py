@@ -1,6 +1,6 @@
 """Behavioural profiles: one row per access point, built from value counts."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beaconlake.operators.ranking import value_counts, with_quantiles
@@ -15,57 +15,54 @@ TRIM_ABOVE = 10
 NORMAL_JUMP_BELOW = 100
 
 
-def _summaries(observations: DataFrame, skew: Column, keep: Column) -> DataFrame:
+def _summaries(observations: DataFrame, skew: str, keep: str) -> DataFrame:
     """One row per ``bssid, field``: rows, mean, std, min, max of kept values, and the mode.
 
-    ``keep`` may use ``field, num, q1, q3, rows``. Everything after the value counts works on
-    distinct values, so a hot access point is as cheap as its value domain.
+    ``skew`` and ``keep`` are SQL; ``keep`` may use ``field, num, q1, q3, rows``. Everything after
+    the value counts works on distinct values, so a hot access point is as cheap as its value
+    domain.
     """
-    numbers = {name: F.col(name) for name in NUMBER_MODES}
-    numbers |= {"rssi": F.col("rssi"), "seq_jump": F.col("seq_jump")}
-    numbers |= {"clock_skew": skew, "beacons": F.lit(1)}
-    counts = value_counts(observations, ["bssid"], numbers, {c: F.col(c) for c in TEXT_MODES})
-    whole = Window.partitionBy("bssid", "field")
-    kept = F.when(F.col("keep"), F.col("n"))
+    numbers = {name: name for name in [*NUMBER_MODES, "rssi", "seq_jump"]}
+    numbers |= {"clock_skew": skew, "beacons": "1"}
+    counts = value_counts(observations, ["bssid"], numbers, {c: c for c in TEXT_MODES})
+    whole = "OVER (PARTITION BY bssid, field)"
     marked = (
         with_quantiles(counts, ["bssid", "field"], {"q1": 0.25, "q3": 0.75})
-        .withColumn("keep", keep)
-        .withColumn("mean", F.sum(kept * F.col("num")).over(whole) / F.sum(kept).over(whole))
+        .selectExpr("*", f"CASE WHEN {keep} THEN n END AS kept_n", f"CASE WHEN {keep} THEN num END AS kept_num")
+        .selectExpr("*", f"sum(kept_n * num) {whole} / sum(kept_n) {whole} AS mean")
     )
-    kept_num = F.when(F.col("keep"), F.col("num"))
     return (
         marked.groupBy("bssid", "field")
         .agg(
-            F.coalesce(F.sum(kept), F.lit(0)).alias("kept"),
-            F.first("mean").alias("mean"),
-            F.min(kept_num).alias("low"),
-            F.max(kept_num).alias("high"),
-            F.sum(kept * F.pow(F.col("num") - F.col("mean"), 2)).alias("squares"),
+            F.expr("coalesce(sum(kept_n), 0) AS kept"),
+            F.expr("first(mean) AS mean"),
+            F.expr("min(kept_num) AS low"),
+            F.expr("max(kept_num) AS high"),
+            F.expr("sum(kept_n * power(num - mean, 2)) AS squares"),
             # Most frequent value; the smallest one wins a tie.
-            F.min(F.struct((-F.col("n")).alias("rank"), "num", "txt")).alias("mode"),
+            F.expr("min(struct(-n AS rank, num, txt)) AS mode"),
         )
-        .withColumn(
-            "std",
-            F.when(F.col("kept") > 1, F.sqrt(F.col("squares") / (F.col("kept") - 1))).otherwise(0.0),
+        .selectExpr(
+            "*", "CASE WHEN kept > 1 THEN sqrt(squares / nullif(kept - 1, 0)) ELSE 0D END AS std"
         )
     )
 
 
-def _pick(field: str, column: str) -> Column:
-    return F.max(F.when(F.col("field") == field, F.col(column)))
+def _pick(field: str, column: str) -> str:
+    return f"max(CASE WHEN field = '{field}' THEN {column} END)"
 
 
 def _statistic(field: str, column: str, name: str) -> Column:
-    return F.coalesce(_pick(field, column), F.lit(0.0)).alias(name)
+    return F.expr(f"coalesce({_pick(field, column)}, 0D) AS {name}")
 
 
 def _modes() -> list[Column]:
     numbers = [
-        F.coalesce(_pick(c, "mode.num"), F.lit(default)).cast("int").alias(c)
+        F.expr(f"CAST(coalesce({_pick(c, 'mode.num')}, {default}) AS INT) AS {c}")
         for c, default in NUMBER_MODES.items()
     ]
     texts = [
-        F.coalesce(_pick(c, "mode.txt"), F.lit(default)).alias(c)
+        F.expr(f"coalesce({_pick(c, 'mode.txt')}, '{default}') AS {c}")
         for c, default in TEXT_MODES.items()
     ]
     return numbers + texts
@@ -81,12 +78,10 @@ def build_profiles(observations: DataFrame, min_rows: int = MIN_PROFILE_ROWS) ->
     Clock-skew statistics use all rows (also those without a valid measurement) after trimming at
     1.5 interquartile ranges; sequence-jump statistics use jumps below 100.
     """
-    spread = F.col("q3") - F.col("q1")
-    inside = F.col("num").between(F.col("q1") - 1.5 * spread, F.col("q3") + 1.5 * spread)
+    inside = "num BETWEEN q1 - 1.5D * (q3 - q1) AND q3 + 1.5D * (q3 - q1)"
     keep = (
-        F.when(F.col("field") == "clock_skew", (F.col("rows") <= TRIM_ABOVE) | inside)
-        .when(F.col("field") == "seq_jump", F.col("num") < NORMAL_JUMP_BELOW)
-        .otherwise(F.lit(True))
+        f"CASE field WHEN 'clock_skew' THEN rows <= {TRIM_ABOVE} OR {inside} "
+        f"WHEN 'seq_jump' THEN num < {NORMAL_JUMP_BELOW} ELSE true END"
     )
     statistics = [
         _statistic("clock_skew", "mean", "clock_skew_mean"),
@@ -101,9 +96,9 @@ def build_profiles(observations: DataFrame, min_rows: int = MIN_PROFILE_ROWS) ->
         _statistic("seq_jump", "std", "seq_jump_std"),
     ]
     return (
-        _summaries(observations, F.col("clock_skew"), keep)
+        _summaries(observations, "clock_skew", keep)
         .groupBy("bssid")
-        .agg(*_modes(), *statistics, _pick("beacons", "kept").alias("total_beacons"))
+        .agg(*_modes(), *statistics, F.expr(_pick("beacons", "kept")).alias("total_beacons"))
         .filter(F.col("total_beacons") >= min_rows)
         .withColumn("profile_built", _built())
         .select(
@@ -119,7 +114,7 @@ def build_single_ap_profiles(
     observations: DataFrame, min_rows: int = MIN_PROFILE_ROWS, source: str = ""
 ) -> DataFrame:
     """The older profile: skew over valid measurements only, nothing trimmed."""
-    skew = F.when(F.col("valid_skew") == 1, F.col("clock_skew"))
+    skew = "CASE WHEN valid_skew = 1 THEN clock_skew END"
     statistics = [
         _statistic("rssi", "mean", "rssi_mean"),
         _statistic("rssi", "std", "rssi_std"),
@@ -130,12 +125,12 @@ def build_single_ap_profiles(
         _statistic("seq_jump", "high", "seq_jump_max"),
         _statistic("clock_skew", "mean", "clock_skew_mean"),
         _statistic("clock_skew", "std", "clock_skew_std"),
-        F.coalesce(_pick("clock_skew", "kept"), F.lit(0)).alias("valid_skew_samples"),
+        F.expr(f"coalesce({_pick('clock_skew', 'kept')}, 0) AS valid_skew_samples"),
     ]
     return (
-        _summaries(observations, skew, F.lit(True))
+        _summaries(observations, skew, "true")
         .groupBy("bssid")
-        .agg(*_modes(), *statistics, _pick("beacons", "kept").alias("total_beacons"))
+        .agg(*_modes(), *statistics, F.expr(_pick("beacons", "kept")).alias("total_beacons"))
         .filter(F.col("total_beacons") >= min_rows)
         .withColumn("profile_time", _built())
         .withColumn("profile_type", F.lit("legacy_single_ap"))

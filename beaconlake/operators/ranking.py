@@ -36,32 +36,25 @@ def bucketed_row_number(
 def value_counts(
     df: DataFrame,
     keys: Sequence[str],
-    numbers: dict[str, Column],
-    texts: dict[str, Column] | None = None,
+    numbers: dict[str, str],
+    texts: dict[str, str] | None = None,
 ) -> DataFrame:
     """Long table ``keys, field, num, txt, n``: how often each non-null value occurs.
 
-    One pass and one shuffle for all fields. Equal values are merged before the shuffle, so what
-    moves grows with the number of distinct values of a key, not with its rows.
+    ``numbers`` and ``texts`` name fields and give their SQL expressions. One pass and one shuffle
+    serve all fields. Equal values are merged before the shuffle, so what moves grows with the
+    number of distinct values of a key, not with its rows.
     """
     facts = [
-        F.struct(
-            F.lit(field).alias("field"),
-            column.cast("double").alias("num"),
-            F.lit(None).cast("string").alias("txt"),
-        )
-        for field, column in numbers.items()
+        f"struct('{field}' AS field, CAST({value} AS DOUBLE) AS num, CAST(NULL AS STRING) AS txt)"
+        for field, value in numbers.items()
     ] + [
-        F.struct(
-            F.lit(field).alias("field"),
-            F.lit(None).cast("double").alias("num"),
-            column.cast("string").alias("txt"),
-        )
-        for field, column in (texts or {}).items()
+        f"struct('{field}' AS field, CAST(NULL AS DOUBLE) AS num, CAST({value} AS STRING) AS txt)"
+        for field, value in (texts or {}).items()
     ]
     return (
-        df.select(*keys, F.inline(F.array(*facts)))
-        .filter((F.col("num").isNotNull() & ~F.isnan("num")) | F.col("txt").isNotNull())
+        df.selectExpr(*keys, f"inline(array({', '.join(facts)}))")
+        .filter("(num IS NOT NULL AND NOT isnan(num)) OR txt IS NOT NULL")
         .groupBy(*keys, "field", "num", "txt")
         .agg(F.count("*").alias("n"))
     )
@@ -69,24 +62,23 @@ def value_counts(
 
 def with_quantiles(counts: DataFrame, keys: Sequence[str], probs: dict[str, float]) -> DataFrame:
     """Add to each value its key's linearly interpolated quantiles (weighted by ``n``) and ``rows``."""
-    whole = Window.partitionBy(*keys)
-    ranked = counts.withColumns(
-        {"_upto": F.sum("n").over(whole.orderBy("num")), "rows": F.sum("n").over(whole)}
+    whole = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    ranked = counts.selectExpr(
+        "*", f"sum(n) OVER ({whole} ORDER BY num) AS _upto", f"sum(n) OVER ({whole}) AS rows"
     )
 
-    def at(prob: float) -> Column:
-        position = (F.col("rows") - 1) * F.lit(float(prob))
-        below = F.min(F.when(F.col("_upto") > F.floor(position), F.col("num"))).over(whole)
-        above = F.min(F.when(F.col("_upto") > F.ceil(position), F.col("num"))).over(whole)
-        return below + (above - below) * (position - F.floor(position))
+    def at(prob: float) -> str:
+        place = f"((rows - 1) * {float(prob)}D)"
+        below = f"min(CASE WHEN _upto > floor({place}) THEN num END) OVER ({whole})"
+        above = f"min(CASE WHEN _upto > ceil({place}) THEN num END) OVER ({whole})"
+        return f"{below} + ({above} - {below}) * ({place} - floor({place}))"
 
-    return ranked.withColumns({name: at(prob) for name, prob in probs.items()}).drop("_upto")
+    return ranked.selectExpr("*", *[f"{at(p)} AS {name}" for name, p in probs.items()]).drop("_upto")
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str, float]
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
 ) -> DataFrame:
-    """Exact quantiles of ``value`` per key, one row per key."""
-    counts = value_counts(df, keys, {"value": value})
-    ranked = with_quantiles(counts, [*keys], probs)
+    """Exact quantiles of the SQL expression ``value`` per key, one row per key."""
+    ranked = with_quantiles(value_counts(df, keys, {"value": value}), keys, probs)
     return ranked.groupBy(*keys).agg(*[F.first(name).alias(name) for name in probs])

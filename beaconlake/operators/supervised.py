@@ -61,7 +61,7 @@ def training_columns(rows: DataFrame) -> tuple[DataFrame, list[str]]:
 
 def feature_medians(rows: DataFrame, features: list[str]) -> DataFrame:
     """``field, median`` over the whole table, exact, one row per feature with any value."""
-    counts = value_counts(rows, [], {f: F.col(f) for f in features})
+    counts = value_counts(rows, [], {f: f for f in features})
     ranked = with_quantiles(counts, ["field"], {"median": 0.5})
     return ranked.groupBy("field").agg(F.first("median").alias("median"))
 

@@ -18,6 +18,7 @@ def local_session(name: str, cpus: int | str = "*", shuffle_partitions: int = 8)
         # Small test data should still use every core.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128KB")
         .config("spark.sql.files.openCostInBytes", "256KB")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .getOrCreate()

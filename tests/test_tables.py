@@ -163,7 +163,7 @@ def test_bucketed_row_number_equals_row_number(spark):
 
 def test_quantiles_interpolate(spark):
     rows = spark.createDataFrame([("a", float(v)) for v in (1, 1, 2, 10)] + [("b", 5.0)], "k string, v double")
-    got = {r["k"]: r["q"] for r in quantiles(rows, ["k"], F.col("v"), {"q": 0.75}).collect()}
+    got = {r["k"]: r["q"] for r in quantiles(rows, ["k"], "v", {"q": 0.75}).collect()}
     assert got == {"a": 4.0, "b": 5.0}
 
 
