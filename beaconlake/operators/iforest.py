@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ SAMPLE = 256
 ROWS_PER_GROUP = 500_000
 # A forest up to this many nodes is broadcast (about 30 bytes each); a larger one is joined.
 BROADCAST_NODES = 2_000_000
+NODE_FIELDS = ["feature", "threshold", "left", "right", "size", "depth"]
 TREE_SCHEMA = (
     "model_key string, tree_id int, sample int, feature array<int>, threshold array<double>, "
     "left array<int>, right array<int>, size array<int>, depth array<int>"
@@ -114,7 +116,6 @@ def _grow_group(table: pa.Table, features: list[str], trees: int, pool: int, see
     key = ordered["model_key"][0].as_py()
     points = np.column_stack([ordered[f].to_numpy() for f in features])
     grown = grow_trees(points, trees, np.random.default_rng([seed, zlib.crc32(key.encode())]))
-    names = ["feature", "threshold", "left", "right", "size", "depth"]
     return pa.table(
         {
             "model_key": [key] * trees,
@@ -125,29 +126,42 @@ def _grow_group(table: pa.Table, features: list[str], trees: int, pool: int, see
                     [t[n] for t in grown],
                     pa.list_(pa.float64() if n == "threshold" else pa.int32()),
                 )
-                for n in names
+                for n in NODE_FIELDS
             },
         }
     )
 
 
+def trees_by_key(table: pa.Table) -> dict[str, list[dict]]:
+    """Rows of the tree table as NumPy views, grouped by key and ordered by tree."""
+    table = table.sort_by([("model_key", "ascending"), ("tree_id", "ascending")])
+    ends = np.cumsum(pc.list_value_length(table["feature"]).to_numpy())
+    flat = {n: pc.list_flatten(table[n]).to_numpy() for n in NODE_FIELDS}
+    keys, samples = table["model_key"].to_pylist(), table["sample"].to_pylist()
+    found: dict[str, list[dict]] = {}
+    for row, (start, end) in enumerate(zip(np.append(0, ends[:-1]), ends)):
+        tree = {n: values[start:end] for n, values in flat.items()} | {"sample": samples[row]}
+        found.setdefault(keys[row], []).append(tree)
+    return found
+
+
 def pack_trees(trees: list[dict]) -> dict:
     """The trees of one key as flat arrays for scoring."""
     width = max(len(t["feature"]) for t in trees)
     shape = (len(trees), width)
-    feature, target = np.zeros(shape, np.int32), np.zeros((*shape, 2), np.int32)
+    feature, target = np.zeros(shape, np.intp), np.zeros((*shape, 2), np.intp)
     threshold, path = np.full(shape, np.inf), np.zeros(shape)
     for row, tree in enumerate(trees):
         n = len(tree["feature"])
         feature[row, :n] = np.maximum(tree["feature"], 0)
         threshold[row, :n] = tree["threshold"]
-        target[row, :n, 0] = np.asarray(tree["left"]) + row * width
-        target[row, :n, 1] = np.asarray(tree["right"]) + row * width
-        path[row, :n] = np.asarray(tree["depth"]) + average_path(tree["size"])
+        target[row, :n, 0] = tree["left"] + row * width
+        target[row, :n, 1] = tree["right"] + row * width
+        path[row, :n] = tree["depth"] + average_path(tree["size"])
     return {
         "feature": feature.ravel(),
         "threshold": threshold.ravel(),
-        "target": target.reshape(-1),
+        "target": target.ravel(),
         "path": path.ravel(),
         "roots": np.arange(len(trees)) * width,
         "depth": max(int(np.max(t["depth"])) for t in trees),
@@ -155,27 +169,31 @@ def pack_trees(trees: list[dict]) -> dict:
     }
 
 
-def path_scores(points: np.ndarray, packed: dict, block: int = 4096) -> np.ndarray:
-    """Anomaly score of each point: near -1 for isolated points, towards 0 for ordinary ones."""
-    scores = np.empty(len(points))
+def path_scores(points: np.ndarray, packed: dict, block: int = 1024) -> np.ndarray:
+    """Anomaly score of each point: near -1 for isolated points, towards 0 for ordinary ones.
+
+    All trees of a block of points are walked together; blocks are small enough for the cache.
+    """
+    scores, trees = np.empty(len(points)), len(packed["roots"])
+    norm = max(float(average_path(packed["sample"])), 1e-12)
     for start in range(0, len(points), block):
-        x = points[start : start + block]
-        row = np.arange(len(x))[:, None] * x.shape[1]
-        flat = x.ravel()
-        node = np.broadcast_to(packed["roots"], (len(x), len(packed["roots"])))
+        x = np.ascontiguousarray(points[start : start + block])
+        flat, row = x.ravel(), np.repeat(np.arange(len(x)) * x.shape[1], trees)
+        node = np.tile(packed["roots"], len(x))
         for _ in range(packed["depth"]):
-            right = flat[row + packed["feature"][node]] > packed["threshold"][node]
-            node = packed["target"][2 * node + right]
-        mean = packed["path"][node].mean(axis=1)
-        scores[start : start + block] = -np.exp2(-mean / max(average_path(packed["sample"]), 1e-12))
+            value = flat.take(packed["feature"].take(node) + row)
+            right = value > packed["threshold"].take(node)
+            node = packed["target"].take(2 * node + right)
+        mean = packed["path"].take(node).reshape(len(x), trees).mean(axis=1)
+        scores[start : start + block] = -np.exp2(-mean / norm)
     return scores
 
 
 def _score_frame(keys: pd.Series, points: pd.DataFrame, packed: dict) -> np.ndarray:
-    scores = np.full(len(keys), np.nan)
+    scores, matrix = np.full(len(keys), np.nan), points.to_numpy(float)
     for key, rows in keys.groupby(keys).indices.items():
         if key in packed:
-            scores[rows] = path_scores(points.to_numpy(float)[rows], packed[key])
+            scores[rows] = path_scores(matrix[rows], packed[key])
     return scores
 
 
@@ -221,10 +239,9 @@ class Forest:
 
     def nodes(self) -> DataFrame:
         """The forest as a node table."""
-        columns = ["feature", "threshold", "left", "right", "size", "depth"]
         return self.trees.select(
             "model_key", "tree_id",
-            F.posexplode(F.arrays_zip(*columns)).alias("node_id", "node"),
+            F.posexplode(F.arrays_zip(*NODE_FIELDS)).alias("node_id", "node"),
         ).select("model_key", "tree_id", "node_id", "node.*")
 
 
@@ -257,12 +274,8 @@ def _raw_scores(forest: Forest, keyed: DataFrame, broadcast_nodes: int) -> DataF
 
 
 def _score_by_broadcast(forest: Forest, ready: DataFrame, points: list[str]) -> DataFrame:
-    by_key: dict[str, list[dict]] = {}
-    for tree in forest.trees.toArrow().to_pylist():
-        by_key.setdefault(tree["model_key"], []).append(tree)
-    packed = ready.sparkSession.sparkContext.broadcast(
-        {key: pack_trees(sorted(trees, key=lambda t: t["tree_id"])) for key, trees in by_key.items()}
-    )
+    grown = trees_by_key(forest.trees.toArrow())
+    packed = ready.sparkSession.sparkContext.broadcast({k: pack_trees(t) for k, t in grown.items()})
 
     @F.pandas_udf("double")
     def raw_score(key: pd.Series, point: pd.DataFrame) -> pd.Series:
@@ -275,7 +288,8 @@ def _score_by_broadcast(forest: Forest, ready: DataFrame, points: list[str]) ->
 def _score_group(left: pa.Table, right: pa.Table, points: list[str]) -> pa.Table:
     raw = pa.nulls(len(left), pa.float64())
     if len(left) and len(right):
-        packed = pack_trees(sorted(right.to_pylist(), key=lambda t: t["tree_id"]))
+        (trees,) = trees_by_key(right).values()
+        packed = pack_trees(trees)
         matrix = np.column_stack([left[p].to_numpy() for p in points])
         raw = pa.array(path_scores(matrix, packed))
     return left.drop(points + ["salt"]).append_column("raw_score", raw)

@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from beaconlake.operators.alerts import alert_log, emitted
 from beaconlake.operators.decode import decode_frames, observations
 from beaconlake.operators.deviations import STATISTICS, with_profile
-from beaconlake.operators.iforest import BROADCAST_NODES, Forest, pack_trees, path_scores
+from beaconlake.operators.iforest import BROADCAST_NODES, Forest, pack_trees, path_scores, trees_by_key
 from beaconlake.operators.ranking import bucketed_row_number
 from beaconlake.operators.rules import with_reasons
 from beaconlake.schema import (
@@ -214,13 +214,9 @@ def _packed(forest: Forest):
             f"{nodes} model nodes are too many to broadcast; give each stream the models of the "
             "access points it receives, or score in batch"
         )
-    by_key: dict[str, list[dict]] = {}
-    for tree in forest.trees.toArrow().to_pylist():
-        by_key.setdefault(tree["model_key"], []).append(tree)
-    packed = {}
+    grown, packed = trees_by_key(forest.trees.toArrow()), {}
     for row in forest.params.toArrow().to_pylist():
-        trees = sorted(by_key[row["model_key"]], key=lambda t: t["tree_id"])
-        packed[row["model_key"]] = pack_trees(trees) | {
+        packed[row["model_key"]] = pack_trees(grown[row["model_key"]]) | {
             "means": np.array(row["means"]), "scales": np.array(row["scales"]), "offset": row["offset"],
         }
     return forest.trees.sparkSession.sparkContext.broadcast(packed)
