@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from beaconlake.functions.frames import signal_band
 from beaconlake.operators.profiles import completion_percent
-from beaconlake.schema import HIDDEN
+from beaconlake.schema import CHANNELS, HIDDEN
 
 NO_SIGNAL = -999
 
@@ -111,9 +111,14 @@ def select_target(
         beacons = beacons.filter(F.col("bssid") == bssid.lower())
     if ssid:
         beacons = beacons.filter(F.col("ssid") == ssid)
-    if channel:
-        beacons = beacons.filter(F.col("channel") == channel)
-    return beacons
+    return on_channels(beacons, channel) if channel else beacons
+
+
+def on_channels(beacons: DataFrame, locked: int | None = None) -> DataFrame:
+    """Rows of the locked channel, or of all configured channels and those that name none."""
+    if locked:
+        return beacons.filter(F.col("channel") == locked)
+    return beacons.filter(F.col("channel").isin([0, *CHANNELS]))
 
 
 def collection_summary(beacons: DataFrame) -> DataFrame:

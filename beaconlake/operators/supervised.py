@@ -12,7 +12,7 @@ from beaconlake.functions.frames import security_code
 from beaconlake.operators.iforest import available_features
 from beaconlake.operators.ranking import bucketed_row_number, value_counts, with_quantiles
 from beaconlake.schema import SEED, SUPERVISED_FEATURES
-from beaconlake.session import materialise
+from beaconlake.session import materialise, path_exists
 
 MIN_ROWS = 20
 TEST_SHARE = 0.2
@@ -241,18 +241,15 @@ def train_baseline(rows: DataFrame, path: str | None = None, retrain: bool = Fal
         F.lit(train_rows).alias("train_rows"), F.col("rows").alias("test_rows"),
     )
     if path is not None:
-        mode = "overwrite" if retrain else "error"
-        model.write().overwrite().save(f"{path}/model") if retrain else model.write().save(f"{path}/model")
-        metrics.write.mode(mode).parquet(f"{path}/metadata")
+        model.write().overwrite().save(f"{path}/model")
+        metrics.write.mode("overwrite").parquet(f"{path}/metadata")
         metrics = spark.read.parquet(f"{path}/metadata")
     return model, features, metrics
 
 
 def load_baseline(spark: SparkSession, path: str):
     """The saved model, its features and metrics, or None when nothing is saved there."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata/_SUCCESS")
-    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not system.exists(folder):
+    if not path_exists(spark, f"{path}/metadata/_SUCCESS"):
         return None
     metrics = spark.read.parquet(f"{path}/metadata")
     model = RandomForestClassificationModel.load(f"{path}/model")

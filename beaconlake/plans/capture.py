@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beaconlake.operators.ranking import bucketed_row_number
-from beaconlake.session import materialise
+from beaconlake.session import materialise, path_exists
 
 ACCESS_POINTS = 12
 FULL_RATES = "1.0,2.0,5.5,6.0,9.0,11.0,12.0,18.0,24.0,36.0,48.0,54.0"
@@ -69,7 +69,7 @@ def beacons(spark: SparkSession, data_dir: str) -> DataFrame:
 
 def _table(spark: SparkSession, data_dir: str, name: str, build) -> DataFrame:
     key = (spark.sparkContext.applicationId, data_dir, name)
-    if key not in _tables:
+    if key not in _tables or not path_exists(spark, _tables[key].inputFiles()[0]):
         source = spark.read.parquet(f"{data_dir.rstrip('/')}/events.parquet")
         _tables[key] = materialise(build(source), name)
     return _tables[key]

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from beaconlake.operators.alerts import alert_log, emitted
 from beaconlake.operators.decode import decode_frames, observations
-from beaconlake.operators.deviations import STATISTICS, with_profile
+from beaconlake.operators.deviations import with_profile
 from beaconlake.operators.iforest import BROADCAST_NODES, Forest, pack_trees, path_scores, trees_by_key
 from beaconlake.operators.ranking import bucketed_row_number
 from beaconlake.operators.rules import with_reasons

@@ -31,7 +31,8 @@ def test_strongest_first(make_beacons):
 
 @pytest.mark.parametrize("rssi, band", [(0, "none"), (-49, "strong"), (-50, "medium"), (-70, "weak")])
 def test_signal_band(make_beacons, rssi, band):
-    rows = inventory.listing(inventory.network_inventory(make_beacons([{"rssi": rssi, "ssid": "n" * 30}])))
+    heard = make_beacons([{"rssi": rssi, "ssid": "n" * 30}])
+    rows = inventory.listing(inventory.network_inventory(heard))
     assert (rows.first()["signal_band"], len(rows.first()["ssid"])) == (band, 24)
 
 
@@ -41,6 +42,12 @@ def test_select_target_ignores_case(make_beacons):
     assert inventory.select_target(rows).count() == 3
 
 
+def test_channel_restriction(make_beacons):
+    rows = make_beacons([{"channel": c} for c in (0, 1, 6, 6, 14, 36, 165)])
+    assert inventory.on_channels(rows, 6).count() == 2
+    assert inventory.on_channels(rows).count() == 5
+
+
 def observed(make_beacons, rows):
     """Observations with given jumps, skews and signals."""
     made = make_beacons([{} for _ in rows])
