@@ -6,7 +6,9 @@ from conftest import DATA
 
 import __spark_entry__ as driver
 
-QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
+# The corpus operators have tests of their own.
+QUERIES = {name: run for name, run in driver.queries().items() if name not in driver.CORPUS}
+ORACLES = {name: sql for name, sql in driver.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +17,7 @@ def duck():
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
