@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from beaconlake.llm.common import table
 from beaconlake.llm.sharding import byte_shards
+from beaconlake.llm.simhash import near_duplicates
 from beaconlake.llm.topk import exact_topk
 
 
@@ -11,6 +12,10 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("root")
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return exact_topk(vectors, vectors.filter("vec_id % 100 = 0"))
@@ -18,6 +23,7 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_shards": op1_shards,
+    "op5_simhash": op5_simhash,
     "op8_topk": op8_topk,
 }
 
