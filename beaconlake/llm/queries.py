@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from beaconlake.llm.common import table
+from beaconlake.llm.decontaminate import contamination
 from beaconlake.llm.sharding import byte_shards
 from beaconlake.llm.simhash import near_duplicates
 from beaconlake.llm.topk import exact_topk
@@ -16,6 +17,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("root")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return exact_topk(vectors, vectors.filter("vec_id % 100 = 0"))
@@ -24,10 +29,40 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_shards": op1_shards,
     "op5_simhash": op5_simhash,
+    "op6_decontaminate": op6_decontaminate,
     "op8_topk": op8_topk,
 }
 
 ORACLES = {
+    "op6_decontaminate": r"""
+        WITH d AS (
+          SELECT doc_id, row_number() OVER () AS uid, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+          FROM documents
+        ), b AS (
+          SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+          FROM benchmark WHERE item_id IS NOT NULL
+        ), bw AS (
+          SELECT DISTINCT item_id, size, array_to_string(w[i : i + size - 1], ' ') AS grams FROM (
+            SELECT item_id, w, least(10, len(w)) AS size, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i
+            FROM b WHERE len(w) > 0)
+        ), dw AS (
+          SELECT uid, i, s.size, array_to_string(w[i : i + s.size - 1], ' ') AS grams FROM (
+            SELECT uid, w, size, unnest(range(1, len(w) - size + 2)) AS i
+            FROM d, (SELECT DISTINCT size FROM bw) WHERE len(w) >= size) s
+        ), h AS (SELECT uid, i, dw.size, item_id FROM dw JOIN bw USING (grams, size)
+        ), p AS (SELECT uid, count(DISTINCT k) AS n_hit FROM (
+          SELECT uid, unnest(range(i, i + size)) AS k FROM h) GROUP BY uid
+        ), t AS (SELECT uid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+          FROM (SELECT DISTINCT uid, item_id FROM h) GROUP BY uid)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+          coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+          n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN p USING (uid) LEFT JOIN t USING (uid)
+    """,
     "op8_topk": """
         WITH v AS (
           SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
