@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from beaconlake.llm.common import table
 from beaconlake.llm.decontaminate import contamination
+from beaconlake.llm.packing import pack
 from beaconlake.llm.sharding import byte_shards
 from beaconlake.llm.simhash import near_duplicates
 from beaconlake.llm.topk import exact_topk
@@ -26,11 +27,16 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
+def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), keep_ids=False).drop("ids")
+
+
 QUERIES = {
     "op1_shards": op1_shards,
     "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
     "op8_topk": op8_topk,
+    "op10_pack": op10_pack,
 }
 
 ORACLES = {
