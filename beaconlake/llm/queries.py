@@ -8,6 +8,7 @@ from beaconlake.llm.packing import pack
 from beaconlake.llm.sharding import byte_shards
 from beaconlake.llm.simhash import near_duplicates
 from beaconlake.llm.topk import exact_topk
+from beaconlake.llm.transducer import token_counts
 
 
 def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return exact_topk(vectors, vectors.filter("vec_id % 100 = 0"))
@@ -35,6 +40,7 @@ QUERIES = {
     "op1_shards": op1_shards,
     "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
+    "op7_token_counts": op7_token_counts,
     "op8_topk": op8_topk,
     "op10_pack": op10_pack,
 }
