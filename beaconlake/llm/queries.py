@@ -4,17 +4,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from beaconlake.llm.common import table
 from beaconlake.llm.decontaminate import contamination
+from beaconlake.llm.language import identify_documents, identify_pages
 from beaconlake.llm.packing import pack
+from beaconlake.llm.pii import pseudonymise
 from beaconlake.llm.sharding import byte_shards
 from beaconlake.llm.simhash import near_duplicates
 from beaconlake.llm.topk import exact_topk
 from beaconlake.llm.transducer import token_counts
 
+#: Key of the surrogates in the query; users bring their own secret.
+PII_KEY = b"key of the named query"
+
 
 def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(documents, PII_KEY)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("root")
 
@@ -32,16 +42,25 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    pages = identify_pages(table(spark, sf_dir, "pages"), documents)
+    found = identify_documents(documents, ["doc_id"])
+    return found.unionByName(pages, allowMissingColumns=True)
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), keep_ids=False).drop("ids")
 
 
 QUERIES = {
     "op1_shards": op1_shards,
+    "op2_pii": op2_pii,
     "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_counts": op7_token_counts,
     "op8_topk": op8_topk,
+    "op9_language": op9_language,
     "op10_pack": op10_pack,
 }
 

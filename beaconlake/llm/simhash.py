@@ -182,5 +182,6 @@ def keep_one(documents: DataFrame, width: int = 3) -> DataFrame:
     rows = materialise(documents.withColumn(UID, F.monotonically_increasing_id()), "simhash-rows")
     found = materialise(near_duplicates(rows, ("doc_id", UID), width), "simhash-found")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", UID)
-    kept = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col(f"first.{UID}").alias(UID))
-    return rows.join(kept, UID, "left_semi").select(*documents.columns)
+    first = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col(f"first.{UID}").alias(UID))
+    dropped = found.join(first, UID, "left_anti").select(UID)
+    return rows.join(dropped, UID, "left_anti").select(*documents.columns)
