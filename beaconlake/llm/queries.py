@@ -10,6 +10,7 @@ from beaconlake.llm.pii import pseudonymise
 from beaconlake.llm.sharding import byte_shards
 from beaconlake.llm.simhash import near_duplicates
 from beaconlake.llm.topk import exact_topk
+from beaconlake.llm.toxicity import toxicity
 from beaconlake.llm.transducer import token_counts
 
 #: Key of the surrogates in the query; users bring their own secret.
@@ -25,6 +26,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(documents, PII_KEY)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("root")
 
@@ -56,6 +61,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_shards": op1_shards,
     "op2_pii": op2_pii,
+    "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_counts": op7_token_counts,
