@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from beaconlake.llm.common import table
 from beaconlake.llm.decontaminate import contamination
 from beaconlake.llm.language import identify_documents, identify_pages
+from beaconlake.llm.mixing import language_scores
 from beaconlake.llm.packing import pack
 from beaconlake.llm.pii import pseudonymise
 from beaconlake.llm.sharding import byte_shards
@@ -26,6 +27,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(documents, PII_KEY)
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,6 +66,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_shards": op1_shards,
     "op2_pii": op2_pii,
+    "op3_language_model": op3_language_model,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
