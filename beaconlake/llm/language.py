@@ -148,8 +148,9 @@ def _score(model: TrigramModel, carry: list[str], pages: bool):
                 for name in ("declared", "suffix", "domain", "host"):
                     out[name] = frame[name]
             scores, background, sizes = model.score(texts)
+            weights = normalised(TEMPER * scores) * (sizes > 0)[:, None] if len(frame) else scores
             for i in range(len(model.languages)):
-                out[f"s{i}"] = TEMPER * scores[:, i]
+                out[f"s{i}"], out[f"w{i}"] = TEMPER * scores[:, i], weights[:, i]
             excess = TEMPER * (scores.max(axis=1, initial=-np.inf) - 3 * background)
             out["evidence"] = np.where(sizes > 0, excess / np.maximum(sizes, 1), -np.inf)
             out["trigrams"] = sizes
@@ -158,57 +159,66 @@ def _score(model: TrigramModel, carry: list[str], pages: bool):
     return run
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+LEVELS = ("declared", "suffix", "domain", "host")
 
 
-def _softmax(names: list[str]) -> list[str]:
-    """SQL for the normalised exponentials of the columns ``names``."""
-    top = f"array_max(array({', '.join(names)}))"
-    total = " + ".join(f"exp({n} - {top})" for n in names)
-    return [f"exp({n} - {top}) / ({total})" for n in names]
+def normalised(logs: np.ndarray) -> np.ndarray:
+    """Probabilities from log weights, row by row."""
+    weights = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return weights / weights.sum(axis=1, keepdims=True)
 
 
-def _with(df: DataFrame, prefix: str, expressions: list[str]) -> DataFrame:
-    return df.selectExpr("*", *[f"{e} AS {prefix}{i}" for i, e in enumerate(expressions)])
+def posterior(own: np.ndarray, scores: np.ndarray, sums: dict[str, np.ndarray], corpus: np.ndarray, declared: np.ndarray):
+    """Fuse the evidence of some rows.
 
+    ``own`` are the rows' text weights, ``sums`` the summed weights of their level values with NaN where
+    the value is missing, ``corpus`` those of all rows; ``declared`` marks the declared language.
+    """
+    languages = len(corpus)
+    others = np.maximum(corpus - own, 0)
+    logs = scores.copy()
+    prior = (others + 1) / (others.sum(axis=1, keepdims=True) + languages)
+    for level in ("domain", "host"):
+        rest = np.maximum(np.nan_to_num(sums[level] - own), 0)
+        prior = (rest + SMOOTHING * prior) / (rest.sum(axis=1, keepdims=True) + SMOOTHING)
+    logs += np.log(prior)
+    said = (np.maximum(sums["declared"] - own, 0) + 0.5 + DECLARED_TRUST * declared) / (others + DECLARED_TRUST + languages)
+    below = (np.maximum(sums["suffix"] - own, 0) + 0.5) / (others + languages)
+    return normalised(logs + np.nan_to_num(np.log(said)) + np.nan_to_num(np.log(below)))
+
+
+def _judge(languages: list[str], corpus: np.ndarray, carry: list[str]):
+    each = range(len(languages))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            own = frame[[f"w{i}" for i in each]].to_numpy(dtype=float)
+            scores = frame[[f"s{i}" for i in each]].to_numpy(dtype=float)
+            sums = {level: frame[[f"{level}_{i}" for i in each]].to_numpy(dtype=float) for level in LEVELS}
+            declared = (frame["declared"].to_numpy()[:, None] == np.array(languages, dtype=object)[None, :]).astype(float)
+            found = posterior(own, scores, sums, corpus, declared.reshape(len(frame), len(languages)))
+            best = found.argmax(axis=1) if len(frame) else np.empty(0, int)
+            out = frame[[*carry, "declared"]].copy()
+            out["language"] = np.array(languages, dtype=object)[best]
+            out["probability"] = found[np.arange(len(frame)), best]
+            sound = (frame["trigrams"] > 0) & (frame["evidence"] >= LEAST_EVIDENCE)
+            out["accepted"] = sound & (out["probability"] >= LEAST_PROBABILITY)
+            yield out
 
-def fuse(scored: DataFrame, languages: list[str], carry: list[str]) -> DataFrame:
-    """Posterior of each row from its text scores ``s0, s1, ...`` and its other evidence."""
+    return run
+
+
+def fuse(scored: DataFrame, languages: list[str], carry: list[str], kinds: str) -> DataFrame:
+    """Posterior of each row from its text scores and weights and its other evidence."""
     each = range(len(languages))
-    weights = [f"IF(trigrams > 0, {w}, 0D)" for w in _softmax([f"s{i}" for i in each])]
-    rows = materialise(_with(scored, "w", weights), "language-text")
+    rows = materialise(scored, "language-text")
     sums = rows.agg(*[F.coalesce(F.sum(f"w{i}"), F.lit(0.0)) for i in each]).first()
-    for level in ("declared", "suffix", "domain", "host"):
+    joined = rows
+    for level in LEVELS:
         counted = [F.sum(f"w{i}").alias(f"{level}_{i}") for i in each]
-        counts = rows.filter(F.col(level).isNotNull()).groupBy(level).agg(*counted)
-        scored = (scored if level != "declared" else rows).join(counts, level, "left")
-
-    def others(level: str) -> list[str]:
-        """Weight that the other rows of the level give each language."""
-        return [f"greatest(coalesce({level}_{i}, w{i}) - w{i}, 0D)" for i in each]
-
-    corpus = [f"greatest({sums[i]}D - w{i}, 0D)" for i in each]
-    fused = _with(scored, "prior_", [f"({n} + 1D) / ({' + '.join(corpus)} + {len(languages)}D)" for n in corpus])
-    for level, wider in (("domain", "prior_"), ("host", "of_domain_")):
-        total = f"({' + '.join(others(level))} + {SMOOTHING}D)"
-        smoothed = [f"({n} + {SMOOTHING}D * {wider}{i}) / {total}" for i, n in enumerate(others(level))]
-        fused = _with(fused, f"of_{level}_", smoothed)
-    logs = []
-    for i, language in enumerate(languages):
-        trust = f"IF(declared = {_quoted(language)}, {DECLARED_TRUST}D, 0D)"
-        said = f"({others('declared')[i]} + 0.5D + {trust}) / ({corpus[i]} + {DECLARED_TRUST + len(languages)}D)"
-        under = f"({others('suffix')[i]} + 0.5D) / ({corpus[i]} + {len(languages)}D)"
-        logs.append(
-            f"s{i} + ln(of_host_{i}) + IF(declared IS NULL, 0D, ln({said})) + IF(suffix IS NULL, 0D, ln({under}))"
-        )
-    fused = _with(fused, "fused_", logs)
-    fused = _with(fused, "posterior_", _softmax([f"fused_{i}" for i in each]))
-    pairs = [f"struct(posterior_{i} AS p, {-i} AS rank, {_quoted(language)} AS name)" for i, language in enumerate(languages)]
-    return fused.selectExpr("*", f"array_max(array({', '.join(pairs)})) AS best").selectExpr(
-        *carry, "declared", "best.name AS language", "best.p AS probability",
-        f"trigrams > 0 AND best.p >= {LEAST_PROBABILITY} AND evidence >= {LEAST_EVIDENCE} AS accepted",
-    )
+        joined = joined.join(rows.filter(F.col(level).isNotNull()).groupBy(level).agg(*counted), level, "left")
+    judge = _judge(languages, np.array([float(x) for x in sums]), carry)
+    return joined.mapInPandas(judge, f"{kinds}, declared string, language string, probability double, accepted boolean")
 
 
 def identify(rows: DataFrame, model: TrigramModel, carry: list[str], pages: bool = False) -> DataFrame:
@@ -226,9 +236,9 @@ def identify(rows: DataFrame, model: TrigramModel, carry: list[str], pages: bool
             *carry, F.lit(None).cast("string").alias("declared"), F.lit(None).cast("string").alias("language"),
             F.lit(None).cast("double").alias("probability"), F.lit(False).alias("accepted"),
         )
-    scores = ", ".join(f"s{i} double" for i in range(len(known)))
+    scores = ", ".join(f"s{i} double, w{i} double" for i in range(len(known)))
     schema = f"{kinds}, declared string, suffix string, domain string, host string, {scores}, evidence double, trigrams long"
-    return fuse(rows.mapInPandas(_score(model, carry, pages), schema), known, carry)
+    return fuse(rows.mapInPandas(_score(model, carry, pages), schema), known, carry, kinds)
 
 
 def identify_documents(documents: DataFrame, carry: list[str]) -> DataFrame:
