@@ -59,7 +59,8 @@ def _counts(vocabulary: frozenset):
             for text in frame["text"]:
                 counts.update(words_of(text))
             known = vocabulary & counts.keys()
-            yield pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in known], "n": [counts[w] for w in known]})
+            rows = [(w.decode("utf-8", "replace"), counts[w]) for w in known]
+            yield pd.DataFrame(rows, columns=["word", "n"])
 
     return run
 

@@ -97,8 +97,8 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = {0: Counter(), 1: Counter()}
         for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
             counts[int(toxic)].update(features_of(text))
-        names = list(counts[0].keys() | counts[1].keys())
-        yield pd.DataFrame({"feature": names, "toxic": [counts[1][n] for n in names], "clean": [counts[0][n] for n in names]})
+        rows = [(n, counts[1][n], counts[0][n]) for n in counts[0].keys() | counts[1].keys()]
+        yield pd.DataFrame(rows, columns=["feature", "toxic", "clean"])
 
 
 def learning_rows(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
