@@ -5,17 +5,23 @@ from pyspark.sql import functions as F
 
 from beaconlake.functions import sequence as S
 from beaconlake.functions.frames import security_code
+from beaconlake.operators.deviations import with_profile
 from beaconlake.operators.slicing import SLICED_KEY, halo, with_slices
 from beaconlake.schema import HISTORY, MIN_HISTORY, ORDER
 
 
-def sequence_features(beacons: DataFrame, tiers: int = 3, **slicing) -> DataFrame:
-    """Add the sequential features and ``slice``.
+def sequence_features(
+    beacons: DataFrame, tiers: int = 3, profiles: DataFrame | None = None, **slicing
+) -> DataFrame:
+    """Add the sequential features and ``slice``, and on request the profile columns.
 
     One exchange on ``(sensor_id, bssid, slice)`` serves every window here and any later window
-    on the same columns.
+    on the same columns. Profiles are joined below that exchange: a later join by access point
+    would bring the slices of a hot one together again.
     """
     sliced, any_hot = with_slices(beacons, **slicing)
+    if profiles is not None:
+        sliced = with_profile(sliced, profiles)
     rows = sliced.withColumn("_halo", F.lit(False))
     if any_hot:
         earlier = halo(sliced).withColumn("_halo", F.lit(True))

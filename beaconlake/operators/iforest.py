@@ -1,7 +1,8 @@
 """Isolation forests per access point, or one for all rows.
 
-Isolation Forest: Liu, Ting and Zhou, ICDM 2008. Spark shuffles a bounded uniform sample of every
-key to the task that grows that key's trees, and scores all rows in parallel.
+Isolation Forest: Liu, Ting and Zhou, ICDM 2008. Every tree draws its own uniform sample from all
+rows of its key; Spark shuffles the samples to the tasks that grow a key's trees, some to a
+task, and scores all rows in parallel.
 """
 
 import math
@@ -22,7 +23,10 @@ from beaconlake.schema import (
 from beaconlake.session import materialise
 
 SAMPLE = 256
+TREES_PER_TASK = 25
 ROWS_PER_GROUP = 500_000
+# Rows without a model are spread over this many keys, so that none of them is hot.
+SPREAD = 1024
 # A forest up to this many nodes is broadcast (about 30 bytes each); a larger one is joined.
 BROADCAST_NODES = 2_000_000
 NODE_FIELDS = ["feature", "threshold", "left", "right", "size", "depth"]
@@ -46,12 +50,17 @@ def grow_trees(points: np.ndarray, trees: int, rng: np.random.Generator) -> list
     Each tree takes its own sample without replacement. A node splits on a random feature that
     still varies in it, at a uniform point of that feature's range.
     """
-    rows, width = points.shape
-    sample = min(SAMPLE, rows)
-    limit = math.ceil(math.log2(max(sample, 2)))
-    chosen = np.stack([rng.permutation(rows)[:sample] for _ in range(trees)])
-    x = points[chosen.ravel()]
-    node = np.repeat(np.arange(trees), sample)  # the node each sampled point is in
+    sample = min(SAMPLE, len(points))
+    chosen = np.concatenate([rng.permutation(len(points))[:sample] for _ in range(trees)])
+    return grow_sampled(points[chosen], np.full(trees, sample), rng)
+
+
+def grow_sampled(x: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> list[dict]:
+    """Grow trees from their samples, which follow each other in ``x``."""
+    trees, width = len(sizes), x.shape[1]
+    samples = sizes
+    limit = math.ceil(math.log2(max(int(sizes.max()), 2)))
+    node = np.repeat(np.arange(trees), sizes)  # the node each sampled point is in
     tree = np.arange(trees)
     levels, first = [], 0
     for depth in range(limit + 1):
@@ -97,7 +106,7 @@ def grow_trees(points: np.ndarray, trees: int, rng: np.random.Generator) -> list
         grown.append(
             {
                 "tree_id": number,
-                "sample": sample,
+                "sample": int(samples[number]),
                 "feature": nodes["feature"][mine],
                 "threshold": nodes["threshold"][mine],
                 # Node numbers become positions inside the tree.
@@ -110,16 +119,20 @@ def grow_trees(points: np.ndarray, trees: int, rng: np.random.Generator) -> list
     return grown
 
 
-def _grow_group(table: pa.Table, features: list[str], trees: int, pool: int, seed: int) -> pa.Table:
-    """All trees of one key from its sample: at most a little more than ``pool`` rows."""
-    ordered = table.sort_by([("draw", "ascending"), ("row_id", "ascending")]).slice(0, pool)
+def _grow_block(table: pa.Table, features: list[str], seed: int) -> pa.Table:
+    """The trees of one block of a key, each from the lowest of its own draws."""
+    ordered = table.sort_by([("tree_id", "ascending"), ("draw", "ascending"), ("row_id", "ascending")])
     key = ordered["model_key"][0].as_py()
-    points = np.column_stack([ordered[f].to_numpy() for f in features])
-    grown = grow_trees(points, trees, np.random.default_rng([seed, zlib.crc32(key.encode())]))
+    numbers, starts = np.unique(ordered["tree_id"].to_numpy(), return_index=True)
+    sizes = np.minimum(np.diff(np.append(starts, len(ordered))), SAMPLE)
+    taken = np.concatenate([np.arange(at, at + n) for at, n in zip(starts, sizes)])
+    points = np.column_stack([ordered[f].to_numpy()[taken] for f in features])
+    rng = np.random.default_rng([seed, zlib.crc32(key.encode()), int(numbers[0])])
+    grown = grow_sampled(points, sizes, rng)
     return pa.table(
         {
-            "model_key": [key] * trees,
-            "tree_id": pa.array([t["tree_id"] for t in grown], pa.int32()),
+            "model_key": [key] * len(grown),
+            "tree_id": pa.array(numbers, pa.int32()),
             "sample": pa.array([t["sample"] for t in grown], pa.int32()),
             **{
                 n: pa.array(
@@ -232,7 +245,9 @@ class Forest:
         Null where the key has no model or ``where`` is false. A missing feature counts as 0.
         """
         key = F.lit("all") if self.key is None else F.col(self.key)
-        keyed = rows.withColumn("model_key", F.when(F.lit(True) if where is None else where, key))
+        no_model = F.concat(F.lit("\u0000"), F.pmod(_row_hash(rows), F.lit(SPREAD)).cast("string"))
+        chosen = F.when(F.lit(True) if where is None else where, key)
+        keyed = rows.withColumn("model_key", F.coalesce(chosen, no_model))
         raw = _raw_scores(self, keyed, broadcast_nodes)
         decision = F.col("raw_score") - F.col("offset")
         return raw.withColumn(into, decision).drop("model_key", "raw_score", "offset")
@@ -245,6 +260,11 @@ class Forest:
         ).select("model_key", "tree_id", "node_id", "node.*")
 
 
+def _row_hash(rows: DataFrame) -> Column:
+    """A hash of what tells rows apart, to spread them."""
+    return F.xxhash64(F.lit(0), *[c for c in ("row_id", "sensor_id", "frame_id", "capture_us") if c in rows.columns])
+
+
 def _scaled(features: list[str], have: list[str]) -> list[Column]:
     return [
         (
@@ -298,24 +318,26 @@ def _score_group(left: pa.Table, right: pa.Table, points: list[str]) -> pa.Table
 def _score_by_cogroup(
     forest: Forest, ready: DataFrame, points: list[str], rows_per_group: int = ROWS_PER_GROUP
 ) -> DataFrame:
-    """Bring rows and trees together by key; hot keys are salted and their trees repeated."""
+    """Bring rows and trees together by key; hot keys are salted and their trees repeated.
+
+    The table of salts grows with rows / ``rows_per_group`` and is joined without a hint.
+    """
     salts = materialise(
         ready.groupBy("model_key")
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") > rows_per_group)
         .select("model_key", F.ceil(F.col("n") / rows_per_group).alias("salts")),
         "model-salts",
-    )  # at most rows / rows_per_group rows
+    )
     names = [c for c in ready.columns if c not in points]
     spread = F.coalesce("salts", F.lit(1))
     salted = (
-        ready.join(F.broadcast(salts.withColumnRenamed("model_key", "_k")),
-                   F.col("model_key").eqNullSafe(F.col("_k")), "left")
-        .withColumn("salt", F.pmod(F.xxhash64("frame_id"), spread))
-        .drop("_k", "salts")
+        ready.join(salts, "model_key", "left")
+        .withColumn("salt", F.pmod(_row_hash(ready), spread))
+        .select(*names, *points, "salt")
     )
     trees = (
-        forest.trees.join(F.broadcast(salts), "model_key", "left")
+        forest.trees.join(salts, "model_key", "left")
         .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), spread - 1)))
         .drop("salts")
     )
@@ -344,16 +366,30 @@ def available_features(candidates: list[str], rows: DataFrame) -> list[str]:
     return found
 
 
+def _drawn_trees(trees: int) -> str:
+    """SQL for the trees whose sample a row is in, each with the chance ``share`` of its own.
+
+    The first one follows from one geometric draw, so that most rows of a large key cost one hash.
+    """
+    uniform = f"(shiftrightunsigned(draw, 11) / {float(1 << 53)}D)"
+    first = f"CAST(least(ln(1D - {uniform}) / ln(1D - share), {trees}D) AS INT)"
+    other = f"shiftrightunsigned(xxhash64(draw, t), 11) / {float(1 << 53)}D < share"
+    return (
+        f"CASE WHEN share >= 1 THEN sequence(0, {trees - 1}) WHEN {first} < {trees} THEN "
+        f"concat(array({first}), filter(sequence({first} + 1, {trees}), t -> t < {trees} AND {other})) END"
+    )
+
+
 def _fit(
     rows: DataFrame, features: list[str], key: str | None, trees: int, fill_zero: bool,
-    min_rows: int, min_usable: int, seed: int, contamination: float,
+    min_rows: int, min_usable: int, seed: int, contamination: float, broadcast_nodes: int,
 ) -> Forest:
     values = [finite(F.col(f)) for f in features]
     if fill_zero:
         values = [F.coalesce(v, F.lit(0.0)) for v in values]
     model_key = F.lit("all") if key is None else F.col(key)
-    # Hashed draw in [0, 1): the same row gets the same draw whatever the partitioning.
-    draw = F.shiftrightunsigned(F.xxhash64("sensor_id", "frame_id", F.lit(seed)), 11) / float(1 << 53)
+    # Draws come from a hash, so a row gets the same ones whatever the partitioning.
+    draw = F.xxhash64("sensor_id", "frame_id", F.lit(seed))
     usable = F.lit(True)
     for f in features:
         usable = usable & F.col(f).isNotNull()
@@ -377,27 +413,25 @@ def _fit(
         .filter((F.col("observations") >= min_rows) & (F.col("rows") >= min_usable)),
         "forest-scaling",
     )
-    pool = trees * SAMPLE
-    # Thin each key to a little over the pool before anything is shuffled.
-    share = (pool + 6 * math.sqrt(pool)) / F.col("rows")
-    scaled = _scaled(features, features)
+    scaled = [c.alias(f) for c, f in zip(_scaled(features, features), features)]
+    chances = training.filter("usable").join(params, "model_key").withColumn(
+        "share", F.lit(SAMPLE + 6 * math.sqrt(SAMPLE)) / F.col("rows")
+    )
     sampled = (
-        training.filter("usable")
-        .join(params, "model_key")
-        .filter(F.col("draw") < share)
-        .select("model_key", "draw", "row_id", *[c.alias(f) for c, f in zip(scaled, features)])
+        chances.withColumn("tree_id", F.explode(F.expr(_drawn_trees(trees))))
+        .withColumn("draw", F.xxhash64("draw", "tree_id", F.lit("order")))
+        .select("model_key", "tree_id", "draw", "row_id", *scaled)
     )
 
     def grow(table: pa.Table) -> pa.Table:
-        return _grow_group(table, features, trees, pool, seed)
+        return _grow_block(table, features, seed)
 
-    tree_table = materialise(sampled.groupBy("model_key").applyInArrow(grow, TREE_SCHEMA), "forest-trees")
+    block = F.floor(F.col("tree_id") / TREES_PER_TASK).alias("block")
+    tree_table = materialise(sampled.groupBy("model_key", block).applyInArrow(grow, TREE_SCHEMA), "forest-trees")
     unset = Forest(tree_table, params, features, "model_key")
-    scores = _raw_scores(unset, training.filter("usable").drop("draw"), BROADCAST_NODES)
-    # Rounding bounds the number of distinct scores per key for the exact quantile.
-    offsets = quantiles(
-        scores, ["model_key"], "round(raw_score, 6)", {"offset": contamination}
-    )
+    raw = _raw_scores(unset, training.filter("usable").drop("draw", "usable"), broadcast_nodes)
+    scores = materialise(raw.filter("raw_score IS NOT NULL").select("model_key", "raw_score"), "forest-scores")
+    offsets = quantiles(scores, ["model_key"], "raw_score", {"offset": contamination})
     ranges = scores.groupBy("model_key").agg(
         F.min("raw_score").alias("low"), F.max("raw_score").alias("high")
     )
@@ -413,23 +447,24 @@ def _fit(
 
 def fit_per_ap(
     observations: DataFrame, profiles: DataFrame, trees: int = 100, seed: int = SEED,
-    contamination: float = CONTAMINATION,
+    contamination: float = CONTAMINATION, broadcast_nodes: int = BROADCAST_NODES,
 ) -> Forest:
     """One forest per profiled access point with enough rows; rows with bad values are left out."""
     features = available_features(AP_MODEL_FEATURES, observations)
     profiled = observations.join(profiles.select("bssid"), "bssid", "left_semi")
     return _fit(
         profiled, features, "bssid", trees, False, MIN_MODEL_ROWS, MIN_USABLE_ROWS, seed,
-        contamination,
+        contamination, broadcast_nodes,
     )
 
 
 def fit_global(
-    deviations: DataFrame, trees: int = 200, seed: int = SEED, contamination: float = CONTAMINATION
+    deviations: DataFrame, trees: int = 200, seed: int = SEED, contamination: float = CONTAMINATION,
+    broadcast_nodes: int = BROADCAST_NODES,
 ) -> Forest:
     """One forest over all rows and all available features; bad values count as 0."""
     features = available_features(GLOBAL_MODEL_FEATURES, deviations)
-    return _fit(deviations, features, None, trees, True, 1, 1, seed, contamination)
+    return _fit(deviations, features, None, trees, True, 1, 1, seed, contamination, broadcast_nodes)
 
 
 def score_range(forest: Forest) -> DataFrame:

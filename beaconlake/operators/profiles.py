@@ -25,25 +25,26 @@ def _summaries(observations: DataFrame, skew: str, keep: str) -> DataFrame:
     numbers = {name: name for name in [*NUMBER_MODES, "rssi", "seq_jump"]}
     numbers |= {"clock_skew": skew, "beacons": "1"}
     counts = value_counts(observations, ["bssid"], numbers, {c: c for c in TEXT_MODES})
-    whole = "OVER (PARTITION BY bssid, field)"
-    marked = (
-        with_quantiles(counts, ["bssid", "field"], {"q1": 0.25, "q3": 0.75})
-        .selectExpr("*", f"CASE WHEN {keep} THEN n END AS kept_n", f"CASE WHEN {keep} THEN num END AS kept_num")
-        .selectExpr("*", f"sum(kept_n * num) {whole} / sum(kept_n) {whole} AS mean")
+    marked = with_quantiles(counts, ["bssid", "field"], {"q1": 0.25, "q3": 0.75}).selectExpr(
+        "*", f"CASE WHEN {keep} THEN n END AS kept_n", f"CASE WHEN {keep} THEN num END AS kept_num",
+        # Moments are taken around a middle value, so that they lose no digits.
+        "num - q1 AS off",
     )
     return (
         marked.groupBy("bssid", "field")
         .agg(
             F.expr("coalesce(sum(kept_n), 0) AS kept"),
-            F.expr("first(mean) AS mean"),
+            F.expr("max(q1) AS middle"),
+            F.expr("sum(kept_n * off) AS offs"),
+            F.expr("sum(kept_n * off * off) AS squares"),
             F.expr("min(kept_num) AS low"),
             F.expr("max(kept_num) AS high"),
-            F.expr("sum(kept_n * power(num - mean, 2)) AS squares"),
             # Most frequent value; the smallest one wins a tie.
             F.expr("min(struct(-n AS rank, num, txt)) AS mode"),
         )
+        .selectExpr("*", "middle + offs / nullif(kept, 0) AS mean")
         .selectExpr(
-            "*", "CASE WHEN kept > 1 THEN sqrt(squares / nullif(kept - 1, 0)) ELSE 0D END AS std"
+            "*", "CASE WHEN kept > 1 THEN sqrt(greatest(squares - offs * offs / kept, 0D) / (kept - 1)) ELSE 0D END AS std"
         )
     )
 

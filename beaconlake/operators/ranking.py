@@ -1,10 +1,17 @@
 """Row numbers and exact quantiles that hold when one key has most of the rows."""
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from beaconlake.session import materialise
+
+# Ranges that a key's values are cut into.
+RANGES = 128
+
 
 def bucketed_row_number(
     df: DataFrame, keys: Sequence[str], bucket: Column, order_by: Sequence, name: str
@@ -60,20 +67,52 @@ def value_counts(
     )
 
 
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on keys that may be null."""
+    renamed = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    match = [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys]
+    return left.join(renamed, reduce(and_, match), "left").drop(*[f"_same_{k}" for k in keys])
+
+
 def with_quantiles(counts: DataFrame, keys: Sequence[str], probs: dict[str, float]) -> DataFrame:
-    """Add to each value its key's linearly interpolated quantiles (weighted by ``n``) and ``rows``."""
-    whole = f"PARTITION BY {', '.join(keys)}" if keys else ""
-    ranked = counts.selectExpr(
-        "*", f"sum(n) OVER ({whole} ORDER BY num) AS _upto", f"sum(n) OVER ({whole}) AS rows"
+    """Add to each value its key's linearly interpolated quantiles (weighted by ``n``) and ``rows``.
+
+    A key's values are cut into ranges at approximate quantiles of its distinct values. The counts
+    of the ranges before a range and a window inside it give every value's exact rank, so no
+    task has all values of a key.
+    """
+    stored = materialise(counts if keys else counts.withColumn("_all", F.lit(0)), "value-counts")
+    keys = list(keys) or ["_all"]
+    cuts = F.percentile_approx("num", [i / RANGES for i in range(1, RANGES)], 10 * RANGES)
+    edges = stored.groupBy(*keys).agg(cuts.alias("_edges"))
+    ranged = _same(stored, edges, keys).withColumn(
+        "_range", F.expr("size(filter(coalesce(_edges, array()), e -> e < num))")
+    )
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = (
+        ranged.groupBy(*keys, "_range")
+        .agg(F.sum("n").alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .withColumn("rows", F.sum("_n").over(whole))
+        .drop("_n")
     )
+    inside = Window.partitionBy(*keys, "_range").orderBy("num")
+    ranked = _same(ranged, sizes, [*keys, "_range"]).withColumn("_upto", F.col("_before") + F.sum("n").over(inside))
 
-    def at(prob: float) -> str:
+    found = []
+    for number, prob in enumerate(probs.values()):
         place = f"((rows - 1) * {float(prob)}D)"
-        below = f"min(CASE WHEN _upto > floor({place}) THEN num END) OVER ({whole})"
-        above = f"min(CASE WHEN _upto > ceil({place}) THEN num END) OVER ({whole})"
-        return f"{below} + ({above} - {below}) * ({place} - floor({place}))"
-
-    return ranked.selectExpr("*", *[f"{at(p)} AS {name}" for name, p in probs.items()]).drop("_upto")
+        found += [
+            F.expr(f"min(CASE WHEN _upto > floor({place}) THEN num END) AS _low{number}"),
+            F.expr(f"min(CASE WHEN _upto > ceil({place}) THEN num END) AS _high{number}"),
+        ]
+    ends = ranked.groupBy(*keys).agg(F.max("rows").alias("rows"), *found)
+    values = []
+    for number, (name, prob) in enumerate(probs.items()):
+        place = f"((rows - 1) * {float(prob)}D)"
+        values.append(f"_low{number} + (_high{number} - _low{number}) * ({place} - floor({place})) AS {name}")
+    return _same(stored, ends.selectExpr(*keys, "rows", *values), keys).drop("_all")
 
 
 def quantiles(

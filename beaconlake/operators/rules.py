@@ -67,16 +67,16 @@ def _conditions() -> dict[str, Column]:
     }
 
 
-def evidence(features: DataFrame, profiles: DataFrame) -> DataFrame:
+def evidence(features: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     """Add ``ev_<rule>`` flags, ``threat_score`` (0 to 1) and ``suspicious``.
 
-    Scores are summed in integer hundredths. Access points without a profile never give evidence.
+    Without ``profiles`` the rows bring their profile columns along. Scores are summed in integer hundredths. Access points without a profile never give evidence.
     A ``model_score`` column, when present, feeds the model rule.
     """
     rows = features
     if "model_score" not in rows.columns:
         rows = rows.withColumn("model_score", F.lit(None).cast("double"))
-    joined = with_profile(rows, profiles)
+    joined = rows if profiles is None else with_profile(rows, profiles)
     flags = {
         rule: F.when(F.col("p_known") & condition, F.lit(1)).otherwise(F.lit(0))
         for rule, condition in _conditions().items()

@@ -2,7 +2,8 @@
 
 A key with more than ``rows_per_slice`` rows is cut into time slices. Sequential operators then
 partition by ``(key, slice)`` and receive the few earlier rows they look back to as halo rows.
-Other keys have a null slice and stay whole.
+Other keys have a null slice and stay whole. Slices end where the row count of fine time buckets
+says so, so a burst is cut as finely as a steady flow.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -12,28 +13,29 @@ from beaconlake.schema import HISTORY, KEY, ORDER
 from beaconlake.session import materialise
 
 ROWS_PER_SLICE = 1_000_000
-BUCKET_US = 3_600_000_000
+BUCKET_US = 1_000_000
 SLICED_KEY = [*KEY, "slice"]
 CARRIED = [*ORDER, "seq_num", "beacon_timestamp"]
 
 
-def hot_keys(
+def hot_slices(
     df: DataFrame, rows_per_slice: int = ROWS_PER_SLICE, bucket_us: int = BUCKET_US
 ) -> DataFrame:
-    """Keys above ``rows_per_slice`` with the slice width that their densest bucket calls for.
+    """``key, bucket, slice`` for the buckets of keys with more than ``rows_per_slice`` rows.
 
-    At most ``rows / rows_per_slice`` rows come out, which is what bounds the broadcast below.
+    Consecutive buckets share a slice until they hold ``rows_per_slice`` rows, so a slice has at
+    most that many and one bucket's. Keys are counted per bucket before anything is shuffled.
     """
+    buckets = df.groupBy(*KEY, F.expr(f"capture_us div {bucket_us}").alias("bucket")).agg(
+        F.count("*").alias("n")
+    )
+    whole = Window.partitionBy(*KEY)
+    upto = F.sum("n").over(whole.orderBy("bucket"))
     return (
-        df.groupBy(*KEY, F.expr(f"capture_us div {bucket_us}").alias("bucket"))
-        .agg(F.count("*").alias("n"))
-        .groupBy(*KEY)
-        .agg(F.sum("n").alias("total"), F.max("n").alias("densest"))
+        buckets.withColumn("total", F.sum("n").over(whole))
+        .withColumn("slice", ((upto - F.col("n")) / rows_per_slice).cast("bigint"))
         .filter(F.col("total") > rows_per_slice)
-        .select(
-            *KEY,
-            F.expr(f"greatest(1, {bucket_us * rows_per_slice}L div densest)").alias("width_us"),
-        )
+        .select(*KEY, "bucket", "slice")
     )
 
 
@@ -43,17 +45,14 @@ def with_slices(
     """Add ``slice``, and tell whether there is any: null for ordinary keys, a number for hot ones.
 
     Hot keys are found by one pass over the key and time columns, right away. Without any, the
-    slice is a null literal and Catalyst removes every hot-key branch from later plans.
+    slice is a null literal and Catalyst removes every hot-key branch from later plans. The table
+    of slices is joined without a hint: it is stored, so Catalyst knows its size.
     """
-    hot = materialise(hot_keys(df, rows_per_slice, bucket_us), "hot-keys")
+    hot = materialise(hot_slices(df, rows_per_slice, bucket_us), "hot-slices")
     if hot.isEmpty():
         return df.withColumn("slice", F.lit(None).cast("bigint")), False
-    sliced = (
-        df.join(F.broadcast(hot), KEY, "left")
-        .withColumn("slice", F.expr("capture_us div width_us"))
-        .drop("width_us")
-    )
-    return sliced, True
+    bucketed = df.withColumn("bucket", F.expr(f"capture_us div {bucket_us}"))
+    return bucketed.join(hot, [*KEY, "bucket"], "left").drop("bucket"), True
 
 
 def halo(sliced: DataFrame) -> DataFrame:

@@ -19,10 +19,10 @@ def score_frames(
     beacons: DataFrame, profiles: DataFrame, since: str = "true", forest=None, **slicing
 ) -> DataFrame:
     """Evidence for every frame that satisfies ``since``; earlier frames only feed the features."""
-    monitored = sequence_features(beacons, tiers=2, **slicing).filter(since)
+    monitored = sequence_features(beacons, 2, profiles, **slicing).filter(since)
     if forest is not None:
         monitored = forest.score(monitored, where=F.col("valid_skew") == 1)
-    return evidence(monitored, profiles)
+    return evidence(monitored)
 
 
 def detect(

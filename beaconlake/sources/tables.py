@@ -11,6 +11,7 @@ from beaconlake.operators.supervised import drop_header_rows
 from beaconlake.schema import PROFILE_SCHEMA
 from beaconlake.session import new_path
 
+# The columns that an import must have and those that hold numbers.
 PROFILE_COLUMNS = [
     "ssid", "bssid", "rssi", "channel", "seq_jump", "clock_skew", "ie_count", "rate_count",
     "capabilities", "beacon_interval", "security", "supported_rates",
@@ -80,7 +81,7 @@ def clean_for_models(rows: DataFrame) -> DataFrame:
 
 def read_profiles_json(spark: SparkSession, path: str) -> DataFrame:
     """Profiles from JSON files that map an address to its profile; keys are lower-cased."""
-    texts = spark.read.text(path, wholetext=True)
+    texts = spark.read.text(path, wholetext=True).select("value")
     entry = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in PROFILE_SCHEMA)
     parsed = F.from_json("value", F.lit(f"map<string, struct<{entry}>>"))
     return texts.select(F.explode(parsed).alias("key", "profile")).select(
@@ -98,17 +99,18 @@ def profile_entries_json(profiles: DataFrame) -> DataFrame:
     )
 
 
-def write_profiles_json(profiles: DataFrame, path: str) -> None:
+def write_profiles_json(profiles: DataFrame, path: str, per_document: int = 100_000) -> None:
     """Profiles as JSON maps, one complete document per output file, readable again as above.
 
-    Access points are spread over files by hash, at most about 100,000 to a file.
+    Access points are spread over documents by hash, about ``per_document`` to each. A document
+    is a folder ``file=<n>`` with one file, so that two never share one.
     """
-    files = F.pmod(F.xxhash64("bssid"), F.lit(max(1, -(-profiles.count() // 100_000))))
+    files = F.pmod(F.xxhash64("bssid"), F.lit(max(1, -(-profiles.count() // per_document))))
     entry = F.struct(F.col("bssid"), F.struct(*profiles.columns))
     documents = profiles.groupBy(files.alias("file")).agg(
         F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")
     )
-    documents.select("value").write.text(path, lineSep="\n\n")
+    documents.write.partitionBy("file").text(path)
 
 
 def store_profile(spark: SparkSession, new: DataFrame, current: str | None = None) -> str:

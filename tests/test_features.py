@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from beaconlake.operators.features import sequence_features
-from beaconlake.operators.slicing import hot_keys
+from beaconlake.operators.slicing import hot_slices
 
 
 def feature_rows(beacons, **options):
@@ -106,7 +106,7 @@ def test_hot_keys_in_slices_match_frame_by_frame(make_beacons, rows_per_slice, b
             }
         )
     beacons = make_beacons(rows)
-    assert hot_keys(beacons, rows_per_slice, bucket_us).count() > 0
+    assert hot_slices(beacons, rows_per_slice, bucket_us).count() > 0
     got = sequence_features(beacons, rows_per_slice=rows_per_slice, bucket_us=bucket_us).collect()
     want = brute_force(rows)
     assert len(got) == len(rows)
