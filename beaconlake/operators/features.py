@@ -35,7 +35,7 @@ def sequence_features(
 
     gap, gap_ms = F.col("_gap_us"), F.col("_gap_us") / F.lit(1000.0)
     lagged = (
-        rows.withColumn("_seq_gap_us", since("capture_us", in_seq))
+        rows.withColumn("_seq_gap_us", F.when(F.col("seq_num").isNotNull(), since("capture_us", in_seq)))
         .withColumns(
             {
                 "_gap_us": since("capture_us", in_time),

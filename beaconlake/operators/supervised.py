@@ -20,6 +20,12 @@ TREES, DEPTH = 100, 10
 # Rate texts that mean "no rates".
 NO_RATES = ["", "unknown", "none", "nan"]
 LABELS = [0, 1]
+# What the stored description says about the baseline's worth.
+LIMITATIONS = [
+    "Rows of one capture are in both parts, so the split says little about other captures.",
+    "Attack rows are simulated.",
+    "Kept for comparison; detection uses profiles, evidence and per-access-point models.",
+]
 
 
 def drop_header_rows(rows: DataFrame) -> DataFrame:
@@ -69,6 +75,10 @@ def feature_medians(rows: DataFrame, features: list[str]) -> DataFrame:
 def impute_medians(rows: DataFrame) -> tuple[DataFrame, list[str]]:
     """Fill missing features with their median, or 0 when a feature is all missing."""
     rows, features = training_columns(rows)
+    return fill_medians(rows, features), features
+
+
+def fill_medians(rows: DataFrame, features: list[str]) -> DataFrame:
     # One number per feature comes to the driver.
     medians = {r["field"]: r["median"] for r in feature_medians(rows, features).collect()}
     return rows.withColumns(
@@ -76,7 +86,7 @@ def impute_medians(rows: DataFrame) -> tuple[DataFrame, list[str]]:
             f: F.coalesce(F.nanvl(F.col(f), F.lit(None)), F.lit(float(medians.get(f, 0.0))))
             for f in features
         }
-    ), features
+    )
 
 
 def test_sizes(counts: dict[int, int], share: float = TEST_SHARE) -> dict[int, int]:
@@ -220,8 +230,11 @@ def train_baseline(rows: DataFrame, path: str | None = None, retrain: bool = Fal
         saved = load_baseline(spark, path)
         if saved is not None:
             return saved
-    check_trainable(rows)
-    filled, features = impute_medians(rows)
+    # Features are computed once; counts, medians and the split then read the stored columns.
+    columns, features = training_columns(rows)
+    stored = materialise(columns.select("sensor_id", "frame_id", "label", *features), "labelled-features")
+    check_trainable(stored)
+    filled = fill_medians(stored, features)
     split = materialise(
         stratified_split(filled).select("frame_id", "label", "is_test", *features), "labelled-split"
     )
@@ -236,6 +249,7 @@ def train_baseline(rows: DataFrame, path: str | None = None, retrain: bool = Fal
         *[F.lit(v).alias(k) for k, v in about.items()],
         F.lit(TREES).alias("n_estimators"), F.lit(DEPTH).alias("max_depth"),
         F.array(*map(F.lit, features)).alias("features"),
+        F.array(*map(F.lit, LIMITATIONS)).alias("limitations"),
         ((F.col("true_negatives") + F.col("true_positives")) / F.col("rows")).alias("accuracy"),
         "true_negatives", "false_positives", "false_negatives", "true_positives",
         F.lit(train_rows).alias("train_rows"), F.col("rows").alias("test_rows"),

@@ -14,7 +14,7 @@ from beaconlake.operators.decode import (
 from beaconlake.operators.deviations import profile_deviations
 from beaconlake.operators.features import sequence_features
 from beaconlake.operators.iforest import Forest, fit_global, fit_per_ap, score_range
-from beaconlake.operators.rules import evidence_contribution, with_reasons
+from beaconlake.operators.rules import evidence, evidence_contribution, with_reasons
 from beaconlake.plans.capture import beacons, frames
 from beaconlake.plans.detection import baseline_profiles, detect, score_frames
 from beaconlake.plans.single_ap import profile_one_ap
@@ -128,11 +128,17 @@ def network_inventory(spark, data_dir):
 @query
 def strongest_networks(spark, data_dir):
     networks = inventory.network_inventory(beacons(spark, data_dir))
-    return inventory.listing(inventory.strongest_first(networks, 5)).select(
+    return inventory.listing(inventory.strongest_first(networks)).select(
         "bssid", "ssid", "channel", "rssi", "signal_band", "security", "beacons"
     )
 
 
+@query
+def five_strongest_networks(spark, data_dir):
+    networks = inventory.network_inventory(beacons(spark, data_dir))
+    return inventory.strongest_first(networks, 5).select("bssid", "ssid", "rssi")
+
+
 @query
 def collection_summary(spark, data_dir):
     return inventory.collection_summary(beacons(spark, data_dir))
@@ -211,8 +217,18 @@ PROFILE_STATISTICS = [
 
 @query
 def profiles_json(spark, data_dir):
+    return _exported(spark, data_dir, 100_000)
+
+
+@query
+def profiles_json_split(spark, data_dir):
+    """The same export with few profiles to a document, hence several documents."""
+    return _exported(spark, data_dir, 3)
+
+
+def _exported(spark, data_dir, per_document):
     path = new_path(spark, "profiles-json")
-    tables.write_profiles_json(_profiles(spark, data_dir), path)
+    tables.write_profiles_json(_profiles(spark, data_dir), path, per_document)
     rows = tables.read_profiles_json(spark, path).drop("profile_built")
     return _rounded(rows, 8, *PROFILE_STATISTICS)
 
@@ -220,7 +236,7 @@ def profiles_json(spark, data_dir):
 @query
 def profile_upsert(spark, data_dir):
     old = _profiles(spark, data_dir)
-    changed = sequence_features(beacons(spark, data_dir)).filter("security = 'WEP'")
+    changed = sequence_features(beacons(spark, data_dir)).filter(MONITORED)
     first = tables.store_profile(spark, old)
     path = tables.store_profile(spark, profiles.build_profiles(changed), first)
     return spark.read.parquet(path).select("bssid", "security", "ie_count", "total_beacons")
@@ -242,8 +258,12 @@ def profile_listing(spark, data_dir):
 
 @query
 def skipped_aps(spark, data_dir):
-    second = beacons(spark, data_dir).filter(F.col("capture_us") < START_US + 1_000_000)
-    return profiles.skipped_access_points(second)
+    """All beacons, with every 997th frame as the only one of an access point of its own."""
+    alone = F.concat_ws("-", "bssid", F.col("frame_id").cast("string"))
+    rows = beacons(spark, data_dir).withColumn(
+        "bssid", F.when(F.col("frame_id") % 997 == 0, alone).otherwise(F.col("bssid"))
+    )
+    return profiles.skipped_access_points(rows)
 
 
 @query
@@ -335,15 +355,15 @@ def alert_log(spark, data_dir):
 
 @query
 def detection_totals(spark, data_dir):
-    scored = _scored(spark, data_dir)
-    streaks = materialise(
-        alerting.suspicion_streaks(scored).groupBy().agg(
-            F.count("*").alias("frames_evaluated"), F.sum("suspicious").alias("suspicious_frames")
-        ),
-        "totals",
+    streaks = materialise(alerting.suspicion_streaks(_scored(spark, data_dir)), "scored-frames")
+    raised = alerting.confirmed_alerts(streaks)
+    facts = streaks.selectExpr("1 AS frames", "suspicious", "0 AS alerts").union(
+        raised.selectExpr("0 AS frames", "0 AS suspicious", "1 AS alerts")
+    )
+    return facts.agg(
+        F.sum("frames").alias("frames_evaluated"), F.sum("suspicious").alias("suspicious_frames"),
+        F.sum("alerts").alias("alerts"),
     )
-    raised = _alerts(spark, data_dir).agg(F.count("*").alias("alerts"))
-    return streaks.crossJoin(raised)  # one row each
 
 
 @query
@@ -371,21 +391,49 @@ def stream_alerts(spark, data_dir):
     return _alert_columns(spark.read.parquet(path))
 
 
-# --- Models
+# --- Models. Trees are random by nature; the queries show what is determined about them.
+
+
+def _base(spark, data_dir) -> DataFrame:
+    return materialise(sequence_features(_baseline(spark, data_dir)), "baseline-features")
+
+
+def _forest(spark, data_dir, base: DataFrame, **options) -> Forest:
+    return fit_per_ap(base, materialise(profiles.build_profiles(base), "profiles"), **options)
 
 
 @query
 def forest_scores(spark, data_dir):
-    base = sequence_features(_baseline(spark, data_dir))
-    forest = fit_per_ap(base, _profiles(spark, data_dir))
+    """Per access point: rows, scored rows, and whether a twentieth of the training rows is below 0."""
+    base = _base(spark, data_dir)
+    forest = _forest(spark, data_dir, base)
     scored = forest.score(sequence_features(beacons(spark, data_dir)), F.col("valid_skew") == 1)
-    return scored.select("frame_id", "bssid", "label", F.round("model_score", 6).alias("model_score"))
+    shares = forest.score(base).groupBy("bssid").agg(
+        F.avg((F.col("model_score") < 0).cast("int")).between(0.0, 0.06).alias("share_holds")
+    )
+    return (
+        scored.groupBy("bssid")
+        .agg(F.count("*").alias("rows"), F.count("model_score").alias("scored"))
+        .join(shares, "bssid")
+    )
+
+
+@query
+def forest_cogroup_parity(spark, data_dir):
+    """Fitting and scoring by broadcast and by cogroup: rows and how many of them differ."""
+    base = _base(spark, data_dir)
+    known = materialise(profiles.build_profiles(base), "profiles")
+    a, b = fit_per_ap(base, known, trees=20), fit_per_ap(base, known, trees=20, broadcast_nodes=0)
+    where = F.col("valid_skew") == 1
+    left = a.score(base, where).select("frame_id", F.col("model_score").alias("x"))
+    right = b.score(base, where, broadcast_nodes=0).select("frame_id", F.col("model_score").alias("y"))
+    differ = F.count(F.when(~F.col("x").eqNullSafe(F.col("y")), 1))
+    return left.join(right, "frame_id").agg(F.count("*").alias("rows"), differ.alias("differing"))
 
 
 @query
 def forest_scaling(spark, data_dir):
-    base = sequence_features(_baseline(spark, data_dir))
-    params = fit_per_ap(base, _profiles(spark, data_dir)).params
+    params = _forest(spark, data_dir, _base(spark, data_dir)).params
     return params.select(
         F.col("model_key").alias("bssid"), "rows",
         *[F.round(F.col("means")[i], 6).alias(f"mean_{i}") for i in range(4)],
@@ -395,31 +443,53 @@ def forest_scaling(spark, data_dir):
 
 @query
 def forest_nodes(spark, data_dir):
-    base = sequence_features(_baseline(spark, data_dir))
-    nodes = fit_per_ap(base, _profiles(spark, data_dir)).nodes()
-    return nodes.groupBy("model_key", "tree_id").agg(
+    """Per access point: trees, rows of their leaves, and whether nodes are odd and depth is bounded."""
+    nodes = _forest(spark, data_dir, _base(spark, data_dir)).nodes()
+    trees = nodes.groupBy("model_key", "tree_id").agg(
         F.count("*").alias("nodes"), F.max("depth").alias("depth"),
         F.sum(F.when(F.col("feature") < 0, F.col("size"))).alias("rows"),
     )
+    return trees.groupBy(F.col("model_key").alias("bssid")).agg(
+        F.count("*").alias("trees"), F.min("rows").alias("least_rows"), F.max("rows").alias("most_rows"),
+        F.count(F.when((F.col("nodes") % 2 == 0) | (F.col("depth") > 8), 1)).alias("malformed"),
+    )
 
 
 @query
 def forest_global(spark, data_dir):
-    base = profile_deviations(
-        sequence_features(_baseline(spark, data_dir)), _profiles(spark, data_dir)
+    base = _base(spark, data_dir)
+    known = materialise(profiles.build_profiles(base), "profiles")
+    fitted = score_range(fit_global(profile_deviations(base, known)))
+    return fitted.select(
+        "model_key", "rows", ((F.col("score_min") < 0) & (F.col("score_max") > 0)).alias("spans_zero")
     )
-    return _rounded(score_range(fit_global(base)), 6, "score_min", "score_max")
 
 
 @query
 def stored_forest(spark, data_dir):
-    """Scores of a forest that was saved and loaded again, per access point and label."""
+    """Scores of a forest that was saved and loaded again, per access point, and how many changed."""
     path = new_path(spark, "forest")
-    fit_per_ap(sequence_features(_baseline(spark, data_dir)), _profiles(spark, data_dir)).save(path)
-    scored = Forest.load(spark, path).score(sequence_features(beacons(spark, data_dir)))
-    return scored.groupBy("bssid", "label").agg(
-        F.count("*").alias("rows"), F.round(F.avg("model_score"), 6).alias("mean_score")
+    base = _base(spark, data_dir)
+    forest = _forest(spark, data_dir, base)
+    forest.save(path)
+    before = forest.score(base, into="before").select("frame_id", "bssid", "before")
+    after = Forest.load(spark, path).score(base, into="after").select("frame_id", "after")
+    changed = F.count(F.when(~F.col("before").eqNullSafe(F.col("after")), 1))
+    return before.join(after, "frame_id").groupBy("bssid").agg(
+        F.count("*").alias("rows"), changed.alias("changed")
+    )
+
+
+@query
+def model_evidence(spark, data_dir):
+    """The model rule on planted scores: below, exactly at and above the threshold, and missing."""
+    planted = (
+        F.when(F.col("frame_id") % 5 == 0, -0.3).when(F.col("frame_id") % 5 == 1, -0.12)
+        .when(F.col("frame_id") % 5 == 2, 0.1)
     )
+    rows = sequence_features(beacons(spark, data_dir), 2, _profiles(spark, data_dir))
+    judged = evidence(rows.withColumn("model_score", planted))
+    return judged.select("frame_id", "ev_model")
 
 
 @query
@@ -508,13 +578,19 @@ def _trained(spark, data_dir):
 
 @query
 def forest_classifier(spark, data_dir):
-    return _trained(spark, data_dir)[2].drop("features")
+    """Sizes of both parts, and whether the confusion cells add up to the test part."""
+    cells = sum(map(F.col, ["true_negatives", "false_positives", "false_negatives", "true_positives"]))
+    return _trained(spark, data_dir)[2].select(
+        "model_type", "n_estimators", "max_depth", "train_rows", "test_rows", cells.alias("cells"),
+        F.size("limitations").alias("limitations"),
+    )
 
 
 @query
 def feature_importance(spark, data_dir):
     model, features, _ = _trained(spark, data_dir)
-    return supervised.feature_importance(spark, model, features)
+    ranked = supervised.feature_importance(spark, model, features)
+    return ranked.agg(F.count("*").alias("features"), F.round(F.sum("importance"), 6).alias("total"))
 
 
 # --- Chart tables

@@ -304,7 +304,9 @@ ORACLES: dict[str, str] = {
     "strongest_networks": f"""WITH {BEACONS}, n AS (SELECT bssid, {INVENTORY} FROM beacons GROUP BY bssid)
       SELECT bssid, substr(ssid, 1, 24) AS ssid, channel, rssi, CASE WHEN rssi = 0 THEN 'none'
         WHEN rssi > -50 THEN 'strong' WHEN rssi > -70 THEN 'medium' ELSE 'weak' END AS signal_band,
-        security, beacons FROM n ORDER BY rssi DESC, bssid LIMIT 5""",
+        security, beacons FROM n""",
+    "five_strongest_networks": f"""WITH {BEACONS}, n AS (SELECT bssid, {INVENTORY} FROM beacons GROUP BY bssid)
+      SELECT bssid, ssid, rssi FROM n ORDER BY rssi DESC, bssid LIMIT 5""",
     "collection_summary": f"""WITH {BEACONS} SELECT bssid, arg_min(ssid, (capture_us, frame_id)) AS ssid,
       count(*) AS beacons, arg_max(rssi, (capture_us, frame_id)) AS rssi,
       CAST(least(100, count(*) * 100 // 50) AS INT) AS completion_percent FROM beacons GROUP BY bssid""",
@@ -324,7 +326,8 @@ ORACLES: dict[str, str] = {
       CAST(coalesce(sum(rssi), 0) AS DOUBLE) AS rssi_sum, CAST(coalesce(sum(ie_count), 0) AS DOUBLE) AS ie_sum
       FROM cells GROUP BY bssid""",
     "profiles_json": f"{WITH_PROFILES} SELECT {PROFILE_ROW} FROM profiles",
-    "profile_upsert": f"""{WITH_BOTH}, changed AS (SELECT * FROM features WHERE security = 'WEP'),
+    "profiles_json_split": f"{WITH_PROFILES} SELECT {PROFILE_ROW} FROM profiles",
+    "profile_upsert": f"""{WITH_BOTH}, changed AS (SELECT * FROM features WHERE NOT is_baseline),
       {profiles('changed', 'newer')}
       SELECT bssid, security, ie_count, total_beacons FROM newer
       UNION ALL SELECT bssid, security, ie_count, total_beacons FROM profiles
@@ -332,8 +335,8 @@ ORACLES: dict[str, str] = {
     "ap_profiles": f"{WITH_PROFILES} SELECT {PROFILE_ROW} FROM profiles",
     "profile_listing": f"""{WITH_PROFILES} SELECT substr(ssid, 1, 24) AS ssid, bssid, ie_count, rate_count,
       round(clock_skew_mean, 8) AS clock_skew_mean, total_beacons FROM profiles""",
-    "skipped_aps": f"""WITH {BEACONS} SELECT bssid, count(*) AS beacons FROM beacons
-      WHERE capture_us < {START_US} + 1000000 GROUP BY bssid HAVING count(*) < 10""",
+    "skipped_aps": f"""WITH {BEACONS} SELECT CASE WHEN frame_id % 997 = 0 THEN bssid || '-' || frame_id
+        ELSE bssid END AS bssid, count(*) AS beacons FROM beacons GROUP BY 1 HAVING count(*) < 10""",
     "single_ap_profiles": f"""{WITH_BASE}, {_modes('base_features', 'm')}, st AS (
       SELECT bssid, round(avg(rssi), 8) AS rssi_mean, round(coalesce(stddev_samp(rssi), 0), 8) AS rssi_std,
         CAST(min(rssi) AS DOUBLE) AS rssi_min, CAST(max(rssi) AS DOUBLE) AS rssi_max,
@@ -409,6 +412,23 @@ ORACLES: dict[str, str] = {
       is_seq_duplicate, clock_skew, valid_skew, inter_beacon_ms, CAST(0 AS INT) AS label FROM features""",
     "forest_scaling": f"""{WITH_BASE} SELECT bssid, count(*) AS rows, {SCALING} FROM base_features
       GROUP BY bssid HAVING count(*) >= 20""",
+    "forest_scores": f"""{WITH_BOTH}, modelled AS (SELECT bssid FROM base_features GROUP BY bssid HAVING count(*) >= 20)
+      SELECT bssid, count(*) AS rows, CAST(sum(valid_skew) AS BIGINT) AS scored, true AS share_holds
+      FROM features JOIN modelled USING (bssid) GROUP BY bssid""",
+    "forest_cogroup_parity": f"{WITH_BASE} SELECT count(*) AS rows, CAST(0 AS BIGINT) AS differing FROM base",
+    "forest_nodes": f"""{WITH_BASE} SELECT bssid, CAST(100 AS BIGINT) AS trees,
+      least(256, count(*)) AS least_rows, least(256, count(*)) AS most_rows, CAST(0 AS BIGINT) AS malformed
+      FROM base_features GROUP BY bssid HAVING count(*) >= 20""",
+    "forest_global": f"{WITH_BASE} SELECT 'all' AS model_key, count(*) AS rows, true AS spans_zero FROM base",
+    "stored_forest": f"{WITH_BASE} SELECT bssid, count(*) AS rows, CAST(0 AS BIGINT) AS changed FROM base GROUP BY bssid",
+    "model_evidence": f"""{WITH_BOTH} SELECT frame_id, CAST(valid_skew = 1 AND frame_id % 5 = 0
+        AND bssid IN (SELECT bssid FROM profiles) AS INT) AS ev_model FROM features""",
+    "forest_classifier": f"""WITH {BEACONS}, s AS (SELECT count(*) AS n, CAST(ceil(0.2 * count(*)) AS BIGINT) AS test
+      FROM beacons) SELECT 'RandomForestClassifier' AS model_type, CAST(100 AS INT) AS n_estimators,
+      CAST(10 AS INT) AS max_depth, n - test AS train_rows, test AS test_rows, test AS cells,
+      CAST(3 AS INT) AS limitations FROM s""",
+    "feature_importance": f"""WITH {BEACONS} SELECT CAST({len(SUPERVISED)} AS BIGINT) AS features, 1.0::DOUBLE AS total
+      FROM beacons LIMIT 1""",
     "labelled_union": f"WITH {BEACONS} SELECT bssid, label, count(*) AS rows FROM beacons GROUP BY ALL",
     "label_distribution": f"WITH {BEACONS} SELECT label, count(*) AS rows FROM beacons GROUP BY label",
     "rates_from_text": f"""WITH {BEACONS} SELECT frame_id, CASE WHEN frame_id % 11 = 0 OR frame_id % 13 = 0

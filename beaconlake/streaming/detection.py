@@ -22,7 +22,10 @@ from beaconlake.schema import (
     MIN_HISTORY, MODEL_THRESHOLD, ORDER, REQUIRED_STREAK, SECURITY_CODES, SEQ_MODULUS, SKEW_FLOOR,
     SKEW_GAP_US, SKEW_SIGMAS, STRONG_EVIDENCE, SUSPICION_THRESHOLD, UNKNOWN,
 )
+from beaconlake.session import path_exists
 
+# Without it a backlog would be one batch, and one key's share of it one frame.
+BATCH_LIMIT = {"maxFilesPerTrigger": 64}
 STATE_SCHEMA = (
     "last_us bigint, last_id bigint, last_seq int, last_tsf bigint, gaps array<double>, "
     "seqs array<int>, seq_us array<bigint>, streak bigint, last_alert_us bigint"
@@ -51,19 +54,29 @@ DETECTION_FIELDS = (
 )
 
 
+def _steps(values: pd.Series, last: int | None) -> tuple[np.ndarray, ...]:
+    """The values, which are there, the steps from one to the next, and where both ends are there."""
+    there = values.notna().to_numpy()
+    numbers = values.fillna(0).to_numpy(dtype=np.int64)
+    steps = np.diff(numbers, prepend=numbers[0] if last is None else last)
+    return numbers, there, steps, there & np.append(last is not None, there[:-1])
+
+
 def _features(rows: pd.DataFrame, past: dict, tiers: int) -> pd.DataFrame:
     """Sequential features of time-ordered rows of one key, continuing from its state."""
     first = past["last_us"] is None
-    us, tsf = rows["capture_us"].to_numpy(), rows["beacon_timestamp"].to_numpy(dtype=np.int64)
-    seq = rows["seq_num"].to_numpy(dtype=np.int64)
+    us = rows["capture_us"].to_numpy()
+    tsf, has_tsf, tsf_gap, both_tsf = _steps(rows["beacon_timestamp"], past["last_tsf"])
+    seq, has_seq, seq_step, both_seq = _steps(rows["seq_num"], past["last_seq"])
     gap = np.diff(us, prepend=us[0] if first else past["last_us"])
-    tsf_gap = np.diff(tsf, prepend=tsf[0] if first else past["last_tsf"])
-    jump = np.diff(seq, prepend=seq[0] if first else past["last_seq"]) % SEQ_MODULUS
+    jump = np.where(both_seq, seq_step % SEQ_MODULUS, 0)
     seen = np.ones(len(rows), dtype=bool)
     seen[0] = not first
 
     valid = seen & (gap >= SKEW_GAP_US[0]) & (gap <= SKEW_GAP_US[1])
-    skew = np.where(valid, (tsf_gap - gap) / np.where(gap == 0, 1, gap), 0.0)
+    skew = np.where(valid & ~both_tsf, np.nan, 0.0)
+    measured = valid & both_tsf
+    skew[measured] = (tsf_gap[measured] - gap[measured]) / gap[measured]
     score = np.where(jump > 100, np.minimum(1.0, jump / 1000), 0.0)
     if tiers == 3:
         score = np.where((jump > 10) & (jump <= 100), 0.3, score)
@@ -81,11 +94,11 @@ def _features(rows: pd.DataFrame, past: dict, tiers: int) -> pd.DataFrame:
     variance = np.zeros(len(rows))
     variance[enough] = np.nanvar(recent[enough], axis=1)
 
-    known.update(zip(seq.tolist(), us.tolist()))
+    known.update(zip(seq[has_seq].tolist(), us[has_seq].tolist()))
     kept = padded[~np.isnan(padded)][-HISTORY:]
     past.update(
-        last_us=int(us[-1]), last_id=int(rows["frame_id"].iloc[-1]), last_seq=int(seq[-1]),
-        last_tsf=int(tsf[-1]), gaps=kept.tolist(), seqs=list(known), seq_us=list(known.values()),
+        last_us=int(us[-1]), last_id=int(rows["frame_id"].iloc[-1]), last_seq=int(seq[-1]) if has_seq[-1] else None,
+        last_tsf=int(tsf[-1]) if has_tsf[-1] else None, gaps=kept.tolist(), seqs=list(known), seq_us=list(known.values()),
     )
     return rows.assign(
         is_late=False,
@@ -111,7 +124,9 @@ def _evidence(rows: pd.DataFrame, past: dict) -> pd.DataFrame:
     fired = {
         "duplicate_sequence": rows["is_seq_duplicate"] == 1,
         "ie_count": (rows["ie_count"] - rows["p_ie_count"]).abs() >= COUNT_TOLERANCE,
-        "security": rows["security"] != rows["p_security"],
+        "security": ~(
+            (rows["security"] == rows["p_security"]) | (rows["security"].isna() & rows["p_security"].isna())
+        ),
         "timing": valid & (z > SKEW_SIGMAS) & (rows["clock_skew"].abs() > SKEW_FLOOR),
         "rate_count": (rows["rate_count"] - rows["p_rate_count"]).abs() >= COUNT_TOLERANCE,
         "model": valid & (rows["model_score"].astype(float) < MODEL_THRESHOLD),
@@ -232,20 +247,28 @@ def alerts_of(detected: DataFrame) -> DataFrame:
 
 
 def read_frames(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Stream of captured frames from a folder of Parquet files."""
-    return spark.readStream.schema(FRAME_SCHEMA).options(**options).parquet(path)
+    """Stream of captured frames from a folder of Parquet files, some files to a batch."""
+    return spark.readStream.schema(FRAME_SCHEMA).options(**BATCH_LIMIT | options).parquet(path)
 
 
 def read_beacons(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Stream of beacon rows from a folder of Parquet files."""
-    return spark.readStream.schema(BEACON_SCHEMA).options(**options).parquet(path)
+    """Stream of beacon rows from a folder of Parquet files, some files to a batch."""
+    return spark.readStream.schema(BEACON_SCHEMA).options(**BATCH_LIMIT | options).parquet(path)
 
 
 def collect_baseline(frames: DataFrame, table: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Decode frames, add features and append them to a table, exactly once."""
+    """Decode frames, add features and append them to a table, exactly once.
+
+    Each batch reports its beacons, access points and latest capture time; ``CollectionTotals`` adds up.
+    """
     rows = stream_features(observations(decode_frames(frames), UNKNOWN))
+    counted = rows.observe(
+        "collection",
+        F.count("*").alias("beacons"), F.approx_count_distinct("bssid").alias("access_points"),
+        F.max("capture_us").alias("latest_us"),
+    )
     return (
-        rows.withColumn("label", F.lit(0))
+        counted.withColumn("label", F.lit(0))
         .writeStream.format("parquet")
         .option("path", table)
         .option("checkpointLocation", checkpoint)
@@ -255,18 +278,26 @@ def collect_baseline(frames: DataFrame, table: str, checkpoint: str, **trigger)
     )
 
 
-def _numbered(alerts: DataFrame, alerts_path: str, batch: int) -> DataFrame:
-    """Continue the running alert number from the batches before this one."""
+def _numbered(alerts: DataFrame, ledger: str, batch: int) -> DataFrame:
+    """Continue the running alert number from the batch before, whose last one the ledger holds."""
     spark = alerts.sparkSession
     earlier = 0
-    if batch > 0:
-        stored = spark.read.option("basePath", alerts_path).parquet(f"{alerts_path}/batch=*")
-        earlier = stored.filter(F.col("batch") < batch).count()
+    if batch > 0 and path_exists(spark, f"{ledger}/batch={batch - 1}"):
+        earlier = spark.read.parquet(f"{ledger}/batch={batch - 1}").first()["alerts"]
     bucket = F.expr(f"capture_us div {COOLDOWN_US}")
     ranked = bucketed_row_number(alerts, [], bucket, [*ORDER, *KEY], "alert_number")
     return ranked.withColumn("alert_number", F.col("alert_number") + earlier)
 
 
+def _note_total(spark: SparkSession, written: DataFrame, ledger: str, batch: int) -> None:
+    """One row per batch in the ledger: the alerts up to and including it."""
+    earlier = 0
+    if batch > 0 and path_exists(spark, f"{ledger}/batch={batch - 1}"):
+        earlier = spark.read.parquet(f"{ledger}/batch={batch - 1}").first()["alerts"]
+    total = spark.range(1).select(F.lit(earlier + written.count()).cast("bigint").alias("alerts"))
+    total.write.mode("overwrite").parquet(f"{ledger}/batch={batch}")
+
+
 def run_detection(
     detected: DataFrame, alerts_path: str, checkpoint: str, log_path: str | None = None,
     late_path: str | None = None, **trigger,
@@ -274,16 +305,20 @@ def run_detection(
     """Append each micro-batch's alerts, and on request their log text and the late frames.
 
     Every batch has its own folder, ``batch=<id>``, so a batch that is run again after a failure
-    replaces its output instead of adding to it.
+    replaces its output instead of adding to it. A ledger beside the checkpoint holds the number of
+    alerts up to each batch, so numbering reads one row and not the earlier alerts.
     """
+    ledger = f"{checkpoint.rstrip('/')}-ledger"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
             path = f"{alerts_path}/batch={number}"
-            _numbered(alerts_of(batch), alerts_path, number).write.mode("overwrite").parquet(path)
+            _numbered(alerts_of(batch), ledger, number).write.mode("overwrite").parquet(path)
+            written = batch.sparkSession.read.parquet(path)
+            _note_total(batch.sparkSession, written, ledger, number)
             if log_path is not None:
-                log = alert_log(batch.sparkSession.read.parquet(path)).orderBy("alert_number", "line")
+                log = alert_log(written).orderBy("alert_number", "line")
                 log.select("text").write.mode("overwrite").text(f"{log_path}/batch={number}")
             if late_path is not None:
                 late = batch.filter("is_late").select(*BEACON_SCHEMA.fieldNames())
@@ -327,3 +362,28 @@ class SessionTotals(StreamingQueryListener):
 
     def onQueryTerminated(self, event) -> None:
         pass
+
+
+class CollectionTotals(StreamingQueryListener):
+    """Running counters of a collector: beacons so far, access points of the batch, latest time."""
+
+    def __init__(self, report=print):
+        self.totals = {"beacons": 0, "access_points": 0, "latest_us": 0}
+        self.report = report
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get("collection")
+        if row is not None:
+            self.totals["beacons"] += row["beacons"] or 0
+            self.totals["access_points"] = row["access_points"] or 0
+            self.totals["latest_us"] = max(self.totals["latest_us"], row["latest_us"] or 0)
+            self.report(" | ".join(f"{k}: {v}" for k, v in self.totals.items()))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

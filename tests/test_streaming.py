@@ -114,3 +114,40 @@ def test_too_large_forest_is_refused(spark, table, profiles, monkeypatch):
     monkeypatch.setattr(live, "BROADCAST_NODES", 10)
     with pytest.raises(ValueError, match="too many to broadcast"):
         live.stream_detection(table, profiles, forest)
+
+
+def test_missing_values_are_like_in_batch(spark, table, profiles, path):
+    """Nulls in every nullable input of the rules, over several micro-batches."""
+    holes = {
+        "seq_num": 11, "beacon_timestamp": 13, "security": 7, "ie_count": 17, "rate_count": 19, "rssi": 23, "ssid": 29,
+    }
+    rows = table
+    for name, every in holes.items():
+        rows = rows.withColumn(name, F.when(F.col("frame_id") % every != 0, F.col(name)))
+    nameless = profiles.withColumn("security", F.when(F.col("bssid") > "02:10:00:00:00:05", F.col("security")))
+    feed(rows, path("in"), 4)
+    source = live.read_beacons(spark, path("in"), maxFilesPerTrigger=1)
+    detected = live.stream_detection(source, nameless)
+    query = detected.writeStream.format("parquet").option("path", path("out")).option(
+        "checkpointLocation", path("state")
+    ).trigger(availableNow=True).start()
+    query.awaitTermination()
+    flags = ["ev_duplicate_sequence", "ev_ie_count", "ev_security", "ev_rate_count", "ev_timing"]
+    pick = ["frame_id", "seq_jump", "seq_anomaly_score", "is_seq_duplicate", "clock_skew", "valid_skew", *flags, "suspicious"]
+    got = spark.read.parquet(path("out")).select(*pick, "streak")
+    from beaconlake.operators.alerts import suspicion_streaks
+    from beaconlake.plans.detection import score_frames
+
+    want = suspicion_streaks(score_frames(rows, nameless)).select(*pick, "streak")
+    assert got.count() == want.count() == table.count()
+    assert got.exceptAll(want).count() == 0
+
+
+def test_alert_numbers_come_from_the_ledger(spark, table, profiles, path):
+    feed(table, path("in"), 4)
+    source = live.read_beacons(spark, path("in"), maxFilesPerTrigger=1)
+    query = live.run_detection(live.stream_detection(source, profiles), path("alerts"), path("state"))
+    query.awaitTermination()
+    numbers = sorted(r[0] for r in spark.read.parquet(path("alerts")).select("alert_number").collect())
+    assert numbers == list(range(1, len(numbers) + 1))
+    assert spark.read.parquet(path("state") + "-ledger").agg(F.max("alerts")).first()[0] == len(numbers)
