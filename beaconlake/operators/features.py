@@ -20,12 +20,12 @@ def sequence_features(
     would bring the slices of a hot one together again.
     """
     sliced, any_hot = with_slices(beacons, **slicing)
-    if profiles is not None:
-        sliced = with_profile(sliced, profiles)
-    rows = sliced.withColumn("_halo", F.lit(False))
+    rows = sliced if profiles is None else with_profile(sliced, profiles)
+    rows = rows.withColumn("_halo", F.lit(False))
     if any_hot:
         earlier = halo(sliced).withColumn("_halo", F.lit(True))
-        rows = rows.unionByName(earlier, allowMissingColumns=True)
+        # Dealt out by slice: what a join by access point leaves would satisfy the windows too.
+        rows = rows.unionByName(earlier, allowMissingColumns=True).repartition(*SLICED_KEY)
     in_seq = Window.partitionBy(*SLICED_KEY, "seq_num").orderBy(*ORDER)
     in_time = Window.partitionBy(*SLICED_KEY).orderBy(*ORDER)
     recent = in_time.rowsBetween(1 - HISTORY, 0)

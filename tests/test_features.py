@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from beaconlake.operators.features import sequence_features
-from beaconlake.operators.slicing import hot_slices
+from beaconlake.operators.slicing import hot_slices, with_slices
 
 
 def feature_rows(beacons, **options):
@@ -125,3 +125,33 @@ def test_later_windows_need_no_further_exchange(make_beacons):
     rows = sequence_features(make_beacons([{}, {}])).withColumn("suspicious", F.lit(1))
     plan = suspicion_streaks(rows)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(sensor_id") == 1
+
+
+def test_a_burst_is_cut_by_its_counts(make_beacons):
+    """20,000 frames, nearly all of them within a second: no slice holds much more than its share."""
+    rows = [{"frame_id": i, "capture_us": 50 * i, "seq_num": i % 4096} for i in range(18_000)]
+    rows += [{"frame_id": 20_000 + i, "capture_us": 10**9 + 10**6 * i} for i in range(2_000)]
+    sliced, any_hot = with_slices(make_beacons(rows), rows_per_slice=100, bucket_us=1_000)
+    sizes = [r["count"] for r in sliced.groupBy("slice").count().collect()]
+    assert any_hot and sum(sizes) == 20_000 and max(sizes) <= 120
+
+
+def test_slices_survive_the_profile_join(spark, make_beacons):
+    """With a sort-merge join the streak windows still stand on an exchange that has the slice."""
+    from beaconlake.operators.alerts import suspicion_streaks
+    from beaconlake.plans.detection import score_frames
+
+    beacons = make_beacons([{"capture_us": 100_000 * i} for i in range(40)])
+    profiles = spark.createDataFrame([("02:10:00:00:00:01", 20, "WPA2/WPA3")], "bssid string, ie_count int, security string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = suspicion_streaks(score_frames(beacons, profiles, rows_per_slice=10, bucket_us=500_000))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert rows.count() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    lines = plan.splitlines()
+    window = next(i for i, line in enumerate(lines) if "Window [" in line and "_clear_at" in line)
+    exchange = next(line for line in lines[window:] if "Exchange hashpartitioning" in line)
+    assert "slice" in exchange

@@ -89,6 +89,25 @@ def test_cogroup_path_equals_broadcast_path(forest, training, monkeypatch):
     assert joined.filter(~F.col("x").eqNullSafe(F.col("y"))).count() == 0
 
 
+def test_fit_above_the_broadcast_size_is_the_same(spark, forest, training):
+    known = spark.createDataFrame([("a",)], "bssid string")
+    again = fit_per_ap(training, known, broadcast_nodes=0)
+    pick = ["model_key", "offset", "score_min", "score_max"]
+    assert again.params.select(*pick).exceptAll(forest.params.select(*pick)).count() == 0
+
+
+def test_every_tree_draws_from_all_rows(spark):
+    """More rows than all samples together: trees still differ and no tree has a row twice."""
+    rows = spark.range(40_000).selectExpr(
+        "'s' AS sensor_id", "id AS frame_id", "'a' AS bssid", "id / 4e4 AS clock_skew", "CAST(id % 7 AS DOUBLE) AS rssi"
+    )
+    fitted = fit_per_ap(rows, spark.createDataFrame([("a",)], "bssid string"), trees=30)
+    trees = fitted.trees.collect()
+    assert len(trees) == 30 and {t["sample"] for t in trees} == {256}
+    assert all(sum(n for n, f in zip(t["size"], t["feature"]) if f < 0) == 256 for t in trees)
+    assert len({tuple(t["threshold"]) for t in trees}) == 30
+
+
 def test_same_forest_whatever_the_partitioning(spark, forest, training):
     again = fit_per_ap(training.repartition(7), spark.createDataFrame([("a",)], "bssid string"))
     pick = ["tree_id", "feature", "size"]

@@ -211,3 +211,13 @@ def test_profiles_json(spark, tmp_path):
     again = tables.read_profiles_json(spark, str(tmp_path / "out"))
     assert again.exceptAll(known).count() == 0 and again.count() == 2
     assert tables.profile_entries_json(known).count() == 2
+
+
+def test_many_profile_documents_come_back_whole(spark, tmp_path):
+    rows = spark.range(1_000).selectExpr("concat('02:', lpad(id, 6, '0')) AS bssid", "CAST(id AS INT) AS ie_count")
+    missing = [c for c in tables.PROFILE_SCHEMA.fieldNames() if c not in rows.columns]
+    kinds = {f.name: f.dataType for f in tables.PROFILE_SCHEMA}
+    known = rows.select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in missing]).select(*tables.PROFILE_SCHEMA.fieldNames())
+    tables.write_profiles_json(known, str(tmp_path / "out"), per_document=100)
+    again = tables.read_profiles_json(spark, str(tmp_path / "out"))
+    assert again.count() == 1_000 and again.select("bssid", "ie_count").exceptAll(rows.select("bssid", "ie_count")).count() == 0
