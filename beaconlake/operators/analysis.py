@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from beaconlake.operators.ranking import bucketed_row_number, with_quantiles
+from beaconlake.operators.ranking import RANGES, bucketed_row_number, with_quantiles
 from beaconlake.schema import EVIDENCE_WEIGHTS
 from beaconlake.session import materialise
 
@@ -15,11 +15,19 @@ NO_LABEL = "LAB_AP_UNKNOWN"
 QUARTILES = {"q0": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "q4": 1.0}
 
 
-def network_labels(
-    rows: DataFrame, order: str = "capture_us", bucket: str = "first div 3600000000"
-) -> DataFrame:
-    """``ssid, ssid_label``: presentation names in order of first appearance, then of name."""
-    first = rows.filter(F.col("ssid").isNotNull()).groupBy("ssid").agg(F.min(order).alias("first"))
+def network_labels(rows: DataFrame, order: str = "capture_us", bucket: str | None = None) -> DataFrame:
+    """``ssid, ssid_label``: presentation names in order of first appearance, then of name.
+
+    Names are numbered in ranges of first appearance that hold about equally many, wherever in time
+    most of them appear, or in buckets that the caller names.
+    """
+    first = materialise(
+        rows.filter(F.col("ssid").isNotNull()).groupBy("ssid").agg(F.min(order).alias("first")), "first-heard"
+    )
+    if bucket is None:
+        shares = [i / RANGES for i in range(1, RANGES)]
+        cuts = first.agg(F.percentile_approx("first", shares, 10 * RANGES)).first()[0] or [0]
+        bucket = f"size(filter(array({', '.join(map(str, sorted(set(cuts))))}), e -> e < first))"
     ranked = bucketed_row_number(first, [], F.expr(bucket), ["first", "ssid"], "position")
     return ranked.select("ssid", F.format_string(LABEL, "position").alias("ssid_label"))
 

@@ -2,10 +2,17 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Locations that the jobs now running have made, innermost job last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
 def local_session(name: str, cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A single-machine session for tests and the bench; clusters bring their own."""
     return (
@@ -43,8 +50,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh table location below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/beaconlake/{label}-{uuid.uuid4().hex}"
+    """A fresh table location below the shared folder; a job scope removes it at its end."""
+    path = f"{shared_dir(spark).rstrip('/')}/beaconlake/{label}-{uuid.uuid4().hex}"
+    if scopes := _SCOPES.get():
+        scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def job_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediate tables made inside when the block ends.
+
+    Results must be written or collected inside: a plan that reads a removed table cannot run.
+    """
+    made: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), made))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for path in made:
+            location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(location, True)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

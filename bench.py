@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from beaconlake.plans.capture import beacons, frames  # noqa: E402
 from beaconlake.plans.catalog import CATALOG  # noqa: E402
-from beaconlake.session import local_session  # noqa: E402
+from beaconlake.session import job_scope, local_session  # noqa: E402
 
 HEADLINES = [
     "clock_skew", "timing_variance", "seq_duplicate", "frame_observations", "scanned_networks",
@@ -36,13 +36,16 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1_000_000).selectExpr("sum(id)").collect()
 
-    seconds = {
+    # The fixture is built first and reported apart.
+    fixture = {
         "beacons_table": run(lambda: beacons(spark, data_dir)),
         "frames_table": run(lambda: frames(spark, data_dir)),
     }
+    seconds = {}
     for name in HEADLINES:
         def execute() -> None:
-            CATALOG[name](spark, data_dir).write.format("noop").mode("overwrite").save()
+            with job_scope(spark):
+                CATALOG[name](spark, data_dir).write.format("noop").mode("overwrite").save()
 
         taken = run(execute)
         # Short queries are repeated once, so that compilation does not dominate.
@@ -55,6 +58,7 @@ def main() -> None:
                 "value": total,
                 "unit": "sec",
                 "queries": {name: round(value, 3) for name, value in seconds.items()},
+                "fixture": {name: round(value, 3) for name, value in fixture.items()},
                 "sf": os.path.basename(data_dir.rstrip("/")).removeprefix("sf"),
             }
         )
