@@ -408,8 +408,10 @@ def forest_scores(spark, data_dir):
     base = _base(spark, data_dir)
     forest = _forest(spark, data_dir, base)
     scored = forest.score(sequence_features(beacons(spark, data_dir)), F.col("valid_skew") == 1)
+    below = F.sum((F.col("model_score") < 0).cast("int"))
+    twentieth = F.count("*") / 20
     shares = forest.score(base).groupBy("bssid").agg(
-        F.avg((F.col("model_score") < 0).cast("int")).between(0.0, 0.06).alias("share_holds")
+        below.between(F.floor(twentieth) - 1, twentieth + 1).alias("share_holds")
     )
     return (
         scored.groupBy("bssid")
