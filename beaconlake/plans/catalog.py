@@ -408,10 +408,10 @@ def forest_scores(spark, data_dir):
     base = _base(spark, data_dir)
     forest = _forest(spark, data_dir, base)
     scored = forest.score(sequence_features(beacons(spark, data_dir)), F.col("valid_skew") == 1)
-    below = F.sum((F.col("model_score") < 0).cast("int"))
-    twentieth = F.count("*") / 20
+    below, upto = (F.count(F.when(c, 1)) for c in (F.col("model_score") < 0, F.col("model_score") <= 0))
+    twentieth = F.count("*") / 20  # equal scores may all lie at the offset itself
     shares = forest.score(base).groupBy("bssid").agg(
-        below.between(F.floor(twentieth) - 1, twentieth + 1).alias("share_holds")
+        ((below <= twentieth + 1) & (upto >= F.floor(twentieth))).alias("share_holds")
     )
     return (
         scored.groupBy("bssid")
