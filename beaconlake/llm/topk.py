@@ -20,6 +20,8 @@ from beaconlake.session import materialise
 LEVELS = (4, 16)
 #: Queries that one pass over the vectors serves: bounds what is broadcast (numbers, not rows).
 BLOCK_NUMBERS = 1 << 21
+#: Candidates whose scores give the first bounds: queries need not be candidates themselves.
+FIRST_ROWS = 1 << 10
 #: Doubles hold integers up to here exactly.
 EXACT = float(1 << 53)
 
@@ -71,6 +73,8 @@ class QueryBlock:
 
     def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
         """Take candidate rows in: bounds from coarse to fine, then exact scores."""
+        if not len(ids):
+            return
         numbers = rows.astype(float)
         norms = np.sqrt((numbers**2).sum(axis=1))
         coarse, *finer = [segment_features(numbers, s) for s in LEVELS]
@@ -91,13 +95,6 @@ class QueryBlock:
         if len(order) == self.k:
             self.least[q] = max(self.least[q], scores[order[-1]])
 
-    def seed(self) -> None:
-        """Start from the k-th best score among the block's own queries: a valid bound for all."""
-        trial = QueryBlock(self.ids, self.rows, self.k)
-        distinct = np.unique(self.ids, return_index=True)[1]
-        trial.add(self.ids[distinct], self.rows[distinct])
-        self.least = trial.least
-
 
 def _by_dimension(ids: list, ints: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     sizes = np.fromiter(map(len, ints), dtype=np.int64, count=len(ints))
@@ -111,12 +108,14 @@ def _search(queries: list, k: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         blocks = {}
         for ids, rows in _by_dimension([q[0] for q in queries], [q[1] for q in queries]):
-            blocks[rows.shape[1]] = block = QueryBlock(ids, rows, k)
-            block.seed()
+            blocks[rows.shape[1]] = QueryBlock(ids, rows, k)
         for frame in frames:
             for ids, rows in _by_dimension(frame["vec_id"].tolist(), frame["ints"].tolist()):
                 if rows.shape[1] in blocks and rows.shape[1]:
-                    blocks[rows.shape[1]].add(ids, rows)
+                    block = blocks[rows.shape[1]]
+                    first = 0 if np.isfinite(block.least).all() else FIRST_ROWS
+                    block.add(ids[:first], rows[:first])
+                    block.add(ids[first:], rows[first:])
         for block in blocks.values():
             found = [(q, *pair) for q, (a, b) in zip(block.ids, block.best, strict=True) for pair in zip(a, b, strict=True)]
             yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")

@@ -66,3 +66,13 @@ def test_odd_rows(spark):
 def test_whole_table_against_sql(spark):
     got = op8_topk(spark, DATA).toPandas()
     assert differences(got, connect(DATA).execute(ORACLES["op8_topk"]).df()) == []
+
+
+def test_queries_from_outside_the_table(spark):
+    # The queries are much closer to each other than to any vector.
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=8))]) for i in range(1500)]
+    queries = [(10_000 + i, [float(x) for x in np.float32(20 + 0.1 * rng.normal(size=8))]) for i in range(30)]
+    for k in (3, 10):
+        got = [tuple(r) for r in sorted(exact_topk(table(spark, rows), table(spark, queries), k).collect())]
+        assert len(got) == 30 * k and got == brute_force(rows, queries, k)
