@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 from beaconlake.llm.common import UID, slices, text_bytes
 from beaconlake.session import materialise
 
-#: Labelled rows that the trigram model is fitted on, about; fewer if there are fewer.
-FIT_ROWS = 4000
+#: Labelled rows that the trigram model is fitted on, about, and how many more each rarer language may
+#: have, so that it gets this many at least; fewer if there are fewer.
+FIT_ROWS, FIT_LEAST = 4000, 1000
+#: Parts in which the share of the rows that are drawn is counted.
+DRAWN = 1 << 20
 BUCKETS = 1 << 16
 #: Every character lies in three trigrams.
 TEMPER = 1 / 3
@@ -83,33 +86,42 @@ class TrigramModel:
 
 
 def _trigram_counts(languages: list[str]):
+    number_of = {name: i for i, name in enumerate(languages)}
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros((len(languages), BUCKETS), dtype=np.int64)
+        counts: dict[int, np.ndarray] = {}
         octets = np.zeros(256, dtype=np.int64)
         for frame in slices(frames, "text", AT_ONCE):
-            for number, language in enumerate(languages):
-                texts = [letters(t) for t in frame["text"][frame["lang"] == language]]
-                counts[number] += np.bincount(trigrams(texts)[0], minlength=BUCKETS)
+            for language, group in frame.groupby("lang")["text"]:
+                texts = [letters(t) for t in group]
+                seen = np.bincount(trigrams(texts)[0], minlength=BUCKETS)
+                number = number_of[language]
+                counts[number] = counts[number] + seen if number in counts else seen
                 octets += np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256)
-        for number in range(len(languages)):
-            seen = np.flatnonzero(counts[number])
-            yield pd.DataFrame({"language": number, "bucket": seen, "n": counts[number][seen]})
+        for number, counted in counts.items():
+            seen = np.flatnonzero(counted)
+            yield pd.DataFrame({"language": number, "bucket": seen, "n": counted[seen]})
         yield pd.DataFrame({"language": -1, "bucket": np.arange(256), "n": octets})
 
     return run
 
 
-def fit_trigrams(labelled: DataFrame, rows: int = FIT_ROWS, languages: int = 64) -> TrigramModel:
-    """Fit on about ``rows`` rows with ``lang`` and ``text``, chosen by a hash of the text.
+def fit_trigrams(labelled: DataFrame, rows: int = FIT_ROWS, least: int = FIT_LEAST) -> TrigramModel:
+    """Fit on rows with ``lang`` and ``text``, chosen by a hash of the text: about ``rows`` of all.
 
-    At most the ``languages`` most frequent values of ``lang`` are told apart.
+    All values of ``lang`` are told apart. Of each value about ``least`` rows are taken at least, all if
+    there are fewer, and never none.
     """
+    draw = F.pmod(F.xxhash64("text"), F.lit(DRAWN))
     known = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(draw).alias("lowest")).collect()
     names = sorted(r["lang"] for r in sizes)
-    total = sum(r["count"] for r in sizes)
-    share = min(1.0, rows / max(1, total))
-    chosen = known.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    share = min(1.0, rows / max(1, sum(r["n"] for r in sizes)))
+    below = {r["lang"]: max(math.ceil(min(1.0, max(share, least / r["n"])) * DRAWN), r["lowest"] + 1) for r in sizes}
+    chosen = known.limit(0)
+    if names:
+        bounds = labelled.sparkSession.createDataFrame(list(below.items()), "lang string, below long")
+        chosen = known.join(F.broadcast(bounds), "lang").filter(draw < F.col("below")).select("lang", "text")  # a row a language
     counted = chosen.mapInPandas(_trigram_counts(names), "language int, bucket long, n long")
     counts, octets = np.zeros((len(names), BUCKETS)), np.zeros(256)
     for r in counted.groupBy("language", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():

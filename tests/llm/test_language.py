@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from samples import DATA
@@ -97,3 +99,31 @@ def test_whole_tables(spark, documents, texts):
     assert model.languages == sorted(set(labels.values()))
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     assert identify_pages(pages, documents).count() == pages.count()
+
+
+def invented(rng):
+    """Texts of one language: its words are made of letter pairs of its own."""
+    pairs = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=2)) for _ in range(12)]
+    return lambda: " ".join("".join(rng.choices(pairs, k=3)) for _ in range(40))
+
+
+def test_more_than_64_languages(make_documents):
+    rng, rows = random.Random(1), []
+    for number in range(70):
+        text = invented(rng)
+        # The last names are the rarest.
+        rows += [(len(rows) + i, text(), f"l{number:02d}") for i in range(5 if number >= 66 else 8)]
+    table = make_documents(rows)
+    assert len(fit_trigrams(table).languages) == 70
+    found = {r.doc_id: r for r in identify_documents(table, ["doc_id"]).collect()}
+    assert all(found[i].language == name for i, _, name in rows)
+
+
+def test_a_rare_language_is_fitted(make_documents):
+    rng = random.Random(2)
+    frequent, rare = invented(rng), invented(rng)
+    rows = [(i, frequent(), "aa") for i in range(3000)] + [(3000 + i, rare(), "bb") for i in range(3)]
+    model = fit_trigrams(make_documents(rows), rows=20, least=10)
+    assert np.ptp(model.logs[:, model.languages.index("bb")]) > 0  # not only smoothing
+    same = fit_trigrams(make_documents([(i, "the same words", "cc") for i in range(50)]), rows=1, least=1)
+    assert np.ptp(same.logs[:, 0]) > 0
