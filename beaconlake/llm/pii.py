@@ -10,6 +10,7 @@ occurrence then gets the surrogate in its own spelling.
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -36,22 +37,31 @@ TITLES = {
     "u": "Dr|Prof",
 }
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+HEX = "[0-9a-fA-F]{1,4}"
 #: Types in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"[\w.+%-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63})+",
     "secret": r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}(?![0-9A-Za-z])",
+    "ipv6": rf"(?<![\w:.])(?=[0-9a-fA-F:]*\d|(?:[0-9a-fA-F]*:){{3}})(?:(?:{HEX}:){{7}}{HEX}|(?:{HEX}(?::{HEX}){{0,6}})?::(?:(?:{HEX}:){{0,5}}(?:{OCTET}\.){{3}}{OCTET}|{HEX}(?::{HEX}){{0,6}})?)(?![\w:]|\.\d)",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?![\d]|\.\d)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])",
     "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
+    "national": r"(?<![\w.,:/+-])(?:\(0\d{1,4}\) ?\d{2,4}(?:[ -]?\d{2,4}){1,3}|0\d{2,4}(?: ?[/-] ?| )\d{3,4}(?:[ -]?\d{2,4}){1,3}|0\d(?:[ .-]\d\d){4}|0\d{9,10})(?!\w|[.,/:-]\d)",
     "assigned": r"(?i:token|secret|password|passwd|api[_-]?key)[\"']?\s*[=:]\s*[\"']?(?P<assigned_value>[\w/+-]{8,})",
 }
 FINDER = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
-WORD = r"[^\W\d_]+(?:[-'’][^\W\d_]+)?"
-NAMED = re.compile(
-    "|".join(rf"(?<!\w)(?:{titles})\.? (?P<{gender}>{WORD}(?: {WORD})?)" for gender, titles in TITLES.items())
+WORD = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
+ALL_TITLES = "|".join(TITLES.values())
+TITLED = re.compile(
+    "|".join(rf"(?P<{gender}>(?<!\w)(?:{titles})\.? )(?:(?:{ALL_TITLES})\.? )*" for gender, titles in TITLES.items())
 )
+#: A word of a name; an initial stays, as does a genitive ending.
+NAME_WORD = re.compile(rf"(?P<initial>[^\W\d_]\. ?(?=[^\W\d_]{{2}}))|(?P<word>{WORD})")
+GENITIVE = ("'s", "’s")
+PARTICLES = set("van von vom zu zur de der den del della di da das do dos du la le el al bin ibn ter ten y".split())
+NO_NAMES = set(ALL_TITLES.split("|"))
 HEXADECIMAL = re.compile("[0-9a-fA-F]{32,}")
 MAYBE = re.compile(r"[0-9@=:]")
 
@@ -92,27 +102,70 @@ def canonical(kind: str, value: str) -> str:
         return re.sub(r"\D", "", value)
     if kind == "iban":
         return value.replace(" ", "")
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(value).exploded
     return unicodedata.normalize("NFC", value).lower() if kind != "assigned" else value
 
 
+def name_at(text: str, at: int) -> list[tuple[int, int]]:
+    """Where the words of the name are that begins at a place; they begin with capitals."""
+    spans = []
+    while m := NAME_WORD.match(text, at):
+        at = m.end()
+        if m["initial"]:
+            if not m["initial"][0].isupper():
+                break
+            continue
+        word = m["word"]
+        owned = word.endswith(GENITIVE) and len(word) > 2
+        if word[0].isupper() and word not in NO_NAMES:
+            spans.append((m.start(), at - 2 if owned else at))
+        elif word not in PARTICLES:
+            break
+        if owned or text[at : at + 1] != " ":
+            break
+        at += 1
+    return spans
+
+
+def names_of(text: str) -> list[tuple[str, int, int, str]]:
+    """Names after titles, and every other place of a text where a word of such a name stands.
+
+    Elsewhere a word has the type of its first titled mention, so its surrogate is the same.
+    """
+    found, kind_of, spellings = [], {}, set()
+    for m in TITLED.finditer(text):
+        spans = name_at(text, m.end())
+        for i, (at, end) in enumerate(spans):
+            kind = "family" if i == len(spans) - 1 else f"given_{m.lastgroup}"
+            value = canonical(kind, text[at:end])
+            found.append((kind, at, end, value))
+            kind_of.setdefault(value, kind)
+            spellings |= {unicodedata.normalize(form, text[at:end]) for form in ("NFC", "NFD")} | {text[at:end]}
+    if found:
+        longest_first = sorted(spellings, key=lambda w: (-len(w), w))
+        again = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, longest_first))})(?!\w)", re.IGNORECASE)
+        for m in again.finditer(text):
+            value = canonical("family", m[0])
+            if m[0][0].isupper() and value in kind_of:
+                found.append((kind_of[value], m.start(), m.end(), value))
+    return found
+
+
 def entities_of(text: str) -> list[tuple[str, int, int, str]]:
     """``type, start, end, canonical value`` of the entities of a text, in order, apart."""
     found = []
     if MAYBE.search(text):
         for m in FINDER.finditer(text):
-            kind = m.lastgroup if m.lastgroup != "assigned_value" else "assigned"
-            at, end = m.span("assigned_value" if kind == "assigned" else kind)
+            kind = {"assigned_value": "assigned", "national": "phone"}.get(m.lastgroup, m.lastgroup)
+            at, end = m.span("assigned_value" if kind == "assigned" else m.lastgroup)
             if kind == "assigned" and HEXADECIMAL.fullmatch(text, at, end):
                 kind = "secret"
-            found.append((kind, at, end, canonical(kind, text[at:end])))
-    for m in NAMED.finditer(text):
-        gender, at = m.lastgroup, m.start(m.lastgroup)
-        words = [w for w in m[gender].split(" ")]
-        named = [w for w in words if w[0].isupper()][: len(words)] if words[0][0].isupper() else []
-        for i, word in enumerate(named):
-            kind = f"given_{gender}" if i == 0 and len(named) == 2 else "family"
-            found.append((kind, at, at + len(word), canonical(kind, word)))
-            at += len(word) + 1
+            try:
+                found.append((kind, at, end, canonical(kind, text[at:end])))
+            except ipaddress.AddressValueError:  # more groups than an address has
+                continue
+    found += names_of(text)
     found.sort(key=lambda e: (e[1], -e[2]))
     apart, free = [], 0
     for entity in found:
@@ -157,6 +210,8 @@ def candidate(key: bytes, kind: str, value: str, attempt: int) -> str:
     extra = max(0, attempt - LONGER_AFTER)
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
+    if kind == "ipv6":
+        return ":".join(f"{draw.below(1 << 16):04x}" for _ in range(8))
     if kind == "secret":
         return draw.like(value, hexadecimal=True) + "".join(draw.like("0") for _ in range(extra))
     if kind == "email":

@@ -90,3 +90,43 @@ def test_whole_table(documents, texts):
             assert r.text == texts[r.doc_id]
     assert len(pairs) == len({p[:2] for p in pairs}) == len({(p[0], p[2]) for p in pairs})
     assert not {(p[0], p[2]) for p in pairs} & {p[:2] for p in pairs}
+
+
+def test_later_mentions_and_longer_names_by_hand():
+    text = "Dr. Anna Weber spoke. Weber said that Anna left WEBER's house; weber and Annapolis stay."
+    assert kinds(text) == [
+        ("given_u", "Anna"), ("family", "Weber"), ("family", "Weber"), ("given_u", "Anna"), ("family", "WEBER"),
+    ]
+    assert kinds("Mr John Paul Smith met Frau Dr. Vogel's dog") == [
+        ("given_m", "John"), ("given_m", "Paul"), ("family", "Smith"), ("family", "Vogel"),
+    ]
+    assert kinds("Herr von Weber, Mr J. Smith, Señora María de la Cruz") == [
+        ("family", "Weber"), ("family", "Smith"), ("given_f", "María"), ("family", "Cruz"),
+    ]
+    assert kinds("Mr Weber wrote to Weber@mail.example.com") == [("family", "Weber"), ("email", "Weber@mail.example.com")]
+
+
+def test_later_mentions_have_the_same_surrogate(make_documents):
+    rows = make_documents([(1, "Dr. Anna Weber spoke. Weber said (as WEBER) that Anna left."), (2, "Mr John Paul Smith. Paul?")])
+    found = {r.doc_id: r.text for r in pseudonymise(rows, KEY).collect()}
+    anna, weber = found[1].split()[1:3]
+    assert anna not in ("Anna", "Weber") and weber not in ("Anna", "Weber")
+    assert found[1] == f"Dr. {anna} {weber} spoke. {weber} said (as {weber.upper()}) that {anna} left."
+    john, paul, smith = found[2].rstrip("?").split()[1:4]
+    assert not {john, paul, smith.rstrip(".")} & {"John", "Paul", "Smith"}
+    assert found[2] == f"Mr {john} {paul} {smith} {paul}?"
+
+
+def test_national_phones_and_ipv6_by_hand(make_documents):
+    values = ["030 1234567", "(030) 123-4567", "0171/1234567", "020 7946 0958", "01 23 45 67 89", "01711234567"]
+    for value in values:
+        assert kinds(f"call {value}, please") == [("phone", value)]
+    for value in ("2001:db8::8a2e:370:7334", "fe80::1", "2001:0DB8:0:0:0:0:0:1", "::ffff:10.0.255.1"):
+        assert kinds(f"from {value}.") == [("ipv6", value)]
+    for text in ("on 01.02.2024 or 01-02-2024 or 01/02/2024", "std::vector a::b 10:45:30 0.1234567", "0:1:2:3:4:5:6::7:8:9"):
+        assert kinds(text) == []
+    assert kinds("0123 4567 8901 2345 6789")[0][0] in ("card", "phone")
+    rows = make_documents([(1, "tel 030 1234567 from 2001:DB8::1 and 2001:db8:0::1")])
+    words = pseudonymise(rows, KEY).collect()[0].text.split()
+    assert "1234567" not in words and [len(w) for w in words[1:3]] == [3, 7]
+    assert words[4] != "2001:DB8::1" and words[4].lower() == words[6].lower()
