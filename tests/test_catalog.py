@@ -2,7 +2,7 @@
 
 import pytest
 from compare import connect, differences
-from conftest import DATA
+from places import DATA
 
 import __spark_entry__ as driver
 

@@ -4,17 +4,17 @@ import random
 
 import numpy as np
 import pytest
-from conftest import AP
+from places import AP
 from pyspark.sql import functions as F
 
 from beaconlake.operators import alerts as A
 from beaconlake.operators.rules import evidence, with_reasons
 
 FEATURE = {
-    "frame_id": 1, "sensor_id": "s", "capture_us": 0, "ssid": "LAB_AP_01", "bssid": AP, "rssi": -55,
-    "channel": 6, "seq_num": 100, "seq_jump": 1, "clock_skew": 0.00001, "valid_skew": 0,
-    "security": "WPA2/WPA3", "ie_count": 20, "rate_count": 12, "is_seq_duplicate": 0,
-    "inter_beacon_ms": 100.0, "model_score": 0.1,
+    "frame_id": 1, "sensor_id": "s", "capture_us": 0, "ssid": "ATTIC", "bssid": AP, "rssi": -63,
+    "channel": 11, "seq_num": 2040, "seq_jump": 1, "clock_skew": 0.00002, "valid_skew": 0,
+    "security": "WPA2/WPA3", "ie_count": 14, "rate_count": 8, "is_seq_duplicate": 0,
+    "inter_beacon_ms": 102.4, "model_score": 0.07,
 }
 FEATURE_SCHEMA = (
     "frame_id long, sensor_id string, capture_us long, ssid string, bssid string, rssi int, "
@@ -29,28 +29,28 @@ CASES = [
     ({"bssid": "02:99:00:00:00:99"}, 0, 0, 0.0),
     ({"bssid": "02:99:00:00:00:99", "is_seq_duplicate": 1, "security": "Open"}, 0, 0, 0.0),
     ({"is_seq_duplicate": 1}, 1, 1, 0.9),
+    ({"ie_count": 11}, 1, 1, 0.7),
     ({"ie_count": 17}, 1, 1, 0.7),
-    ({"ie_count": 23}, 1, 1, 0.7),
-    ({"ie_count": 18}, 0, 0, 0.0),
+    ({"ie_count": 12}, 0, 0, 0.0),
     ({"security": "Open"}, 1, 1, 0.6),
-    ({"rate_count": 9}, 0, 1, 0.3),
-    ({"rate_count": 10}, 0, 0, 0.0),
+    ({"rate_count": 5}, 0, 1, 0.3),
+    ({"rate_count": 6}, 0, 0, 0.0),
     (TIMING, 0, 1, 0.35),
     ({"valid_skew": 0, "clock_skew": 0.002}, 0, 0, 0.0),
     ({"valid_skew": 1, "clock_skew": 0.0005}, 0, 0, 0.0),
     ({"valid_skew": 1, "model_score": -0.2}, 0, 1, 0.25),
     ({"valid_skew": 0, "model_score": -0.2}, 0, 0, 0.0),
     ({"valid_skew": 1, "model_score": -0.12}, 0, 0, 0.0),
-    ({**TIMING, "rate_count": 8, "model_score": -0.2}, 1, 3, 0.9),
-    ({**TIMING, "rate_count": 8}, 0, 2, 0.65),
-    ({**TIMING, "is_seq_duplicate": 1, "ie_count": 4, "security": "WEP", "rate_count": 2}, 1, 5, 1.0),
+    ({**TIMING, "rate_count": 4, "model_score": -0.2}, 1, 3, 0.9),
+    ({**TIMING, "rate_count": 4}, 0, 2, 0.65),
+    ({**TIMING, "is_seq_duplicate": 1, "ie_count": 4, "security": "WEP", "rate_count": 1}, 1, 5, 1.0),
 ]
 
 
 @pytest.fixture(scope="module")
 def profiles(spark):
     return spark.createDataFrame(
-        [("LAB_AP_01", AP, 20, 12, "WPA2/WPA3", 0.00001, 0.00005)],
+        [("ATTIC", AP, 14, 8, "WPA2/WPA3", 0.00002, 0.00004)],
         "ssid string, bssid string, ie_count int, rate_count int, security string, "
         "clock_skew_mean double, clock_skew_std double",
     )
@@ -75,7 +75,7 @@ def test_missing_model_column_and_reason_texts(spark, profiles):
         "Duplicate sequence activity", "Beacon IE count deviation", "Advertised security change",
         "Supported-rate deviation", "Timing deviation",
     ]
-    assert "(Δ=16)" in reasons[1] and "0.002000" in reasons[4] and "(39.8σ)" in reasons[4]
+    assert "(Δ=10)" in reasons[1] and "0.002000" in reasons[4] and "(49.5σ)" in reasons[4]
 
 
 def test_profile_without_spread_gives_no_timing_evidence(spark, profiles):

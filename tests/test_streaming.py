@@ -1,5 +1,5 @@
 import pytest
-from conftest import DATA
+from places import DATA
 from pyspark.sql import functions as F
 
 from beaconlake.operators.features import sequence_features

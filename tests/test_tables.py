@@ -3,7 +3,7 @@
 import statistics
 
 import pytest
-from conftest import AP
+from places import AP
 from pyspark.sql import functions as F
 
 from beaconlake.operators import analysis, inventory, profiles
@@ -38,7 +38,7 @@ def test_signal_band(make_beacons, rssi, band):
 
 def test_select_target_ignores_case(make_beacons):
     rows = make_beacons([{}, {"ssid": "Else"}, {"bssid": "02:00:00:00:00:07"}])
-    assert inventory.select_target(rows, AP.upper(), "LAB_AP_01").count() == 1
+    assert inventory.select_target(rows, AP.upper(), "ATTIC").count() == 1
     assert inventory.select_target(rows).count() == 3
 
 
@@ -114,8 +114,8 @@ def test_completion_percent(spark, n, percent):
 def test_deviation_edges(spark, make_beacons):
     known = spark.createDataFrame(
         [
-            (AP, 20, 12, "WPA2/WPA3", 6, 0.0, 0.0, -58.0, -56.0),
-            ("02:00:00:00:00:02", None, 12, "Open", None, None, None, None, None),
+            (AP, 14, 8, "WPA2/WPA3", 6, 0.0, 0.0, -58.0, -56.0),
+            ("02:00:00:00:00:02", None, 8, "Open", None, None, None, None, None),
         ],
         "bssid string, ie_count int, rate_count int, security string, channel int, "
         "clock_skew_mean double, clock_skew_std double, rssi_min double, rssi_max double",
@@ -125,9 +125,9 @@ def test_deviation_edges(spark, make_beacons):
     ).withColumn("clock_skew", F.lit(0.25))
     got = {r["bssid"][-1]: r for r in profile_deviations(rows, known).collect()}
     assert got["1"]["clock_skew_deviation"] == 0.25
-    assert got["1"]["rssi_deviation"] == pytest.approx(2.0 / 10.0)
+    assert got["1"]["rssi_deviation"] == pytest.approx(3.0 / 10.0)
     assert [got["1"][c] for c in ("ie_count_match", "channel_match")] == [1, 1]
-    assert (got["2"]["rssi_deviation"], got["2"]["ie_count_match"], got["2"]["security_match"]) == (5.5, 0, 0)
+    assert (got["2"]["rssi_deviation"], got["2"]["ie_count_match"], got["2"]["security_match"]) == (5.4, 0, 0)
     assert (got["3"]["clock_skew_deviation"], got["3"]["security_match"]) == (0.0, 1)
 
 
