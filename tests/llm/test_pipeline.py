@@ -1,7 +1,7 @@
 import pytest
 from samples import DATA
+from test_nearcopies import first_of_groups
 from test_packing import check
-from test_simhash import plain_classes, plain_fingerprint
 
 import corpus_pipeline
 from beaconlake.llm.pii import entities_of
@@ -34,11 +34,8 @@ def test_language_stage_keeps_ordinary_documents(stages):
 
 
 def test_one_of_each_group_stays(stages):
-    before = sorted(stages[1][1])
-    classes, first = plain_classes([plain_fingerprint(r.text) for r in before]), {}
-    for r, c in zip(before, classes, strict=True):
-        first.setdefault(c, r.doc_id)
-    assert sorted(r.doc_id for r in stages[2][1]) == sorted(first.values())
+    want = first_of_groups({r.doc_id: r.text for r in stages[1][1]})
+    assert sorted(r.doc_id for r in stages[2][1]) == want
 
 
 def test_contaminated_documents_go(stages, spark):
