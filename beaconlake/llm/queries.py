@@ -4,12 +4,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from beaconlake.llm.common import table
 from beaconlake.llm.decontaminate import contamination
+from beaconlake.llm.hardneg import hard_negatives
 from beaconlake.llm.language import identify_documents, identify_pages
 from beaconlake.llm.mixing import language_scores
 from beaconlake.llm.packing import pack
 from beaconlake.llm.pii import pseudonymise
 from beaconlake.llm.sharding import byte_shards
 from beaconlake.llm.simhash import near_duplicates
+from beaconlake.llm.spelling import spelling_variants
 from beaconlake.llm.topk import exact_topk
 from beaconlake.llm.toxicity import toxicity
 from beaconlake.llm.transducer import token_counts
@@ -63,6 +65,17 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), keep_ids=False).drop("ids")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id", "embedding", "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label"
+    )
+    return hard_negatives(vectors, "vec_id % 100 = 0")
+
+
 QUERIES = {
     "op1_shards": op1_shards,
     "op2_pii": op2_pii,
@@ -74,6 +87,8 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_language": op9_language,
     "op10_pack": op10_pack,
+    "op11_spelling": op11_spelling,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 ORACLES = {
@@ -120,4 +135,28 @@ ORACLES = {
         )
         SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10
     """,
+    "op12_hard_negatives": """
+        WITH v AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+            AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), a AS (SELECT DISTINCT vec_id, label, e FROM v WHERE vec_id % 100 = 0), s AS (
+          SELECT a.vec_id AS anchor_id, v.vec_id, v.label = a.label AS same,
+            CAST(list_dot_product(a.e, v.e) AS BIGINT) AS score
+          FROM a JOIN v ON a.vec_id <> v.vec_id AND len(a.e) = len(v.e)
+        ), p AS (
+          SELECT anchor_id, vec_id AS positive_id, score AS positive_score, n AS number FROM (
+            SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same)
+          WHERE n <= 5
+        ), r AS (
+          SELECT p.anchor_id, positive_id, s.vec_id AS negative_id, positive_score, s.score AS negative_score,
+            row_number() OVER (PARTITION BY p.anchor_id, number ORDER BY s.score DESC, s.vec_id) AS n
+          FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
+            AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+        )
+        SELECT anchor_id, positive_id, CAST(n AS INTEGER) AS rank, negative_id, positive_score, negative_score
+        FROM r WHERE n <= 5
+    """,
 }
