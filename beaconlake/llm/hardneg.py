@@ -24,8 +24,8 @@ from beaconlake.session import materialise
 LEVELS = (4, 16)
 #: Numbers of one block of anchors: bounds what the driver and each task hold of them.
 BLOCK_NUMBERS = 1 << 20
-#: Rows that are bounded together; the first step of a task is smaller, to get thresholds early.
-STEP, FIRST_STEP = 1 << 10, 1 << 7
+#: Pairs of rows and anchors that are bounded together; a task begins with fewer, to get thresholds early.
+PAIRS, FIRST_PAIRS = 1 << 20, 1 << 16
 EXACT, LONG = float(1 << 53), (1 << 63) - 1
 SUMMARIES = "vec_id long, label long, ints array<long>, summary array<double>"
 
@@ -53,10 +53,7 @@ def level_slices(dimension: int) -> list[tuple[slice, slice]]:
 
 
 def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise integer inner products; what exceeds 64 bits ends at their limit."""
-    top = float(np.abs(a.astype(float)).max(initial=0)) * float(np.abs(b.astype(float)).max(initial=0)) * max(1, a.shape[1])
-    if top < EXACT:
-        return np.einsum("ij,ij->i", a.astype(float), b.astype(float)).astype(np.int64)
+    """Row-wise integer inner products of any size; what exceeds 64 bits ends at their limit."""
     wide = (a.astype(object) * b.astype(object)).sum(axis=1)
     return np.array([max(-LONG - 1, min(LONG, int(x))) for x in wide], dtype=np.int64)
 
@@ -107,46 +104,55 @@ class Anchors:
         self.norms = np.sqrt((rows.astype(float) ** 2).sum(axis=1))
         self.levels = level_slices(rows.shape[1])
         self.best = {}  # (anchor, band) -> ids and scores
-        # What a row must be able to reach: the band's lower end, then its last kept score.
-        self.least = np.where(low <= high, low, np.inf).astype(float)
-        self.most = np.where(low <= high, high, -np.inf).astype(float)
+        # What a row must be able to reach: the band's lower end, then its last kept score; a
+        # float's width aside, because large integers are rounded.
+        self.least = np.nextafter(np.where(low <= high, low, np.inf).astype(float), -np.inf)
+        self.most = np.nextafter(np.where(low <= high, high, -np.inf).astype(float), np.inf)
 
     def add(self, ids: np.ndarray, labels: np.ndarray, rows: np.ndarray, features: np.ndarray) -> None:
-        norms = np.sqrt((rows.astype(float) ** 2).sum(axis=1))
-        slack = np.outer(1e-9 * norms, self.norms) + 1e-6
+        """Take rows in, compared with all anchors at once, level by level."""
+        left = ((labels[:, None] == self.labels) == self.same) & (ids[:, None] != self.ids)
+        slack = np.outer(1e-9 * np.sqrt((rows.astype(float) ** 2).sum(axis=1)), self.norms) + 1e-6
         floor, ceiling = self.least.min(axis=1), self.most.max(axis=1)
-        means, devs = self.levels[0]
-        middle = features[:, means] @ self.features[:, means].T
-        spread = features[:, devs] @ self.features[:, devs].T + slack
-        left = (middle + spread >= floor) & (middle - spread <= ceiling)
-        left &= (labels[:, None] == self.labels) == self.same
-        left &= ids[:, None] != self.ids
-        i, q = np.nonzero(left)
-        for means, devs in self.levels[1:]:
-            middle = np.einsum("ij,ij->i", features[i][:, means], self.features[q][:, means])
-            spread = np.einsum("ij,ij->i", features[i][:, devs], self.features[q][:, devs]) + slack[i, q]
-            able = (middle + spread >= floor[q]) & (middle - spread <= ceiling[q])
-            i, q = i[able], q[able]
-        if not len(q):
+        kept = np.arange(len(rows))  # rows that some anchor may still want
+        for means, devs in self.levels:
+            middle = features[kept][:, means] @ self.features[:, means].T
+            spread = features[kept][:, devs] @ self.features[:, devs].T + slack[kept]
+            left &= (middle + spread >= floor) & (middle - spread <= ceiling)
+            some = left.any(axis=1)
+            kept, left = kept[some], left[some]
+        if not len(kept):
             return
-        scores = exact_scores(rows[i], self.rows[q])
-        order = np.argsort(q, kind="stable")
-        i, q, scores = i[order], q[order], scores[order]
-        starts = np.flatnonzero(np.r_[True, np.diff(q) != 0])
-        for at, end in zip(starts, [*starts[1:], len(q)], strict=True):
-            self._keep(q[at], ids[i[at:end]], scores[at:end])
+        scores = self.scores(rows[kept], left)
+        wanted = np.zeros_like(left)
+        for band in range(self.low.shape[1]):
+            wanted |= (scores >= self.least[:, band]) & (scores <= self.most[:, band])
+        q, i = np.nonzero((left & wanted).T)
+        starts = np.flatnonzero(np.r_[True, np.diff(q) != 0]) if len(q) else q
+        for at, end in zip(starts, np.r_[starts[1:], len(q)] if len(q) else q, strict=True):
+            self._keep(q[at], ids[kept[i[at:end]]], scores[i[at:end], q[at]])
+
+    def scores(self, rows: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Exact scores, where ``left`` asks for them."""
+        top = float(np.abs(rows.astype(float)).max()) * float(np.abs(self.rows.astype(float)).max()) * rows.shape[1]
+        if top < EXACT:  # then a product of matrices is exact, and faster than pair by pair
+            return (rows.astype(float) @ self.rows.astype(float).T).astype(np.int64)
+        found = np.zeros(left.shape, dtype=np.int64)
+        i, q = np.nonzero(left)
+        found[i, q] = exact_scores(rows[i], self.rows[q])
+        return found
 
     def _keep(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
         for band in range(self.low.shape[1]):
-            inside = (scores >= self.low[q, band]) & (scores <= self.high[q, band])
+            inside = (scores >= self.low[q, band]) & (scores <= self.high[q, band]) & (scores >= self.least[q, band])
             if not inside.any():
                 continue
             mine = self.best.get((q, band), (np.empty(0, np.int64), np.empty(0, np.int64)))
-            some, values = np.r_[mine[0], ids[inside]], np.r_[mine[1], scores[inside]]
+            some, values = np.concatenate([mine[0], ids[inside]]), np.concatenate([mine[1], scores[inside]])
             order = np.lexsort((some, -values))[: self.keep]
             self.best[q, band] = some[order], values[order]
             if len(order) == self.keep:
-                self.least[q, band] = max(self.least[q, band], values[order[-1]])
+                self.least[q, band] = max(self.least[q, band], np.nextafter(float(values[order[-1]]), -np.inf))
 
     def found(self) -> Iterator[tuple[int, int, int, int, int]]:
         for (q, band), (ids, scores) in self.best.items():
@@ -165,19 +171,20 @@ def _search(asked: list[tuple], keep: int, same_label: bool):
                 keys, np.array(ids), np.array(labels), _matrix(ints, np.int64), _matrix(features, float),
                 np.array(low, dtype=np.int64), np.array(high, dtype=np.int64), keep, same_label,
             )
-        step = FIRST_STEP
+        pairs = FIRST_PAIRS
         for frame in frames:
             for part in _by_dimension(frame):
                 if (block := blocks.get(len(part["ints"].iloc[0]))) is None:
                     continue
                 at = 0
                 while at < len(part):
+                    step = max(1, pairs // len(block.ids))
                     some = part.iloc[at : at + step]
                     block.add(
                         some["vec_id"].to_numpy(dtype=np.int64), some["label"].to_numpy(dtype=np.int64),
                         _matrix(some["ints"].tolist(), np.int64), _matrix(some["summary"].tolist(), float),
                     )
-                    at, step = at + step, STEP
+                    at, pairs = at + step, PAIRS
         rows = [row for block in blocks.values() for row in block.found()]
         yield pd.DataFrame(rows, columns=["key", "anchor_id", "band", "vec_id", "score"]).astype("int64")
 

@@ -73,7 +73,7 @@ def test_against_brute_force(spark, monkeypatch, dimension):
     want = brute_force(rows)
     assert len(want) > 50 and mined(spark, rows) == want
     monkeypatch.setattr(module, "BLOCK_NUMBERS", 400)  # several blocks of anchors
-    monkeypatch.setattr(module, "STEP", 16)
+    monkeypatch.setattr(module, "PAIRS", 50)
     assert mined(spark, rows) == want
 
 
