@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from beaconlake.llm.common import table
 from beaconlake.llm.decontaminate import contamination
+from beaconlake.llm.fingerprint import document_fingerprints
 from beaconlake.llm.hardneg import hard_negatives
 from beaconlake.llm.language import identify_documents, identify_pages
 from beaconlake.llm.mixing import language_scores
@@ -76,6 +77,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(vectors, "vec_id % 100 = 0")
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_shards": op1_shards,
     "op2_pii": op2_pii,
@@ -89,6 +94,7 @@ QUERIES = {
     "op10_pack": op10_pack,
     "op11_spelling": op11_spelling,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 ORACLES = {
