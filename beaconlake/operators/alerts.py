@@ -1,5 +1,8 @@
 """From suspicious frames to confirmed, rate-limited, numbered alerts."""
 
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -59,14 +62,44 @@ def emitted(times: np.ndarray, last: int | None, cooldown: int = COOLDOWN_US) ->
     return np.array(found, dtype=np.int64)
 
 
-def _slice_exits(table: pa.Table) -> pa.Table:
-    """Last alert time a slice ends with, as a step function of when it may first alert.
+@dataclass
+class Steps:
+    """Last alert that a stretch of candidates ends with, as a step function of when it may first alert.
 
-    A row says: when the first allowed time is at most ``allowed_upto``, the slice ends with
-    ``exit_us``. Only times up to one cooldown past the first candidate can matter.
+    A first allowed time of at most ``upto[i]``, and above ``upto[i - 1]``, ends with
+    ``exits[i]``; one above all of them raises nothing. Only times up to one cooldown past the first
+    candidate can matter, because whatever alerted before was earlier than that candidate: there are
+    no more steps than one cooldown has candidates, and one.
     """
-    times = np.sort(table["capture_us"].to_numpy())
-    following = np.searchsorted(times, times + COOLDOWN_US)
+
+    first: int
+    upto: np.ndarray
+    exits: np.ndarray
+
+    def merged(self) -> "Steps":
+        """The same function with one step for each run of equal exits."""
+        final = np.append(self.exits[1:] != self.exits[:-1], True)
+        return Steps(self.first, self.upto[final], self.exits[final])
+
+    def after(self, last: np.ndarray, cooldown: int = COOLDOWN_US) -> np.ndarray:
+        """Last alert at the end, from the last one before the start."""
+        at = np.searchsorted(self.upto, last + cooldown)
+        return np.where(at < len(self.upto), self.exits[np.minimum(at, len(self.upto) - 1)], last)
+
+    def then(self, later: "Steps", cooldown: int = COOLDOWN_US) -> "Steps":
+        """The function of both stretches in turn. The operation is associative."""
+        # What passes all steps of the first stretch meets the later one unchanged.
+        before = np.append(self.upto[-1], np.maximum(later.upto[:-1], self.upto[-1]))
+        needed = (later.upto > self.upto[-1]) & (before < self.first + cooldown)
+        return Steps(
+            self.first, np.append(self.upto, later.upto[needed]),
+            np.append(later.after(self.exits, cooldown), later.exits[needed]),
+        ).merged()
+
+
+def slice_exits(times: np.ndarray, cooldown: int = COOLDOWN_US) -> Steps:
+    """The step function of ascending candidate times."""
+    following = np.searchsorted(times, times + cooldown)
     starts = np.arange(min(len(times), int(following[0]) + 1))
     last = starts.copy()
     while True:
@@ -75,42 +108,77 @@ def _slice_exits(table: pa.Table) -> pa.Table:
         if not moving.any():
             break
         last = np.where(moving, step, last)
-    exits = times[last]
-    final = np.append(exits[1:] != exits[:-1], True)
-    rows = int(final.sum())
-    return pa.table(
-        {
-            **{c: pa.chunked_array([table[c].slice(0, 1).combine_chunks()] * rows) for c in SLICED_KEY},
-            "allowed_upto": times[starts[final]],
-            "exit_us": exits[final],
-        }
-    )
+    return Steps(int(times[0]), times[starts], times[last]).merged()
+
+
+STEPS = "sensor_id string, bssid string, node bigint, first bigint, upto array<bigint>, exits array<bigint>"
+
+
+def _steps_table(table: pa.Table, node: int, steps: Steps) -> pa.Table:
+    lists = {n: pa.array([getattr(steps, n)], pa.list_(pa.int64())) for n in ("upto", "exits")}
+    return pa.table({**{c: table[c].slice(0, 1) for c in KEY}, "node": [node], "first": [steps.first], **lists})
+
+
+def _leaf(table: pa.Table) -> pa.Table:
+    """The step function of one slice."""
+    return _steps_table(table, table["slice"][0].as_py(), slice_exits(np.sort(table["capture_us"].to_numpy())))
+
 
+def _steps_of(row: dict) -> Steps:
+    return Steps(row["first"], np.array(row["upto"], np.int64), np.array(row["exits"], np.int64))
 
-def _slice_entries(table: pa.Table) -> pa.Table:
-    """Follow the step functions through a key's slices: the last alert each slice starts with."""
-    ordered = table.sort_by([("slice", "ascending"), ("allowed_upto", "ascending")])
-    slices, first_at = np.unique(ordered["slice"].to_numpy(), return_index=True)
-    upto, exits = ordered["allowed_upto"].to_numpy(), ordered["exit_us"].to_numpy()
-    ends = np.append(first_at[1:], len(upto))
-    last, entries = None, []
-    for start, end in zip(first_at, ends):
+
+def _merge(table: pa.Table) -> pa.Table:
+    """The step function of a node from those of its one or two children."""
+    children = sorted(table.to_pylist(), key=lambda row: row["node"])
+    steps = reduce(Steps.then, map(_steps_of, children))
+    return _steps_table(table, children[0]["node"] // 2, steps)
+
+
+def _entry_pair(children: pa.Table, parents: pa.Table) -> pa.Table:
+    """Last alert before each child, from the one before their parent."""
+    rows = sorted(children.to_pylist(), key=lambda row: row["node"])
+    last = parents["last_alert_us"][0].as_py() if len(parents) else None
+    entries = []
+    for row in rows:
         entries.append(last)
-        at = start if last is None else start + np.searchsorted(upto[start:end], last + COOLDOWN_US)
-        if at < end:
-            last = int(exits[at])
+        steps = _steps_of(row)
+        last = int(steps.exits[0] if last is None else steps.after(np.array([last]))[0])
     return pa.table(
         {
-            **{
-                c: pa.chunked_array([ordered[c].slice(0, 1).combine_chunks()] * len(slices))
-                for c in KEY
-            },
-            "slice": slices,
+            **{c: pa.chunked_array([children[c].slice(0, 1).combine_chunks()] * len(rows)) for c in KEY},
+            "node": [row["node"] for row in rows],
             "last_alert_us": pa.array(entries, pa.int64()),
         }
     )
 
 
+def slice_entries(exits: DataFrame) -> DataFrame:
+    """``KEY, slice, last_alert_us``: the last alert before each slice, from the slices' step functions.
+
+    An up-sweep merges the functions of neighbours pairwise, level by level, until a key has one; a
+    down-sweep hands the last alert before a node on to its children. No group holds more than
+    two nodes, and ``n`` slices take ``log2(n)`` levels, each stored as a table.
+    """
+    levels = [exits]
+    top = exits.agg(F.max("node")).first()[0] or 0
+    while top:
+        above = levels[-1].groupBy(*KEY, F.expr("node div 2").alias("parent")).applyInArrow(_merge, STEPS)
+        levels.append(materialise(above, "cooldown-nodes"))
+        top //= 2
+    entries = levels.pop().select(*KEY, "node", F.lit(None).cast("bigint").alias("last_alert_us"))
+    parent = F.expr("node div 2").alias("parent")
+    while levels:
+        children = levels.pop()
+        handed = (
+            children.groupBy(*KEY, parent)
+            .cogroup(entries.withColumnRenamed("node", "parent").groupBy(*KEY, "parent"))
+            .applyInArrow(_entry_pair, "sensor_id string, bssid string, node bigint, last_alert_us bigint")
+        )
+        entries = materialise(handed, "cooldown-entries")
+    return entries.withColumnRenamed("node", "slice")
+
+
 def _emit(table: pa.Table) -> pa.Table:
     ordered = table.sort_by([(c, "ascending") for c in ORDER])
     last = ordered["last_alert_us"][0].as_py()
@@ -128,19 +196,14 @@ def cool_down(candidates: DataFrame) -> DataFrame:
         candidates.filter(F.col("slice").isNotNull())
         .select(*SLICED_KEY, "capture_us")
         .groupBy(*SLICED_KEY)
-        .applyInArrow(
-            _slice_exits,
-            "sensor_id string, bssid string, slice bigint, allowed_upto bigint, exit_us bigint",
-        )
-    )
-    entries = exits.groupBy(*KEY).applyInArrow(
-        _slice_entries, "sensor_id string, bssid string, slice bigint, last_alert_us bigint"
-    )
-    return (
-        candidates.join(entries, SLICED_KEY, "left")
-        .groupBy(*SLICED_KEY)
-        .applyInArrow(_emit, candidates.schema)
+        .applyInArrow(_leaf, STEPS)
     )
+    exits = materialise(exits, "cooldown-exits")
+    if exits.isEmpty():
+        before = candidates.withColumn("last_alert_us", F.lit(None).cast("bigint"))
+    else:
+        before = candidates.join(slice_entries(exits), SLICED_KEY, "left")
+    return before.groupBy(*SLICED_KEY).applyInArrow(_emit, candidates.schema)
 
 
 def confirmed_alerts(

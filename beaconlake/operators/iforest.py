@@ -5,6 +5,7 @@ rows of its key; Spark shuffles the samples to the tasks that grow a key's trees
 task, and scores all rows in parallel.
 """
 
+import io
 import math
 import zlib
 from dataclasses import dataclass
@@ -252,6 +253,9 @@ class Forest:
         decision = F.col("raw_score") - F.col("offset")
         return raw.withColumn(into, decision).drop("model_key", "raw_score", "offset")
 
+    def node_count(self) -> int:
+        return self.trees.agg(F.sum(F.size("feature"))).first()[0] or 0
+
     def nodes(self) -> DataFrame:
         """The forest as a node table."""
         return self.trees.select(
@@ -260,6 +264,32 @@ class Forest:
         ).select("model_key", "tree_id", "node_id", "node.*")
 
 
+def packed_models(forest: Forest) -> DataFrame:
+    """``model_key, model``: all that scoring a key needs, packed into one binary value per key."""
+
+    def pack(trees: pa.Table, params: pa.Table) -> pa.Table:
+        if not len(trees) or not len(params):
+            return pa.table({"model_key": pa.array([], pa.string()), "model": pa.array([], pa.binary())})
+        ((key, grown),) = trees_by_key(trees).items()
+        (row,) = params.to_pylist()
+        packed = pack_trees(grown) | {n: np.array(row[n]) for n in ("means", "scales", "offset")}
+        content = io.BytesIO()
+        np.savez(content, **packed)
+        return pa.table({"model_key": [key], "model": pa.array([content.getvalue()], pa.binary())})
+
+    params = forest.params.select("model_key", "means", "scales", "offset")
+    return (
+        forest.trees.groupBy("model_key").cogroup(params.groupBy("model_key"))
+        .applyInArrow(pack, "model_key string, model binary")
+    )
+
+
+def unpack_model(content: bytes) -> dict:
+    """A packed model as ``path_scores`` takes it, with its scaling and offset."""
+    with np.load(io.BytesIO(content)) as arrays:
+        return {n: arrays[n] if arrays[n].ndim else arrays[n].item() for n in arrays.files}
+
+
 def _row_hash(rows: DataFrame) -> Column:
     """A hash of what tells rows apart, to spread them."""
     return F.xxhash64(F.lit(0), *[c for c in ("row_id", "sensor_id", "frame_id", "capture_us") if c in rows.columns])
@@ -287,8 +317,7 @@ def _raw_scores(forest: Forest, keyed: DataFrame, broadcast_nodes: int) -> DataF
         .withColumns(dict(zip(points, scaled)))
         .drop("means", "scales")
     )
-    size = forest.trees.agg(F.sum(F.size("feature"))).first()[0] or 0
-    if size <= broadcast_nodes:
+    if forest.node_count() <= broadcast_nodes:
         return _score_by_broadcast(forest, ready, points)
     return _score_by_cogroup(forest, ready, points)
 

@@ -391,6 +391,68 @@ def stream_alerts(spark, data_dir):
     return _alert_columns(spark.read.parquet(path))
 
 
+def _session_for_models(spark: SparkSession) -> SparkSession:
+    """A session of its own that keeps models in stream state; the caller's stays as it is."""
+    apart = spark.newSession()
+    apart.conf.set("spark.sql.session.timeZone", "UTC")
+    for name in ("spark.sql.shuffle.partitions", "spark.checkpoint.dir"):
+        if (value := spark.conf.get(name, None)) is not None and apart.conf.isModifiable(name):
+            apart.conf.set(name, value)
+    for name, value in live.SEEDED_STATE.items():
+        apart.conf.set(name, value)
+    return apart
+
+
+@query
+def stream_model_alerts(spark, data_dir):
+    """Live scoring with the models broadcast and with them in the state, against the batch.
+
+    Per way: frames evaluated, and frames and alerts that differ from the batch's, scores to the bit.
+    """
+    base, known = _base(spark, data_dir), _profiles(spark, data_dir)
+    forest = fit_per_ap(base, known)
+    path = new_path(spark, "stream-forest")
+    forest.save(path)
+    compared = ["model_score", "ev_model", "suspicious", "threat_score", "streak"]
+    batch = alerting.suspicion_streaks(score_frames(beacons(spark, data_dir), known, forest=forest))
+    want = materialise(batch.select("frame_id", *compared), "batch-frames")
+    raised = materialise(alerting.confirmed_alerts(batch).select("frame_id"), "batch-alerts")
+    known_path = known.inputFiles()[0].rsplit("/", 1)[0]
+    folder = beacons(spark, data_dir).inputFiles()[0].rsplit("/", 1)[0]
+    results = []
+    for way, limit in (("broadcast", None), ("state", 0)):
+        apart = _session_for_models(spark)
+        stored = Forest.load(apart, path)
+        options = {} if limit is None else {"broadcast_nodes": limit}
+        detected = live.stream_detection(
+            live.read_beacons(apart, folder), apart.read.schema(known.schema).parquet(known_path), stored, **options
+        )
+        rows = new_path(spark, "stream-frames")
+        detected.select("frame_id", *compared, "is_late", "is_alert").writeStream.format("parquet").option(
+            "path", rows
+        ).option("checkpointLocation", new_path(spark, "stream-checkpoint")).trigger(
+            availableNow=True
+        ).start().awaitTermination()
+        got = spark.read.parquet(rows)
+        same = F.lit(True)
+        for c in compared:
+            same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+        frames_seen = got.alias("a").join(want.alias("b"), "frame_id", "full").select(
+            F.col("a.streak").isNotNull().cast("int").alias("frames"), (~same).cast("int").alias("frame"), F.lit(0).alias("alert")
+        )
+        live_alerts = got.filter("is_alert").select("frame_id", F.lit(1).alias("live"))
+        alarms = live_alerts.join(raised.withColumn("stored", F.lit(1)), "frame_id", "full").select(
+            F.lit(0), F.lit(0), (F.col("live").isNull() | F.col("stored").isNull()).cast("int")
+        )
+        results.append(
+            frames_seen.union(alarms).agg(
+                F.sum("frames").alias("frames_evaluated"), F.sum("frame").alias("differing_frames"),
+                F.sum("alert").alias("differing_alerts"),
+            ).select(F.lit(way).alias("way"), "*")
+        )
+    return results[0].union(results[1])
+
+
 # --- Models. Trees are random by nature; the queries show what is determined about them.
 
 

@@ -407,6 +407,9 @@ ORACLES: dict[str, str] = {
     "stream_alerts": f"{WITH_BOTH}, {evidence('features')}, {STREAKS}, {ALERTS}".replace(
         "WITH", "WITH RECURSIVE", 1
     ) + f" SELECT {ALERT_COLUMNS} FROM alerts",
+    "stream_model_alerts": f"""WITH {BEACONS} SELECT way, (SELECT count(*) FROM beacons) AS frames_evaluated,
+      CAST(0 AS BIGINT) AS differing_frames, CAST(0 AS BIGINT) AS differing_alerts
+      FROM (VALUES ('broadcast'), ('state')) t(way)""",
     "collected_table": f"""WITH {BEACONS}, usable AS (SELECT * FROM beacons WHERE {USABLE_FRAME}),
       {features('usable')} SELECT frame_id, bssid, ssid, supported_rates, seq_jump, seq_anomaly_score,
       is_seq_duplicate, clock_skew, valid_skew, inter_beacon_ms, CAST(0 AS INT) AS label FROM features""",

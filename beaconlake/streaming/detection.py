@@ -10,11 +10,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from beaconlake.operators.alerts import alert_log, emitted
 from beaconlake.operators.decode import decode_frames, observations
 from beaconlake.operators.deviations import with_profile
-from beaconlake.operators.iforest import BROADCAST_NODES, Forest, pack_trees, path_scores, trees_by_key
+from beaconlake.operators.iforest import BROADCAST_NODES, Forest, packed_models, path_scores, unpack_model
 from beaconlake.operators.ranking import bucketed_row_number
 from beaconlake.operators.rules import with_reasons
 from beaconlake.schema import (
@@ -22,10 +23,17 @@ from beaconlake.schema import (
     MIN_HISTORY, MODEL_THRESHOLD, ORDER, REQUIRED_STREAK, SECURITY_CODES, SEQ_MODULUS, SKEW_FLOOR,
     SKEW_GAP_US, SKEW_SIGMAS, STRONG_EVIDENCE, SUSPICION_THRESHOLD, UNKNOWN,
 )
-from beaconlake.session import path_exists
-
-# Without it a backlog would be one batch, and one key's share of it one frame.
-BATCH_LIMIT = {"maxFilesPerTrigger": 64}
+from beaconlake.session import materialise, path_exists
+
+# Without it a backlog would be one batch, and one key's share of it one frame. Bytes, because files have any size.
+BATCH_LIMIT = {"maxBytesPerTrigger": str(256 << 20)}
+# Rows of a key that features are computed for at once.
+STEP_ROWS = 1 << 17
+# Configuration of a session whose streams keep models in their state.
+SEEDED_STATE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
 STATE_SCHEMA = (
     "last_us bigint, last_id bigint, last_seq int, last_tsf bigint, gaps array<double>, "
     "seqs array<int>, seq_us array<bigint>, streak bigint, last_alert_us bigint"
@@ -156,46 +164,90 @@ def _evidence(rows: pd.DataFrame, past: dict) -> pd.DataFrame:
     )
 
 
+EMPTY_PAST = {
+    "last_us": None, "last_id": None, "last_seq": None, "last_tsf": None, "gaps": [], "seqs": [],
+    "seq_us": [], "streak": 0, "last_alert_us": None,
+}
+
+
+def _model_scores(made: pd.DataFrame, model: dict, features: tuple[str, ...]) -> np.ndarray:
+    """Decision scores of one access point's rows; missing where the skew is not valid."""
+    points = np.column_stack(
+        [np.nan_to_num(made[f].astype(float)) if f in made else np.zeros(len(made)) for f in features]
+    )
+    scores = path_scores((points - model["means"]) / model["scales"], model) - model["offset"]
+    return np.where(made["valid_skew"] == 1, scores, np.nan)
+
+
+def _advance(
+    rows: pd.DataFrame, past: dict, tiers: int, detect: bool, model: dict | None, features: tuple[str, ...]
+) -> Iterator[pd.DataFrame]:
+    """What one key's frames of a batch add to its past: late frames, then the rest in time order."""
+    rows = rows.sort_values(ORDER, ignore_index=True)
+    if past["last_us"] is not None:
+        newer = (rows["capture_us"] > past["last_us"]) | (
+            (rows["capture_us"] == past["last_us"]) & (rows["frame_id"] > past["last_id"])
+        )
+        late, rows = rows[~newer], rows[newer].reset_index(drop=True)
+        if len(late):
+            # Late frames are reported, and leave the state alone.
+            yield late.assign(is_late=True)
+    for at in range(0, len(rows), STEP_ROWS):
+        made = _features(rows.iloc[at : at + STEP_ROWS].reset_index(drop=True), past, tiers)
+        if detect:
+            made["model_score"] = np.nan if model is None else _model_scores(made, model, features)
+            made = _evidence(made, past)
+        yield made
+
+
 def _per_key(schema: T.StructType, detect: bool, tiers: int, packed=None, features=()):
     names = schema.fieldNames()
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         # One key's frames of one micro-batch; the source's batch limit bounds them.
-        rows = pd.concat(batches).sort_values(ORDER, ignore_index=True)
-        if state.exists:
-            past = dict(zip([f.split()[0] for f in STATE_SCHEMA.split(", ")], state.get))
-            newer = (rows["capture_us"] > past["last_us"]) | (
-                (rows["capture_us"] == past["last_us"]) & (rows["frame_id"] > past["last_id"])
-            )
-            late, rows = rows[~newer], rows[newer].reset_index(drop=True)
-            if len(late):
-                # Late frames are reported, and leave the state alone.
-                yield late.assign(is_late=True).reindex(columns=names)
-        else:
-            past = {
-                "last_us": None, "last_id": None, "last_seq": None, "last_tsf": None, "gaps": [],
-                "seqs": [], "seq_us": [], "streak": 0, "last_alert_us": None,
-            }
-        if not len(rows):
-            return
-        made = _features(rows, past, tiers)
-        if detect:
-            made["model_score"] = np.nan
-            forest = packed.value.get(key[1]) if packed is not None else None
-            if forest is not None:
-                points = np.column_stack(
-                    [np.nan_to_num(made[f].astype(float)) if f in made else np.zeros(len(made)) for f in features]
-                )
-                scaled = (points - forest["means"]) / forest["scales"]
-                scores = path_scores(scaled, forest) - forest["offset"]
-                made["model_score"] = np.where(made["valid_skew"] == 1, scores, np.nan)
-            made = _evidence(made, past)
+        rows = pd.concat(batches)
+        past = dict(zip(EMPTY_PAST, state.get, strict=True)) if state.exists else dict(EMPTY_PAST)
+        model = packed.value.get(key[1]) if packed is not None else None
+        for made in _advance(rows, past, tiers, detect, model, features):
+            yield made.reindex(columns=names)
         state.update(tuple(past.values()))
-        yield made[names]
 
     return step
 
 
+class SeededDetection(StatefulProcessor):
+    """Detection whose state holds the access point's own model, seeded before the first batch.
+
+    Groups are access points, because a model belongs to one; the past of each sensor that hears it is
+    kept apart. A model is read from the state once in a batch, so no task holds more than one.
+    """
+
+    def __init__(self, names: list[str], features: tuple[str, ...], tiers: int = 2):
+        self.names, self.features, self.tiers = names, features, tiers
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.model = handle.getValueState("model", "model binary")
+        self.past = handle.getMapState("past", "sensor_id string", STATE_SCHEMA)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.model.update((bytes(initialState["model"].iloc[0]),))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        model = unpack_model(self.model.get()[0]) if self.model.exists() else None
+        for sensor, heard in pd.concat(rows).groupby("sensor_id", dropna=False):
+            # A missing sensor is a sensor too; the map needs a text for it.
+            name = (f"={sensor}" if isinstance(sensor, str) else "",)
+            past = dict(EMPTY_PAST)
+            if self.past.containsKey(name):
+                past = dict(zip(EMPTY_PAST, self.past.getValue(name), strict=True))
+            for made in _advance(heard, past, self.tiers, True, model, self.features):
+                yield made.reindex(columns=self.names)
+            self.past.updateValue(name, tuple(past.values()))
+
+    def close(self) -> None:
+        pass
+
+
 def _stateful(rows: DataFrame, added: list[T.StructField], detect: bool, tiers: int, **model) -> DataFrame:
     schema = T.StructType(rows.schema.fields + added)
     return rows.groupBy(*KEY).applyInPandasWithState(
@@ -210,31 +262,33 @@ def stream_features(beacons: DataFrame, tiers: int = 3) -> DataFrame:
 
 
 def stream_detection(
-    beacons: DataFrame, profiles: DataFrame, forest: Forest | None = None
+    beacons: DataFrame, profiles: DataFrame, forest: Forest | None = None,
+    broadcast_nodes: int = BROADCAST_NODES,
 ) -> DataFrame:
     """Features, evidence, streak and alert decision on a stream of beacons.
 
-    Uses capture time, so a replay gives the same alerts. The forest is broadcast, which is
-    allowed up to a checked size.
+    Uses capture time, so a replay gives the same alerts. A forest of up to ``broadcast_nodes`` nodes is
+    broadcast. A larger one becomes the initial state of the stream: every access point's model goes to
+    the partition that holds its state, so a fleet may have models of any size together. That state
+    needs a session with ``SEEDED_STATE`` in its configuration.
     """
     joined = with_profile(beacons.select(*BEACON_SCHEMA.fieldNames()), profiles)
-    model = {} if forest is None else {"packed": _packed(forest), "features": tuple(forest.features)}
-    return _stateful(joined, FEATURE_FIELDS + DETECTION_FIELDS, True, 2, **model)
-
-
-def _packed(forest: Forest):
-    nodes = forest.trees.agg(F.sum(F.size("feature"))).first()[0] or 0
-    if nodes > BROADCAST_NODES:
-        raise ValueError(
-            f"{nodes} model nodes are too many to broadcast; give each stream the models of the "
-            "access points it receives, or score in batch"
-        )
-    grown, packed = trees_by_key(forest.trees.toArrow()), {}
-    for row in forest.params.toArrow().to_pylist():
-        packed[row["model_key"]] = pack_trees(grown[row["model_key"]]) | {
-            "means": np.array(row["means"]), "scales": np.array(row["scales"]), "offset": row["offset"],
-        }
-    return forest.trees.sparkSession.sparkContext.broadcast(packed)
+    added = FEATURE_FIELDS + DETECTION_FIELDS
+    if forest is None:
+        return _stateful(joined, added, True, 2)
+    features = tuple(forest.features)
+    if forest.node_count() <= broadcast_nodes:
+        models = {r.model_key: unpack_model(r.model) for r in packed_models(forest).collect()}
+        packed = joined.sparkSession.sparkContext.broadcast(models)
+        return _stateful(joined, added, True, 2, packed=packed, features=features)
+    schema = T.StructType(joined.schema.fields + added)
+    # The stored models are read again by the stream's own session.
+    models = packed_models(forest).withColumnRenamed("model_key", "bssid")
+    stored = materialise(models, "stream-models").inputFiles()[0].rsplit("/", 1)[0]
+    seeds = joined.sparkSession.read.schema(models.schema).parquet(stored)
+    return joined.groupBy("bssid").transformWithStateInPandas(
+        SeededDetection(schema.fieldNames(), features), schema, "append", "none", seeds.groupBy("bssid")
+    )
 
 
 def alerts_of(detected: DataFrame) -> DataFrame:
@@ -246,14 +300,19 @@ def alerts_of(detected: DataFrame) -> DataFrame:
     )
 
 
+def _limited(options: dict) -> dict:
+    """Spark takes either a limit of bytes or one of files."""
+    return options if "maxFilesPerTrigger" in options else BATCH_LIMIT | options
+
+
 def read_frames(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Stream of captured frames from a folder of Parquet files, some files to a batch."""
-    return spark.readStream.schema(FRAME_SCHEMA).options(**BATCH_LIMIT | options).parquet(path)
+    """Stream of captured frames from a folder of Parquet files, up to 256 MiB of files to a batch."""
+    return spark.readStream.schema(FRAME_SCHEMA).options(**_limited(options)).parquet(path)
 
 
 def read_beacons(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Stream of beacon rows from a folder of Parquet files, some files to a batch."""
-    return spark.readStream.schema(BEACON_SCHEMA).options(**BATCH_LIMIT | options).parquet(path)
+    """Stream of beacon rows from a folder of Parquet files, up to 256 MiB of files to a batch."""
+    return spark.readStream.schema(BEACON_SCHEMA).options(**_limited(options)).parquet(path)
 
 
 def collect_baseline(frames: DataFrame, table: str, checkpoint: str, **trigger) -> StreamingQuery:

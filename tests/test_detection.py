@@ -130,6 +130,47 @@ def test_cooldown_restarts_only_at_emitted_alerts(spark):
     assert sorted(r["capture_us"] / 1e6 for r in kept.collect()) == [1, 11, 21]
 
 
+def test_step_functions_compose_in_any_order():
+    draw = random.Random(8)
+    for _ in range(200):
+        clock, times = 0, []
+        for _ in range(draw.randint(3, 60)):
+            clock += draw.choice([1, 1, 2, 7, 9, 10, 11, 40])
+            times.append(clock)
+        times = np.array(times) * 1_000_000
+        cuts = sorted({0, len(times), *(draw.randrange(1, len(times)) for _ in range(4))})
+        parts = [A.slice_exits(times[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        while len(parts) > 1:
+            at = draw.randrange(len(parts) - 1)
+            parts[at : at + 2] = [parts[at].then(parts[at + 1])]
+        # Steps are few: no more than the candidates of a cooldown after the first one, and one more.
+        assert len(parts[0].upto) <= np.searchsorted(times, times[0] + 10_000_000) + 1
+        for last in range(int(times[0]) - 12_000_000, int(times[0]), 500_000):
+            kept = A.emitted(times, last)
+            want = times[kept[-1]] if len(kept) else last
+            assert parts[0].after(np.array([last]))[0] == want
+
+
+def test_cooldown_of_a_key_with_thousands_of_slices(spark):
+    draw = random.Random(9)
+    rows, clock = [], 0.0
+    for _ in range(25_000):
+        clock += draw.choice([0.5, 1.0, 2.0, 9.0])
+        rows.append(("hot" if draw.random() < 0.9 else "other", clock, 1))
+    streaks = scored(spark, rows, False).withColumn("slice", F.expr("CAST(capture_us div 7000000 AS BIGINT)"))
+    streaks = streaks.withColumn("streak", F.lit(2))
+    assert streaks.filter("bssid = 'hot'").select("slice").distinct().count() > 7_000
+    got = sorted(r["frame_id"] for r in A.cool_down(streaks).collect())
+    # Here every frame is a candidate, also the first of its key.
+    want, last = [], {}
+    for i, (bssid, t, _) in enumerate(rows):
+        us = round(t * 1e6)
+        if bssid not in last or us - last[bssid] >= 10_000_000:
+            last[bssid] = us
+            want.append(i)
+    assert got == want and len(want) > 1_000
+
+
 def test_emitted_positions():
     times = np.array([0, 4, 9, 10, 12, 30]) * 1_000_000
     assert A.emitted(times, None).tolist() == [0, 3, 5]

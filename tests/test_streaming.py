@@ -1,10 +1,11 @@
+import pandas as pd
 import pytest
 from places import DATA
 from pyspark.sql import functions as F
 
 from beaconlake.operators.features import sequence_features
 from beaconlake.operators.inventory import scan_windows, stream_scan_windows
-from beaconlake.operators.iforest import fit_per_ap
+from beaconlake.operators.iforest import Forest, fit_per_ap
 from beaconlake.plans.capture import beacons, frames
 from beaconlake.plans.detection import baseline_profiles, detect
 from beaconlake.schema import BEACON_SCHEMA
@@ -56,6 +57,48 @@ def test_stream_equals_batch(spark, table, profiles, path):
     spark.streams.removeListener(totals)
 
 
+def test_models_in_the_state_survive_a_restart(spark, table, profiles, path):
+    """Two sensors hear the access points; models are seeded before the first batch and kept after it."""
+    forest = fit_per_ap(sequence_features(table.filter("is_baseline")), profiles)
+    forest.save(path("forest"))
+    profiles.write.parquet(path("profiles"))
+    other = table.withColumns({"sensor_id": F.lit("other"), "frame_id": F.col("frame_id") + 1_000_000})
+    both = table.unionByName(other.filter("frame_id % 3 > 0"))
+    want = detect(both, profiles, forest=forest).select(*ALERT)
+    apart = spark.newSession()
+    for name, value in live.SEEDED_STATE.items():
+        apart.conf.set(name, value)
+    middle = both.agg(F.expr("(min(capture_us) + max(capture_us)) div 2")).first()[0]
+    for number, part in enumerate((both.filter(F.col("capture_us") <= middle), both.filter(F.col("capture_us") > middle))):
+        feed(part, path("in"), 2)
+        detected = live.stream_detection(
+            live.read_beacons(apart, path("in"), maxFilesPerTrigger=1), apart.read.parquet(path("profiles")),
+            Forest.load(apart, path("forest")), broadcast_nodes=0,
+        )
+        query = live.run_detection(detected, path("alerts"), path("state"))
+        query.awaitTermination()
+        assert len(query.recentProgress) >= 2, number
+    got = spark.read.parquet(path("alerts")).select(*ALERT)
+    assert want.count() > 0
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_a_long_batch_is_taken_in_steps(table, profiles, monkeypatch):
+    rows = table.filter("bssid = '02:10:00:00:00:00'").toPandas()
+    rows = rows.assign(p_known=True, p_ie_count=18.0, p_rate_count=12.0, p_security="WPA2/WPA3",
+                       p_clock_skew_mean=0.0, p_clock_skew_std=1e-5)
+
+    def run():
+        past = dict(live.EMPTY_PAST)
+        return pd.concat(live._advance(rows.sample(frac=1, random_state=3), past, 2, True, None, ())), past
+
+    whole, end = run()
+    monkeypatch.setattr(live, "STEP_ROWS", 7)
+    steps, last = run()
+    assert len(whole) == len(rows) and end == last
+    pd.testing.assert_frame_equal(whole.reset_index(drop=True), steps.reset_index(drop=True))
+
+
 def test_restart_continues_and_late_frames_leave_state_alone(spark, make_beacons, profiles, path):
     ap = "02:10:00:00:00:00"
     first = [{"frame_id": i, "bssid": ap, "ie_count": 4, "capture_us": 10_000_000 + i * 100_000} for i in range(3)]
