@@ -24,8 +24,8 @@ from beaconlake.session import materialise
 
 BITS, BYTES, TERM = 128, 16, 6
 RADIUS = 4
-#: Fingerprints of one key that are compared together, twice, and rows of them at a time.
-CHUNK, ROWS = 4096, 256
+#: Fingerprints of one key that a task compares with as many others, and pairs of them at a time.
+CHUNK, PAIRS = 4096, 1 << 18
 #: Terms of a text that are counted at once.
 COUNTED = 1 << 20
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(float)
@@ -200,30 +200,33 @@ def _matches(radius: int):
         left = run[run["c"] == run["a"]]
         right = left if same else run[run["c"] == run["b"]]
         sides = [tuple(x[c].to_numpy(dtype=np.int64).view(np.uint64) for c in ("high", "low")) for x in (left, right)]
-        docs = [x["docs"].to_numpy(dtype=np.int64) for x in (left, right)]
-        links = [np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)]
+        docs = [x["docs"].to_numpy(dtype=float) for x in (left, right)]
+        links = [np.zeros(len(left)), np.zeros(len(right))]
         # Rows are in the order of their smallest ids, so the first partner has the smallest of all.
         least = [np.full(len(left), len(right)), np.full(len(right), len(left))]
-        for at in range(0, len(left), ROWS):
-            high = sides[0][0][at : at + ROWS, None] ^ sides[1][0]
-            low = sides[0][1][at : at + ROWS, None] ^ sides[1][1]
-            near = np.bitwise_count(high).astype(np.int16) + np.bitwise_count(low) <= radius
+        step = max(1, PAIRS // len(right))
+        for at in range(0, len(left), step):
+            rows = slice(at, at + step)
+            high = sides[0][0][rows, None] ^ sides[1][0]
+            low = sides[0][1][rows, None] ^ sides[1][1]
+            near = np.bitwise_count(high) + np.bitwise_count(low) <= radius  # at most 128, which a byte holds
             near &= (high | low) != 0
-            r, c = np.nonzero(near)
-            here = np.ones(len(r), dtype=bool)
             for k in range(j):
-                if k != i:
-                    here &= block(high[r, c], low[r, c], *edges[k]) != 0
-            r, c = r[here] + at, c[here]
-            for side, (mine, other) in enumerate(((r, c), (c, r)) if not same else ((r, c),)):
-                np.add.at(links[side], mine, docs[1 - side][other])
-                np.minimum.at(least[side], mine, other)
+                if k != i and near.any():
+                    near &= block(high, low, *edges[k]) != 0
+            if near.any():
+                for side, hits in enumerate((near, near.T)[: 1 if same else 2]):
+                    some = np.flatnonzero(hits.any(axis=1))
+                    mine, shift = (some + at, 0) if side == 0 else (some, at)
+                    links[side][mine] += hits[some] @ docs[1 - side] if side == 0 else hits[some] @ docs[0][rows]
+                    least[side][mine] = np.minimum(least[side][mine], hits[some].argmax(axis=1) + shift)
         out = []
         for side, frame in enumerate((left, right) if not same else (left,)):
             hit = np.flatnonzero(links[side])
             if len(hit):
                 other = (right, left)[side]["first"].iloc[least[side][hit]]
-                out.append(frame[["high", "low"]].iloc[hit].assign(links=links[side][hit], first=other.to_numpy()))
+                counted = links[side][hit].astype(np.int64)
+                out.append(frame[["high", "low"]].iloc[hit].assign(links=counted, first=other.to_numpy()))
         return pd.concat(out) if out else None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -268,7 +271,9 @@ def within_radius(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) ->
         "chosen", "key", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), "c", "high", "low", "docs", "first"
     )
     by_id = F.col("first").cast(kind).asc_nulls_last()
-    runs = paired.repartition("chosen", "key", "a", "b").sortWithinPartitions("chosen", "key", "a", "b", by_id)
+    # Few bytes are much work here, so the number of tasks does not follow from the bytes.
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = paired.repartition(tasks, "chosen", "key", "a", "b").sortWithinPartitions("chosen", "key", "a", "b", by_id)
     found = runs.mapInPandas(_matches(radius), "high long, low long, links long, first string")
     return found.groupBy("high", "low").agg(
         F.sum("links").alias("links"), F.min(F.col("first").cast(kind)).alias("first")
