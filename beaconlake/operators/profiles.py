@@ -3,8 +3,9 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beaconlake.operators.ranking import value_counts, with_quantiles
+from beaconlake.operators.ranking import same_keys, selected, value_counts
 from beaconlake.schema import MIN_PROFILE_ROWS, PROGRESS_SAMPLES, UNKNOWN
+from beaconlake.session import materialise
 
 # What a mode falls back to when every value is missing.
 NUMBER_MODES = {
@@ -25,16 +26,25 @@ def _summaries(observations: DataFrame, skew: str, keep: str) -> DataFrame:
     numbers = {name: name for name in [*NUMBER_MODES, "rssi", "seq_jump"]}
     numbers |= {"clock_skew": skew, "beacons": "1"}
     counts = value_counts(observations, ["bssid"], numbers, {c: c for c in TEXT_MODES})
-    marked = with_quantiles(counts, ["bssid", "field"], {"q1": 0.25, "q3": 0.75}).selectExpr(
+    return summaries_of(materialise(counts, "value-counts"), keep)
+
+
+def summaries_of(counts: DataFrame, keep: str) -> DataFrame:
+    """The summaries from a stored table of value counts."""
+    # Only skews are trimmed, so only they need quartiles.
+    quartiles = selected(counts.filter("field = 'clock_skew'"), ["bssid"], {"q1": 0.25, "q3": 0.75})
+    marked = same_keys(counts, quartiles, ["bssid"]).selectExpr(
+        "*", "CASE WHEN field = 'clock_skew' THEN q1 ELSE 0D END AS centre"
+    ).selectExpr(
         "*", f"CASE WHEN {keep} THEN n END AS kept_n", f"CASE WHEN {keep} THEN num END AS kept_num",
-        # Moments are taken around a middle value, so that they lose no digits.
-        "num - q1 AS off",
+        # Moments of skews are taken around a middle value, so that they lose no digits; the rest are whole numbers.
+        "num - centre AS off",
     )
     return (
         marked.groupBy("bssid", "field")
         .agg(
             F.expr("coalesce(sum(kept_n), 0) AS kept"),
-            F.expr("max(q1) AS middle"),
+            F.expr("max(centre) AS middle"),
             F.expr("sum(kept_n * off) AS offs"),
             F.expr("sum(kept_n * off * off) AS squares"),
             F.expr("min(kept_num) AS low"),

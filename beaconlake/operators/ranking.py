@@ -11,6 +11,10 @@ from beaconlake.session import materialise
 
 # Ranges that a key's values are cut into.
 RANGES = 128
+# Distinct values of a key up to which each is a cell of its own at once.
+NARROW = 100_000
+# Cells of values, coarse to fine; each is an interval: 64 to a factor of e, single precision, the value.
+CELLS = ["signum(num) * rint(64 * log1p(abs(num) * 1e12D))", "CAST(num AS FLOAT)", "num"]
 
 
 def bucketed_row_number(
@@ -67,57 +71,65 @@ def value_counts(
     )
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join on keys that may be null."""
     renamed = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
     match = [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys]
     return left.join(renamed, reduce(and_, match), "left").drop(*[f"_same_{k}" for k in keys])
 
 
-def with_quantiles(counts: DataFrame, keys: Sequence[str], probs: dict[str, float]) -> DataFrame:
-    """Add to each value its key's linearly interpolated quantiles (weighted by ``n``) and ``rows``.
+def selected(counts: DataFrame, keys: Sequence[str], probs: dict[str, float]) -> DataFrame:
+    """Exact quantiles of ``num`` (weighted by ``n``) per key: one row per key with ``rows``.
 
-    A key's values are cut into ranges at approximate quantiles of its distinct values. The counts
-    of the ranges before a range and a window inside it give every value's exact rank, so no
-    task has all values of a key.
+    Selection instead of sorting: values are counted in cells, the cells that hold the wanted ranks are
+    found from the counts, and only their values are cut finer, until a cell is one value. A
+    key has at most some ten thousand coarse cells, so no task has all its values. Keys with few
+    distinct values need one round, in which each value is its own cell. ``counts`` should be stored.
     """
-    stored = materialise(counts if keys else counts.withColumn("_all", F.lit(0)), "value-counts")
-    keys = list(keys) or ["_all"]
-    cuts = F.percentile_approx("num", [i / RANGES for i in range(1, RANGES)], 10 * RANGES)
-    edges = stored.groupBy(*keys).agg(cuts.alias("_edges"))
-    ranged = _same(stored, edges, keys).withColumn(
-        "_range", F.expr("size(filter(coalesce(_edges, array()), e -> e < num))")
-    )
-    whole = Window.partitionBy(*keys)
-    earlier = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (
-        ranged.groupBy(*keys, "_range")
-        .agg(F.sum("n").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .withColumn("rows", F.sum("_n").over(whole))
-        .drop("_n")
+    names = list(keys)
+    widest = counts.groupBy(*names).count().agg(F.max("count")).first()[0] or 0
+    levels = ["num"] if widest <= NARROW else CELLS
+    places = [f"CAST({half}((rows - 1) * {float(p)}D) AS BIGINT)" for p in probs.values() for half in ("floor", "ceil")]
+    whole = Window.partitionBy(*names)
+    cells = counts.selectExpr(*names, f"{levels[0]} AS cell", "num", "n")
+    if len(levels) > 1:
+        cells = cells.groupBy(*names, "cell").agg(F.min("num").alias("num"), F.sum("n").alias("n"))
+    ranked = (
+        cells.withColumnRenamed("num", "low").withColumn("rows", F.sum("n").over(whole))
+        .withColumn("_upto", F.sum("n").over(whole.orderBy("low").rowsBetween(Window.unboundedPreceding, 0)))
+        .selectExpr("*", f"posexplode(array({', '.join(places)})) AS (target, place)")
+        .filter("_upto - n <= place AND place < _upto")
     )
-    inside = Window.partitionBy(*keys, "_range").orderBy("num")
-    ranked = _same(ranged, sizes, [*keys, "_range"]).withColumn("_upto", F.col("_before") + F.sum("n").over(inside))
-
-    found = []
-    for number, prob in enumerate(probs.values()):
-        place = f"((rows - 1) * {float(prob)}D)"
-        found += [
-            F.expr(f"min(CASE WHEN _upto > floor({place}) THEN num END) AS _low{number}"),
-            F.expr(f"min(CASE WHEN _upto > ceil({place}) THEN num END) AS _high{number}"),
-        ]
-    ends = ranked.groupBy(*keys).agg(F.max("rows").alias("rows"), *found)
+    found = ranked.selectExpr(*names, "target", "rows", "cell", "low", "place - (_upto - n) AS rank")
+    for depth in range(1, len(levels)):
+        found = materialise(found.withColumnRenamed("cell", f"_cell{depth - 1}").drop("low"), "selection")
+        # Cells of one level may span two of the level before, so a cell is known by all of them.
+        inside = counts.selectExpr(*names, "num", "n", *[f"{level} AS _cell{i}" for i, level in enumerate(levels[:depth])])
+        at = [*names, *[f"_cell{i}" for i in range(depth)]]
+        taken = same_keys(found, inside, at).withColumn("cell", F.expr(levels[depth]))
+        finer = taken.groupBy(*at, "target", "rows", "rank", "cell").agg(F.min("num").alias("low"), F.sum("n").alias("n"))
+        one = Window.partitionBy(*names, "target").orderBy("low").rowsBetween(Window.unboundedPreceding, 0)
+        found = (
+            finer.withColumn("_before", F.sum("n").over(one) - F.col("n"))
+            .filter("_before <= rank AND rank < _before + n")
+            .withColumn("rank", F.expr("rank - _before")).drop("_before", "n")
+        )
+    ends = [f"max(CASE WHEN target = {t} THEN low END) AS _end{t}" for t in range(len(places))]
     values = []
     for number, (name, prob) in enumerate(probs.items()):
-        place = f"((rows - 1) * {float(prob)}D)"
-        values.append(f"_low{number} + (_high{number} - _low{number}) * ({place} - floor({place})) AS {name}")
-    return _same(stored, ends.selectExpr(*keys, "rows", *values), keys).drop("_all")
+        low, high, place = f"_end{2 * number}", f"_end{2 * number + 1}", f"((rows - 1) * {float(prob)}D)"
+        values.append(f"{low} + ({high} - {low}) * ({place} - floor({place})) AS {name}")
+    return found.groupBy(*names).agg(F.max("rows").alias("rows"), *map(F.expr, ends)).selectExpr(*names, "rows", *values)
+
+
+def with_quantiles(counts: DataFrame, keys: Sequence[str], probs: dict[str, float]) -> DataFrame:
+    """Add to each value its key's linearly interpolated quantiles (weighted by ``n``) and ``rows``."""
+    stored = materialise(counts, "value-counts")
+    return same_keys(stored, selected(stored, keys, probs), keys)
 
 
 def quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
 ) -> DataFrame:
     """Exact quantiles of the SQL expression ``value`` per key, one row per key."""
-    ranked = with_quantiles(value_counts(df, keys, {"value": value}), keys, probs)
-    return ranked.groupBy(*keys).agg(*[F.first(name).alias(name) for name in probs])
+    return selected(materialise(value_counts(df, keys, {"value": value}), "value-counts"), keys, probs).drop("rows")

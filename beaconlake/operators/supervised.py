@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from beaconlake.functions.frames import security_code
 from beaconlake.operators.iforest import available_features
-from beaconlake.operators.ranking import bucketed_row_number, value_counts, with_quantiles
+from beaconlake.operators.ranking import bucketed_row_number, selected, value_counts
 from beaconlake.schema import SEED, SUPERVISED_FEATURES
 from beaconlake.session import materialise, path_exists
 
 MIN_ROWS = 20
 TEST_SHARE = 0.2
 TREES, DEPTH = 100, 10
+ROWS_PER_TASK = 1_000_000
 # Rate texts that mean "no rates".
 NO_RATES = ["", "unknown", "none", "nan"]
 LABELS = [0, 1]
@@ -67,9 +68,8 @@ def training_columns(rows: DataFrame) -> tuple[DataFrame, list[str]]:
 
 def feature_medians(rows: DataFrame, features: list[str]) -> DataFrame:
     """``field, median`` over the whole table, exact, one row per feature with any value."""
-    counts = value_counts(rows, [], {f: f for f in features})
-    ranked = with_quantiles(counts, ["field"], {"median": 0.5})
-    return ranked.groupBy("field").agg(F.first("median").alias("median"))
+    counts = materialise(value_counts(rows, [], {f: f for f in features}), "value-counts")
+    return selected(counts, ["field"], {"median": 0.5}).drop("rows")
 
 
 def impute_medians(rows: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -233,10 +233,12 @@ def train_baseline(rows: DataFrame, path: str | None = None, retrain: bool = Fal
     # Features are computed once; counts, medians and the split then read the stored columns.
     columns, features = training_columns(rows)
     stored = materialise(columns.select("sensor_id", "frame_id", "label", *features), "labelled-features")
-    check_trainable(stored)
+    labels = check_trainable(stored)
     filled = fill_medians(stored, features)
     split = materialise(
-        stratified_split(filled).select("frame_id", "label", "is_test", *features), "labelled-split"
+        stratified_split(filled).select("frame_id", "label", "is_test", *features), "labelled-split",
+        # Every tree level is a pass over all rows: use every core, and a task for each million rows.
+        parts=max(spark.sparkContext.defaultParallelism, -(-sum(labels.values()) // ROWS_PER_TASK)),
     )
     model = train_random_forest(split, features)
     test = predict(model, split.filter("is_test"), features)

@@ -564,7 +564,7 @@ def model_alerts(spark, data_dir):
 
 
 def _labelled(spark, data_dir) -> DataFrame:
-    rows = sequence_features(beacons(spark, data_dir))
+    rows = materialise(sequence_features(beacons(spark, data_dir)), "features")  # read for both labels
     return supervised.labelled_union(
         rows.filter("label = 0").drop("label"), rows.filter("label = 1").drop("label")
     )

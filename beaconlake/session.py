@@ -81,12 +81,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(found)
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, parts: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Later plans then start from files: lost executors re-read instead of recomputing, and
-    Catalyst picks join strategies from the real table size.
+    Catalyst picks join strategies from the real table size. ``parts`` deals the rows to so many files,
+    for tables whose readers do much work on few bytes.
     """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df if parts is None else df.repartition(parts)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

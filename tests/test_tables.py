@@ -1,17 +1,43 @@
 """Inventory, profiles, deviations, analysis and import."""
 
+import math
+import random
 import statistics
 
 import pytest
 from places import AP
 from pyspark.sql import functions as F
 
-from beaconlake.operators import analysis, inventory, profiles
+from beaconlake.operators import analysis, inventory, profiles, ranking
 from beaconlake.operators.deviations import profile_deviations
 from beaconlake.operators.ranking import bucketed_row_number, quantiles
 from beaconlake.sources import tables
 
 
+@pytest.mark.parametrize("narrow", [100_000, 0])
+def test_selection_of_quantiles(spark, monkeypatch, narrow):
+    """All values at once, and in rounds of ever finer cells; ties, signs, sizes and missing keys."""
+    monkeypatch.setattr(ranking, "NARROW", narrow)
+    draw = random.Random(6)
+    groups = {
+        "tiny": [draw.gauss(0, 1e-9) for _ in range(300)], "close": [0.25 + i * 2**-54 for i in range(200)],
+        "wide": [draw.choice([-1, 1]) * 10 ** draw.uniform(-300, 300) for _ in range(300)], "one": [7.5],
+        "ties": [float(draw.randint(-2, 2)) for _ in range(200)], None: [-0.0, 0.0, 3.0, -5.0], "two": [1.0, 2.0],
+    }
+    rows = [(k, v) for k, values in groups.items() for v in values]
+    probs = {"q0": 0.0, "q1": 0.25, "m": 0.5, "q3": 0.9, "q4": 1.0}
+    got = {r["k"]: r for r in ranking.quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", probs).collect()}
+    assert got.keys() == groups.keys()
+    for k, values in groups.items():
+        ordered = sorted(values)
+        for name, p in probs.items():
+            place = (len(ordered) - 1) * p
+            low, high = ordered[math.floor(place)], ordered[math.ceil(place)]
+            assert got[k][name] == low + (high - low) * (place - math.floor(place)), (k, name)
+    empty = spark.createDataFrame([], "k string, v double")
+    assert ranking.quantiles(empty, ["k"], "v", probs).collect() == []
+
+
 def test_hidden_name_is_revealed_later(make_beacons):
     rows = make_beacons(
         [{"ssid": "<Hidden>", "channel": 6}, {"ssid": "Named", "channel": 0}, {"ssid": "Other", "rssi": 0}]
