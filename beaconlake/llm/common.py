@@ -15,6 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_name(name: str, taken: list[str]) -> str:
+    """A column name that no input column bears, whatever the letter case."""
+    used = {c.lower() for c in taken}
+    name = f"__{name}"
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def text_bytes(text) -> bytes:
     """UTF-8 of a text; missing text has no bytes."""
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconlake.llm.common import UID, slices, text_bytes
+from beaconlake.llm.common import fresh_name, slices, text_bytes
 from beaconlake.session import materialise
 
 #: Labelled rows that the trigram model is fitted on, about, and how many more each rarer language may
@@ -269,7 +269,16 @@ def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def keep_identified(documents: DataFrame) -> DataFrame:
-    """The documents whose language is accepted, with their columns."""
-    rows = materialise(documents.withColumn(UID, F.monotonically_increasing_id()), "language-rows")
-    rejected = identify_documents(rows, [UID]).filter("NOT accepted").select(UID)
-    return rows.join(rejected, UID, "left_anti").select(*documents.columns)
+    """The documents whose language is accepted, with their columns.
+
+    A decision depends on text, ``lang`` and ``source`` alone (and on sums over all rows), so rows are
+    told apart by a digest of these and neither numbered nor copied: rejected digests are stored, and
+    the input is filtered by them. Missing and empty texts have no letters and go, repeated rows
+    fare alike, and an empty table gives no rows. Other columns, whatever their names, are kept.
+    """
+    name = fresh_name("digest", documents.columns)
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in ("text", "lang", "source")]
+    marked = documents.withColumn(name, F.sha2(F.concat_ws("\u0000", *parts), 256))
+    found = identify_documents(marked.select(name, "text", "lang", "source"), [name])
+    rejected = materialise(found.filter("NOT accepted").select(name).distinct(), "language-rejected")
+    return marked.join(rejected, name, "left_anti").select(*documents.columns)

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from samples import DATA
 
+from pyspark.sql import functions as F
+
 from beaconlake.llm.language import (
     fit_trigrams, identify_documents, identify_pages, keep_identified, letters, page_parts, posterior, trigrams,
 )
@@ -83,6 +85,11 @@ def test_odd_rows(odd_documents, no_documents):
     assert not any(r.accepted for r in rows if r.doc_id in (1, 2, 3, 8, 10))
     assert identify_documents(no_documents, ["doc_id"]).collect() == []
     assert keep_identified(no_documents).collect() == []
+    named = odd_documents.withColumn("__digest", F.lit("mine")).withColumn("__DIGEST_", F.lit("too"))
+    kept = keep_identified(named)
+    assert kept.columns == named.columns and {(r["__digest"], r["__DIGEST_"]) for r in kept.collect()} == {("mine", "too")}
+    accepted = sorted(str(r.doc_id) for r in rows if r.accepted)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == accepted
 
 
 def test_without_known_languages(make_documents):
