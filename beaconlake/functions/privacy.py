@@ -1,5 +1,6 @@
 """Scrubbing expressions: literal names, home paths and hardware addresses in text."""
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ WORD = r"[\p{L}\p{N}_]"
 MAC_PATTERN = rf"(?=[0-9A-Fa-f]{{2}}[:-])(?<!{WORD})(?:[0-9A-Fa-f]{{2}}[:-]){{5}}[0-9A-Fa-f]{{2}}(?!{WORD})"
 HOME_PATTERN = "(?U)/home/[^/\\s\"']+/"
 HOME_REPLACEMENT = "/home/user/"
+# Entries of a mapping up to which each is a call of its own.
+NESTED_ENTRIES = 32
 EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
@@ -31,12 +34,48 @@ def _pseudonym_of(plain: Column) -> Column:
 
 
 def replace_literals(text: Column, mapping: dict[str, str]) -> Column:
-    """Replace each key by its value, longest key first."""
-    for old, new in sorted(mapping.items(), key=lambda pair: len(pair[0]), reverse=True):
+    """Replace each key by its value, longest key first; a later key sees what earlier ones have made.
+
+    Few entries become nested calls. Of many, a text has but a few, so each text's own pieces are looked up
+    among the keys instead of trying every key on it.
+    """
+    ordered = sorted(mapping.items(), key=lambda pair: len(pair[0]), reverse=True)
+    if len(ordered) > NESTED_ENTRIES:
+        return _replace_many(ordered)(text)
+    for old, new in ordered:
         text = F.replace(text, F.lit(old), F.lit(new))
     return text
 
 
+def replace_in_order(text: str, ordered: list[tuple[str, str]], places: dict[int, dict[str, int]]) -> str:
+    """The text after all entries in turn; those that do not occur when their turn comes are passed over.
+
+    ``places`` has the number of each key in ``ordered``, by length of the key, longest first.
+    """
+    for length, keys in places.items():
+        at = -1
+        while True:
+            pieces = {text[i : i + length] for i in range(len(text) - length + 1)}
+            later = [keys[p] for p in pieces if p in keys and keys[p] > at]
+            if not later:
+                break
+            at = min(later)
+            text = text.replace(*ordered[at])
+    return text
+
+
+def _replace_many(ordered: list[tuple[str, str]]):
+    places: dict[int, dict[str, int]] = {}
+    for number, (old, _) in enumerate(ordered):
+        places.setdefault(len(old), {})[old] = number
+
+    @F.pandas_udf("string")
+    def replaced(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: replace_in_order(t, ordered, places), na_action="ignore")
+
+    return replaced
+
+
 def replace_home_paths(text: Column) -> Column:
     return F.regexp_replace(text, HOME_PATTERN, HOME_REPLACEMENT)
 

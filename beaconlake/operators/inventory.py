@@ -47,6 +47,43 @@ def network_inventory(beacons: DataFrame) -> DataFrame:
     return _sightings(beacons, "bssid").groupBy("bssid").agg(*_inventory_columns())
 
 
+#: How partial rows of one access point merge; the structs carry the times that decide.
+NETWORK_PARTIALS = {
+    "named": "min(named)", "tuned": "max(tuned)", "latest": "max(latest)", "beacons": "sum(beacons)",
+    "first_seen_us": "min(first_seen_us)", "last_seen_us": "max(last_seen_us)",
+}
+
+
+def network_partials(beacons: DataFrame) -> DataFrame:
+    """Partial rows of the inventory, one for each distinct sighting; ``NETWORK_PARTIALS`` merges them."""
+    last = F.struct("last_us", *SIGHTED)
+    return _sightings(beacons, "bssid").select(
+        "bssid", F.when(F.col("ssid") != HIDDEN, F.struct("first_us", "ssid")).alias("named"),
+        F.when(F.col("channel") != 0, last).alias("tuned"), last.alias("latest"), F.col("n").alias("beacons"),
+        F.col("first_us").alias("first_seen_us"), F.col("last_us").alias("last_seen_us"),
+    )
+
+
+def inventory_of(partials: DataFrame) -> DataFrame:
+    """The inventory from merged partial rows, one per access point."""
+    return partials.select(
+        "bssid", F.coalesce("named.ssid", F.lit(HIDDEN)).alias("ssid"),
+        F.coalesce("tuned.channel", F.lit(0)).alias("channel"), F.col("latest.rssi").alias("rssi"),
+        F.col("latest.security").alias("security"), "beacons", "first_seen_us", "last_seen_us",
+    )
+
+
+def collection_totals(partials: DataFrame) -> DataFrame:
+    """One row: beacons, distinct access points, and time, name and signal of the latest beacon."""
+    return partials.agg(
+        F.coalesce(F.sum("beacons"), F.lit(0)).alias("beacons"), F.count("bssid").alias("access_points"),
+        F.max("latest").alias("latest"),
+    ).select(
+        "beacons", "access_points", F.col("latest.last_us").alias("latest_us"),
+        F.col("latest.ssid").alias("latest_ssid"), F.col("latest.rssi").alias("latest_rssi"),
+    )
+
+
 def strongest_first(networks: DataFrame, top: int | None = None) -> DataFrame:
     """Networks by signal, strongest first; a missing signal (0) sorts as strongest."""
     ordered = networks.orderBy(F.desc(F.coalesce("rssi", F.lit(NO_SIGNAL))), "bssid")

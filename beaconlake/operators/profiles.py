@@ -16,21 +16,22 @@ TRIM_ABOVE = 10
 NORMAL_JUMP_BELOW = 100
 
 
-def _summaries(observations: DataFrame, skew: str, keep: str) -> DataFrame:
-    """One row per ``bssid, field``: rows, mean, std, min, max of kept values, and the mode.
+def profile_counts(observations: DataFrame, skew: str = "clock_skew") -> DataFrame:
+    """``bssid, field, num, txt, n``: how often an access point has each value of each field.
 
-    ``skew`` and ``keep`` are SQL; ``keep`` may use ``field, num, q1, q3, rows``. Everything after
-    the value counts works on distinct values, so a hot access point is as cheap as its value
-    domain.
+    Counts of separate sessions add up, so they are what incremental profiles are kept as. ``skew`` is SQL.
     """
     numbers = {name: name for name in [*NUMBER_MODES, "rssi", "seq_jump"]}
     numbers |= {"clock_skew": skew, "beacons": "1"}
-    counts = value_counts(observations, ["bssid"], numbers, {c: c for c in TEXT_MODES})
-    return summaries_of(materialise(counts, "value-counts"), keep)
+    return value_counts(observations, ["bssid"], numbers, {c: c for c in TEXT_MODES})
 
 
 def summaries_of(counts: DataFrame, keep: str) -> DataFrame:
-    """The summaries from a stored table of value counts."""
+    """One row per ``bssid, field``: rows, mean, std, min, max of kept values, and the mode.
+
+    ``counts`` is a stored table of value counts. ``keep`` is SQL and may use ``field, num, q1, q3, rows``.
+    Everything works on distinct values, so a hot access point is as cheap as its value domain.
+    """
     # Only skews are trimmed, so only they need quartiles.
     quartiles = selected(counts.filter("field = 'clock_skew'"), ["bssid"], {"q1": 0.25, "q3": 0.75})
     marked = same_keys(counts, quartiles, ["bssid"]).selectExpr(
@@ -84,7 +85,12 @@ def _built() -> Column:
 
 
 def build_profiles(observations: DataFrame, min_rows: int = MIN_PROFILE_ROWS) -> DataFrame:
-    """Profiles of every access point with at least ``min_rows`` observations.
+    """Profiles of every access point with at least ``min_rows`` observations."""
+    return profiles_of(materialise(profile_counts(observations), "value-counts"), min_rows)
+
+
+def profiles_of(counts: DataFrame, min_rows: int = MIN_PROFILE_ROWS) -> DataFrame:
+    """Profiles from a stored table of value counts.
 
     Clock-skew statistics use all rows (also those without a valid measurement) after trimming at
     1.5 interquartile ranges; sequence-jump statistics use jumps below 100.
@@ -107,7 +113,7 @@ def build_profiles(observations: DataFrame, min_rows: int = MIN_PROFILE_ROWS) ->
         _statistic("seq_jump", "std", "seq_jump_std"),
     ]
     return (
-        _summaries(observations, "clock_skew", keep)
+        summaries_of(counts, keep)
         .groupBy("bssid")
         .agg(*_modes(), *statistics, F.expr(_pick("beacons", "kept")).alias("total_beacons"))
         .filter(F.col("total_beacons") >= min_rows)
@@ -139,7 +145,7 @@ def build_single_ap_profiles(
         F.expr(f"coalesce({_pick('clock_skew', 'kept')}, 0) AS valid_skew_samples"),
     ]
     return (
-        _summaries(observations, skew, "true")
+        summaries_of(materialise(profile_counts(observations, skew), "value-counts"), "true")
         .groupBy("bssid")
         .agg(*_modes(), *statistics, F.expr(_pick("beacons", "kept")).alias("total_beacons"))
         .filter(F.col("total_beacons") >= min_rows)

@@ -15,7 +15,7 @@ from beaconlake.operators.deviations import profile_deviations
 from beaconlake.operators.features import sequence_features
 from beaconlake.operators.iforest import Forest, fit_global, fit_per_ap, score_range
 from beaconlake.operators.rules import evidence, evidence_contribution, with_reasons
-from beaconlake.plans.capture import beacons, frames
+from beaconlake.plans.capture import beacons, frames, frames_from_beacons
 from beaconlake.plans.detection import baseline_profiles, detect, score_frames
 from beaconlake.plans.single_ap import profile_one_ap
 from beaconlake.session import materialise, new_path
@@ -102,6 +102,53 @@ def scanned_networks(spark, data_dir):
     return inventory.network_inventory(observations(decoded))
 
 
+@query
+def live_networks(spark, data_dir):
+    """The list of networks after frames have arrived in four batches."""
+    folder, path = new_path(spark, "arriving"), new_path(spark, "live-networks")
+    frames(spark, data_dir).repartition(4, "frame_id").write.parquet(folder)
+    arriving = live.read_frames(spark, folder, maxFilesPerTrigger=1)
+    heard = observations(decode_frames(arriving, keep_bare=True))
+    live.live_networks(heard, path, new_path(spark, "live-checkpoint")).awaitTermination()
+    return live.network_list(spark, path)
+
+
+@query
+def collection_totals(spark, data_dir):
+    """Counters of a collection that was stopped and started again."""
+    table, checkpoint, totals = (new_path(spark, f"totals-{n}") for n in ("rows", "checkpoint", "networks"))
+    middle = frames(spark, data_dir).agg(F.expr("(min(capture_us) + max(capture_us)) div 2")).first()[0]
+    parts = new_path(spark, "totals-frames")
+    for early in (True, False):
+        part = frames(spark, data_dir).filter((F.col("capture_us") <= middle) == F.lit(early))
+        tables.append_table(part.coalesce(1), parts)
+        live.collect_baseline(live.read_frames(spark, parts), table, checkpoint, totals).awaitTermination()
+    return live.session_totals(spark, totals)
+
+
+@query
+def security_ladder(spark, data_dir):
+    """Frames with RSN, with WPA only, with the privacy bit only, and with neither; by frame number."""
+    rung = F.col("frame_id") % 4
+    planned = beacons(spark, data_dir).withColumns(
+        {
+            "security": F.when(rung == 0, "WPA2/WPA3").otherwise("none"),
+            "capabilities": F.when(rung == 3, 1).otherwise(17),
+        }
+    )
+    wpa = F.when(F.col("frame_id") % 4 == 1, F.unhex(F.lit("DD060050F2010100"))).otherwise(F.unhex(F.lit("")))
+    sent = frames_from_beacons(planned).withColumn("frame", F.concat("frame", wpa))
+    decoded = observations(decode_frames(sent))
+    return decoded.select("frame_id", "security")
+
+
+@query
+def revealed_names(spark, data_dir):
+    """Access points that hide their name in four of five frames."""
+    hidden = F.when(F.col("frame_id") % 5 > 0, "<Hidden>").otherwise(F.col("ssid"))
+    return inventory.network_inventory(beacons(spark, data_dir).withColumn("ssid", hidden))
+
+
 @query
 def ie_elements(spark, data_dir):
     elements = element_table(decode_frames(frames(spark, data_dir)))
@@ -242,6 +289,20 @@ def profile_upsert(spark, data_dir):
     return spark.read.parquet(path).select("bssid", "security", "ie_count", "total_beacons")
 
 
+@query
+def missing_columns(spark, data_dir):
+    """What an import says of tables without some of the columns it needs."""
+    rows, said = beacons(spark, data_dir), []
+    for name, required, lacking in (
+        ("profiles", tables.PROFILE_COLUMNS, rows.drop("rssi", "security")), ("models", tables.MODEL_COLUMNS, rows.drop("bssid")),
+    ):
+        try:
+            tables.require_columns(lacking.withColumns({"seq_jump": F.lit(0), "clock_skew": F.lit(0.0)}), required)
+        except ValueError as error:
+            said.append(rows.agg(F.count("*").alias("rows")).select(F.lit(name).alias("import"), "rows", F.lit(str(error)).alias("said")))
+    return said[0].union(said[1])
+
+
 # --- Profiles
 
 
@@ -251,6 +312,17 @@ def ap_profiles(spark, data_dir):
     return _rounded(rows.drop("profile_built"), 8, *PROFILE_STATISTICS)
 
 
+@query
+def merged_profiles(spark, data_dir):
+    """Profiles of the baseline, added to a store in three sessions, and an empty one."""
+    rows = _base(spark, data_dir)
+    store, profiled = new_path(spark, "profile-sessions"), None
+    for number in range(4):
+        session = rows.filter(f"pmod(frame_id div 7, 3) = {number}")
+        profiled = tables.add_session(spark, session, store, number)
+    return _rounded(profiled.drop("profile_built"), 8, *PROFILE_STATISTICS)
+
+
 @query
 def profile_listing(spark, data_dir):
     return _rounded(profiles.profile_listing(_profiles(spark, data_dir)), 8, "clock_skew_mean")
@@ -315,6 +387,22 @@ def evidence_points(spark, data_dir):
     return evidence_contribution(_scored(spark, data_dir))
 
 
+@query
+def unknown_access_points(spark, data_dir):
+    """Profiles of half the access points only: evidence and deviations of the frames of the others."""
+    known = _profiles(spark, data_dir).filter("CAST(right(bssid, 2) AS INT) % 2 = 0")
+    rows = beacons(spark, data_dir)
+    judged = score_frames(rows, known).filter("CAST(right(bssid, 2) AS INT) % 2 = 1")
+    measured = profile_deviations(sequence_features(rows), known)
+    return judged.select("frame_id", "ev_duplicate_sequence", "ev_ie_count", "ev_security", "suspicious", "threat_score").join(
+        measured.select(
+            "frame_id", "clock_skew_deviation", "rssi_deviation", "ie_count_match", "rate_count_match",
+            "security_match", "channel_match",
+        ),
+        "frame_id",
+    )
+
+
 @query
 def suspicious_streaks(spark, data_dir):
     rows = alerting.suspicion_streaks(_scored(spark, data_dir))
@@ -505,6 +593,22 @@ def forest_scaling(spark, data_dir):
     )
 
 
+@query
+def nonfinite_features(spark, data_dir):
+    """Training rows with NaN and infinite values: left out of the models of access points, 0 in the global one."""
+    base = _base(spark, data_dir)
+    known = materialise(profiles.build_profiles(base), "profiles")
+    odd = F.col("frame_id") % 10
+    planted = base.withColumn(
+        "clock_skew", F.when(odd == 0, float("nan")).when(odd == 1, float("inf")).otherwise(F.col("clock_skew"))
+    )
+    per_ap = fit_per_ap(planted, known, trees=1).params.select("model_key", "rows", F.col("means")[0].alias("mean"))
+    whole = fit_global(planted, trees=1)
+    at = whole.features.index("clock_skew")
+    overall = whole.params.select("model_key", "rows", F.col("means")[at].alias("mean"))
+    return _rounded(per_ap.union(overall), 9, "mean")
+
+
 @query
 def forest_nodes(spark, data_dir):
     """Per access point: trees, rows of their leaves, and whether nodes are odd and depth is bounded."""
@@ -636,6 +740,19 @@ def classification_report(spark, data_dir):
     )
 
 
+@query
+def training_refused(spark, data_dir):
+    """What training says of rows of one class, and of too few rows."""
+    rows, said = beacons(spark, data_dir), []
+    few = rows.filter("frame_id < 19")
+    for name, part in (("one class", rows.filter("label = 0")), ("few rows", few)):
+        try:
+            supervised.check_trainable(part)
+        except ValueError as error:
+            said.append(part.agg(F.count("*").alias("rows")).select(F.lit(name).alias("given"), "rows", F.lit(str(error)).alias("said")))
+    return said[0].union(said[1])
+
+
 def _trained(spark, data_dir):
     return supervised.train_baseline(_labelled(spark, data_dir))
 
@@ -696,6 +813,14 @@ def scrub_text(spark, data_dir):
     return privacy.scrub_text(_notes(spark, data_dir), ["text"], SSID_MAP, PATH_MAP)
 
 
+@query
+def scrub_many_names(spark, data_dir):
+    """A mapping of 20,000 names: the longest first, and a name made by one entry is an entry itself."""
+    names = {f"NET_{i:05d}_GONE": f"gone {i}" for i in range(19_988)}
+    names |= {f"LAB_AP_{i:02d}": f"NET_{i:03d}" for i in range(9)} | {"NET_003": "three", "AP": "ap", "NET_0": "net "}
+    return privacy.scrub_text(_notes(spark, data_dir), ["text"], names)
+
+
 @query
 def scrub_documents(spark, data_dir):
     """Whole documents with an address and a home path appended, scrubbed."""

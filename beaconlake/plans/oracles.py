@@ -282,6 +282,10 @@ ORACLES: dict[str, str] = {
                         CASE WHEN frame_id % 150 = 2 THEN 'Open' ELSE security END AS security)
       FROM beacons WHERE frame_id % 150 > 1)
       SELECT bssid, {INVENTORY} FROM seen GROUP BY bssid""",
+    "collection_totals": f"""WITH {BEACONS}, seen AS (SELECT * FROM beacons WHERE {USABLE_FRAME})
+      SELECT count(*) AS beacons, count(DISTINCT bssid) AS access_points, max(capture_us) AS latest_us,
+        arg_max(ssid, (capture_us, ssid, channel, rssi, security)) AS latest_ssid,
+        arg_max(rssi, (capture_us, ssid, channel, rssi, security)) AS latest_rssi FROM seen""",
     "ie_elements": f"""WITH {BEACONS}, parts AS (
       SELECT *, rate_count > 8 AS extended, security = 'WPA2/WPA3' AS rsn FROM beacons WHERE {USABLE_FRAME}
     ), sized AS (
@@ -333,6 +337,7 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT bssid, security, ie_count, total_beacons FROM profiles
       WHERE bssid NOT IN (SELECT bssid FROM newer)""",
     "ap_profiles": f"{WITH_PROFILES} SELECT {PROFILE_ROW} FROM profiles",
+    "merged_profiles": f"{WITH_PROFILES} SELECT {PROFILE_ROW} FROM profiles",
     "profile_listing": f"""{WITH_PROFILES} SELECT substr(ssid, 1, 24) AS ssid, bssid, ie_count, rate_count,
       round(clock_skew_mean, 8) AS clock_skew_mean, total_beacons FROM profiles""",
     "skipped_aps": f"""WITH {BEACONS} SELECT CASE WHEN frame_id % 997 = 0 THEN bssid || '-' || frame_id
@@ -509,3 +514,29 @@ ORACLES: dict[str, str] = {
         '.zip', 'd'][page_id % 6 + 1] AS path FROM pages
       WHERE page_id % 6 IN (0, 4, 5) AND page_id % 10 <> 0""",
 }
+ORACLES["live_networks"] = ORACLES["scanned_networks"]
+MANY_NAMES = {f"LAB_AP_{i:02d}": f"NET_{i:03d}" for i in range(9)} | {"NET_003": "three", "AP": "ap", "NET_0": "net "}
+ORACLES |= {
+    "security_ladder": f"""WITH {BEACONS} SELECT frame_id,
+      CASE frame_id % 4 WHEN 0 THEN 'WPA2/WPA3' WHEN 1 THEN 'WPA' WHEN 2 THEN 'WEP' ELSE 'Open' END AS security
+      FROM beacons WHERE {USABLE_FRAME}""",
+    "revealed_names": f"""WITH {BEACONS}, seen AS (
+      SELECT * REPLACE (CASE WHEN frame_id % 5 > 0 THEN '<Hidden>' ELSE ssid END AS ssid) FROM beacons)
+      SELECT bssid, {INVENTORY} FROM seen GROUP BY bssid""",
+    "missing_columns": f"""WITH {BEACONS} SELECT import, (SELECT count(*) FROM beacons) AS rows, said
+      FROM (VALUES ('profiles', 'missing columns: rssi, security'), ('models', 'missing columns: bssid')) t(import, said)""",
+    "training_refused": f"""WITH {BEACONS}
+      SELECT 'one class' AS given, count(*) AS rows, 'both benign and attack labels are required' AS said
+      FROM beacons WHERE label = 0
+      UNION ALL SELECT 'few rows', count(*), 'at least 20 observations are required' FROM beacons WHERE frame_id < 19""",
+    "unknown_access_points": f"""WITH {BEACONS} SELECT frame_id, CAST(0 AS INT) AS ev_duplicate_sequence,
+      CAST(0 AS INT) AS ev_ie_count, CAST(0 AS INT) AS ev_security, CAST(0 AS INT) AS suspicious,
+      0.0::DOUBLE AS threat_score, 0.0::DOUBLE AS clock_skew_deviation, 0.0::DOUBLE AS rssi_deviation,
+      CAST(1 AS INT) AS ie_count_match, CAST(1 AS INT) AS rate_count_match, CAST(1 AS INT) AS security_match,
+      CAST(1 AS INT) AS channel_match FROM beacons WHERE CAST(right(bssid, 2) AS INT) % 2 = 1""",
+    "nonfinite_features": f"""{WITH_BASE}, planted AS (SELECT *, frame_id % 10 > 1 AS usable FROM base_features)
+      SELECT bssid AS model_key, count(*) FILTER (usable) AS rows, round(avg(clock_skew) FILTER (usable), 9) AS mean
+      FROM planted GROUP BY bssid HAVING count(*) >= 20 AND count(*) FILTER (usable) >= 10
+      UNION ALL SELECT 'all', count(*), round(avg(CASE WHEN usable THEN clock_skew ELSE 0 END), 9) FROM planted""",
+    "scrub_many_names": f"WITH {BEACONS} SELECT frame_id, {_scrubbed_note(MANY_NAMES, {})} AS text FROM beacons",
+}

@@ -70,17 +70,40 @@ def job_scope(spark: SparkSession) -> Iterator[None]:
     finally:
         _SCOPES.reset(token)
         for path in made:
-            location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(location, True)
+            remove_folder(spark, path)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a file or folder exists, on whatever file system the path names."""
+def _located(spark: SparkSession, path: str):
+    """A path and its file system, whatever file system the path names."""
     found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder and what is in it."""
+    found, system = _located(spark, path)
+    system.delete(found, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists."""
+    found, system = _located(spark, path)
     return system.exists(found)
 
 
+def numbered_folders(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers of the completely written folders ``name=<number>`` in ``path``."""
+    found, system = _located(spark, path)
+    if not system.exists(found):
+        return []
+    numbers = []
+    for status in system.listStatus(found):
+        label, _, number = status.getPath().getName().partition("=")
+        if label == name and number.isdigit() and path_exists(spark, f"{path}/{name}={number}/_SUCCESS"):
+            numbers.append(int(number))
+    return sorted(numbers)
+
+
 def materialise(df: DataFrame, label: str, parts: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

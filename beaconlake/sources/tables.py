@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from beaconlake.operators.profiles import upsert_profiles
+from beaconlake.operators.profiles import profile_counts, profiles_of, upsert_profiles
 from beaconlake.operators.supervised import drop_header_rows
 from beaconlake.schema import PROFILE_SCHEMA
-from beaconlake.session import new_path
+from beaconlake.session import materialise, new_path, numbered_folders
+from beaconlake.sources.merged import MergedTable
 
 # The columns that an import must have and those that hold numbers.
 PROFILE_COLUMNS = [
@@ -121,6 +122,25 @@ def store_profile(spark: SparkSession, new: DataFrame, current: str | None = Non
     return path
 
 
+def add_session(spark: SparkSession, session: DataFrame, store: str, number: int) -> DataFrame:
+    """Add a session's observations to the profiles in ``store``; returns all profiles.
+
+    The store keeps value counts, which add up. The session's counts become a delta, and only the profiles of
+    its access points are derived again, from counts; no earlier observation is read. ``number`` rises
+    from session to session; the same number again replaces the session it had.
+    """
+    counts = MergedTable(spark, f"{store}/counts", ["bssid", "field", "num", "txt"], {"n": "sum(n)"})
+    delta = counts.add(profile_counts(session), number)
+    changed = counts.read().join(delta.select("bssid").distinct(), "bssid", "left_semi")
+    derived = profiles_of(materialise(changed, "changed-counts"))
+    earlier = [n for n in numbered_folders(spark, f"{store}/profiles", "version") if n < number]
+    if earlier:
+        derived = upsert_profiles(spark.read.parquet(f"{store}/profiles/version={max(earlier)}"), derived)
+    path = f"{store}/profiles/version={number}"
+    derived.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def append_table(rows: DataFrame, path: str) -> None:
     """Append a batch of rows to a stored table."""
     rows.write.mode("append").parquet(path)

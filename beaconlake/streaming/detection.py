@@ -12,6 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from beaconlake.operators import inventory
 from beaconlake.operators.alerts import alert_log, emitted
 from beaconlake.operators.decode import decode_frames, observations
 from beaconlake.operators.deviations import with_profile
@@ -24,6 +25,7 @@ from beaconlake.schema import (
     SKEW_GAP_US, SKEW_SIGMAS, STRONG_EVIDENCE, SUSPICION_THRESHOLD, UNKNOWN,
 )
 from beaconlake.session import materialise, path_exists
+from beaconlake.sources.merged import MergedTable
 
 # Without it a backlog would be one batch, and one key's share of it one frame. Bytes, because files have any size.
 BATCH_LIMIT = {"maxBytesPerTrigger": str(256 << 20)}
@@ -315,26 +317,66 @@ def read_beacons(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.readStream.schema(BEACON_SCHEMA).options(**_limited(options)).parquet(path)
 
 
-def collect_baseline(frames: DataFrame, table: str, checkpoint: str, **trigger) -> StreamingQuery:
+def networks_table(spark: SparkSession, path: str) -> MergedTable:
+    """The merged partial rows of every network that a live list or a collection has heard."""
+    return MergedTable(spark, path, ["bssid"], inventory.NETWORK_PARTIALS)
+
+
+def live_networks(beacons: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Keep a list of all networks up to date while beacons arrive; ``network_list`` reads it.
+
+    Every batch stores the partial rows of the networks it heard, whatever the number of those heard before.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        networks_table(batch.sparkSession, path).add(inventory.network_partials(batch), number)
+
+    return (
+        beacons.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def network_list(spark: SparkSession, path: str) -> DataFrame:
+    """The networks of a live list as of its last batch."""
+    return inventory.inventory_of(networks_table(spark, path).read())
+
+
+def session_totals(spark: SparkSession, path: str) -> DataFrame:
+    """The running counters of a collection that was given ``totals``: exact, also after a restart."""
+    return inventory.collection_totals(networks_table(spark, path).read())
+
+
+def collect_baseline(
+    frames: DataFrame, table: str, checkpoint: str, totals: str | None = None, **trigger
+) -> StreamingQuery:
     """Decode frames, add features and append them to a table, exactly once.
 
     Each batch reports its beacons, access points and latest capture time; ``CollectionTotals`` adds up.
+    With ``totals`` every batch has its own folder in the table, ``batch=<id>``, and adds to a table of
+    networks, from which ``session_totals`` has the counters of the whole session.
     """
     rows = stream_features(observations(decode_frames(frames), UNKNOWN))
     counted = rows.observe(
         "collection",
         F.count("*").alias("beacons"), F.approx_count_distinct("bssid").alias("access_points"),
         F.max("capture_us").alias("latest_us"),
-    )
-    return (
-        counted.withColumn("label", F.lit(0))
-        .writeStream.format("parquet")
-        .option("path", table)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+    ).withColumn("label", F.lit(0))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+            networks_table(batch.sparkSession, totals).add(inventory.network_partials(batch), number)
+        finally:
+            batch.unpersist()
+
+    writer = counted.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
+    if totals is not None:
+        return writer.foreachBatch(write).start()
+    return writer.format("parquet").option("path", table).outputMode("append").start()
 
 
 def _numbered(alerts: DataFrame, ledger: str, batch: int) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -100,3 +101,18 @@ def test_audit_and_change_report(spark):
 def test_beacons(make_beacons):
     row = O.scrub_beacons(make_beacons([{"ssid": "Mine", "bssid": A}]), {"Mine": "LAB"}).first()
     assert (row["ssid"], row["bssid"]) == ("LAB", PSEUDO_A)
+
+
+def test_many_entries_equal_one_after_the_other(spark):
+    draw = random.Random(12)
+    mapping = {"".join(draw.choices("abc", k=draw.randint(1, 6))): "".join(draw.choices("abc", k=draw.randint(0, 4))) for _ in range(300)}
+    texts = ["".join(draw.choices("abcd", k=draw.randint(0, 60))) for _ in range(200)]
+    want = {}
+    for text in texts:
+        done = text
+        for old, new in sorted(mapping.items(), key=lambda pair: len(pair[0]), reverse=True):
+            done = done.replace(old, new)
+        want[text] = done
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    got = rows.select("text", P.replace_literals(F.col("text"), mapping).alias("done")).collect()
+    assert {r["text"]: r["done"] for r in got} == want | {None: None}
