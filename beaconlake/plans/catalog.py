@@ -1,5 +1,6 @@
 """Named queries over the beacons derived from a data set, one or more per operator."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from beaconlake.plans.capture import beacons, frames, frames_from_beacons
 from beaconlake.plans.detection import baseline_profiles, detect, score_frames
 from beaconlake.plans.single_ap import profile_one_ap
 from beaconlake.session import materialise, new_path
-from beaconlake.sources import tables
+from beaconlake.sources import layout, tables
 from beaconlake.streaming import detection as live
 
 MONITORED = "NOT is_baseline"
@@ -88,6 +89,21 @@ def sliced_features(spark, data_dir):
     return _rounded(rows, 3, "timing_variance")
 
 
+@query
+def bucketed_features(spark, data_dir):
+    """The same features over a bucketed table that was filled by two appends and compacted."""
+    rows, table = beacons(spark, data_dir), f"beacons_{uuid.uuid4().hex}"
+    path = new_path(spark, "bucketed")
+    for half in (0, 1):
+        layout.store_beacons(rows.filter(f"pmod(frame_id, 2) = {half}"), table, path, buckets=8)
+    day = spark.table(table).agg(F.min(layout.DATE)).first()[0]
+    layout.compact_date(spark, table, day)
+    made = sequence_features(spark.table(table)).select(
+        "frame_id", "seq_jump", "clock_skew", "inter_beacon_ms", "timing_variance", "is_seq_duplicate", "seq_dup_delta",
+    )
+    return _rounded(made, 3, "timing_variance")
+
+
 # --- Frames
 
 

@@ -540,3 +540,4 @@ ORACLES |= {
       UNION ALL SELECT 'all', count(*), round(avg(CASE WHEN usable THEN clock_skew ELSE 0 END), 9) FROM planted""",
     "scrub_many_names": f"WITH {BEACONS} SELECT frame_id, {_scrubbed_note(MANY_NAMES, {})} AS text FROM beacons",
 }
+ORACLES["bucketed_features"] = ORACLES["sliced_features"]
