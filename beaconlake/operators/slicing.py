@@ -44,13 +44,14 @@ def with_slices(
 ) -> tuple[DataFrame, bool]:
     """Add ``slice``, and tell whether there is any: null for ordinary keys, a number for hot ones.
 
-    Hot keys are found by one pass over the key and time columns, right away. Without any, the
-    slice is a null literal and Catalyst removes every hot-key branch from later plans. The table
-    of slices is joined without a hint: it is stored, so Catalyst knows its size.
+    Hot keys are found by one pass over the key columns, right away. Without any, the
+    slice is a null literal and Catalyst removes every hot-key branch from later plans; only otherwise
+    the time buckets are counted. The table of slices is joined without a hint: it is stored, so
+    Catalyst knows its size.
     """
-    hot = materialise(hot_slices(df, rows_per_slice, bucket_us), "hot-slices")
-    if hot.isEmpty():
+    if df.groupBy(*KEY).count().filter(F.col("count") > rows_per_slice).isEmpty():
         return df.withColumn("slice", F.lit(None).cast("bigint")), False
+    hot = materialise(hot_slices(df, rows_per_slice, bucket_us), "hot-slices")
     bucketed = df.withColumn("bucket", F.expr(f"capture_us div {bucket_us}"))
     return bucketed.join(hot, [*KEY, "bucket"], "left").drop("bucket"), True
 

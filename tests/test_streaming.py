@@ -1,7 +1,9 @@
+import numpy as np
 import pandas as pd
 import pytest
 from places import DATA
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from beaconlake.operators.features import sequence_features
 from beaconlake.operators.inventory import scan_windows, stream_scan_windows
@@ -83,20 +85,60 @@ def test_models_in_the_state_survive_a_restart(spark, table, profiles, path):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
-def test_a_long_batch_is_taken_in_steps(table, profiles, monkeypatch):
-    rows = table.filter("bssid = '02:10:00:00:00:00'").toPandas()
-    rows = rows.assign(p_known=True, p_ie_count=18.0, p_rate_count=12.0, p_security="WPA2/WPA3",
-                       p_clock_skew_mean=0.0, p_clock_skew_std=1e-5)
+KNOWN = {
+    "p_known": True, "p_ie_count": 18.0, "p_rate_count": 12.0, "p_security": "WPA2/WPA3", "p_clock_skew_mean": 0.0,
+    "p_clock_skew_std": 1e-5,
+}
 
-    def run():
+
+JOINED_SCHEMA = T.StructType(
+    [
+        *BEACON_SCHEMA.fields, T.StructField("p_known", T.BooleanType()),
+        *[T.StructField(c, T.StringType() if c == "p_security" else T.DoubleType()) for c in list(KNOWN)[1:]],
+    ]
+)
+
+
+def held(rows, chunk):
+    """The rows as a batch gives them, some at a time."""
+    return live._held((rows.iloc[at : at + chunk] for at in range(0, len(rows), chunk)), JOINED_SCHEMA)
+
+
+def test_a_long_batch_is_taken_in_steps(table, monkeypatch):
+    rows = table.select(*BEACON_SCHEMA.fieldNames()).filter("bssid = '02:10:00:00:00:00'").toPandas().assign(**KNOWN)
+    rows.loc[rows.index % 9 == 0, ["seq_num", "beacon_timestamp", "security", "p_known"]] = None
+
+    def run(chunk):
         past = dict(live.EMPTY_PAST)
-        return pd.concat(live._advance(rows.sample(frac=1, random_state=3), past, 2, True, None, ())), past
+        return pd.concat(live._advance(held(rows.sample(frac=1, random_state=3), chunk), past, 2, True, None, ())), past
 
-    whole, end = run()
+    whole, end = run(10_000)
     monkeypatch.setattr(live, "STEP_ROWS", 7)
-    steps, last = run()
+    steps, last = run(11)
     assert len(whole) == len(rows) and end == last
-    pd.testing.assert_frame_equal(whole.reset_index(drop=True), steps.reset_index(drop=True))
+    assert whole["is_alert"].sum() == steps["is_alert"].sum()
+    for c in whole.columns:
+        pd.testing.assert_series_equal(
+            whole[c].reset_index(drop=True), steps[c].reset_index(drop=True), check_dtype=False
+        )
+
+
+def test_a_hot_key_fits_a_worker():
+    """A million frames of one key in one batch, held in a small part of what they need as a frame."""
+    n = 1_000_000
+    one = {
+        "frame_id": np.arange(n), "sensor_id": "s", "session_id": "default", "capture_us": np.arange(n) * 100_000, "ssid": "A",
+        "bssid": "02:10:00:00:00:01", "rssi": -50, "channel": 6, "seq_num": np.arange(n) % 4096, "beacon_timestamp": np.arange(n) * 100_000,
+        "beacon_interval": 100, "capabilities": 17, "supported_rates": "1.0,2.0", "rate_count": 12, "security": "Open", "ie_count": 18,
+    }
+    chunks = (pd.DataFrame({c: v[at : at + 10_000] if isinstance(v, np.ndarray) else v for c, v in one.items()} | KNOWN, index=range(10_000))
+              for at in range(0, n, 10_000))
+    table = live._held(chunks, JOINED_SCHEMA)
+    assert table.nbytes < 150 * n
+    past, rows, largest = dict(live.EMPTY_PAST), 0, 0
+    for made in live._advance(table, past, 2, True, None, ()):
+        rows, largest = rows + len(made), max(largest, len(made))
+    assert rows == n and largest == live.STEP_ROWS and past["last_id"] == n - 1 and len(past["seqs"]) == 4096
 
 
 def test_restart_continues_and_late_frames_leave_state_alone(spark, make_beacons, profiles, path):
@@ -152,11 +194,16 @@ def test_scan_windows_come_out_after_the_watermark(spark, table, path):
     assert got.exceptAll(scan_windows(table, 2).select(*got.columns)).count() == 0
 
 
-def test_too_large_forest_is_refused(spark, table, profiles, monkeypatch):
+def test_a_large_forest_is_not_broadcast(spark, table, profiles, path):
+    """Above the limit the models are the stream's initial state, at or below it they are broadcast."""
     forest = fit_per_ap(sequence_features(table.filter("is_baseline")), profiles)
-    monkeypatch.setattr(live, "BROADCAST_NODES", 10)
-    with pytest.raises(ValueError, match="too many to broadcast"):
-        live.stream_detection(table, profiles, forest)
+    feed(table, path("in"), 1)
+    source = live.read_beacons(spark, path("in"))
+    plans = [
+        live.stream_detection(source, profiles, forest, limit)._jdf.queryExecution().analyzed().toString()
+        for limit in (forest.node_count() - 1, forest.node_count())
+    ]
+    assert "TransformWithState" in plans[0] and "TransformWithState" not in plans[1]
 
 
 def test_missing_values_are_like_in_batch(spark, table, profiles, path):
