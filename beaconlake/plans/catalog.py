@@ -122,8 +122,9 @@ def scanned_networks(spark, data_dir):
 def live_networks(spark, data_dir):
     """The list of networks after frames have arrived in four batches."""
     folder, path = new_path(spark, "arriving"), new_path(spark, "live-networks")
-    frames(spark, data_dir).repartition(4, "frame_id").write.parquet(folder)
-    arriving = live.read_frames(spark, folder, maxFilesPerTrigger=1)
+    files = spark.sparkContext.defaultParallelism  # of a batch, so that writing and decoding use every core
+    frames(spark, data_dir).repartition(4 * files, "frame_id").write.parquet(folder)
+    arriving = live.read_frames(spark, folder, maxFilesPerTrigger=files)
     heard = observations(decode_frames(arriving, keep_bare=True))
     live.live_networks(heard, path, new_path(spark, "live-checkpoint")).awaitTermination()
     return live.network_list(spark, path)
