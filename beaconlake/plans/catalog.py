@@ -138,7 +138,7 @@ def collection_totals(spark, data_dir):
     parts = new_path(spark, "totals-frames")
     for early in (True, False):
         part = frames(spark, data_dir).filter((F.col("capture_us") <= middle) == F.lit(early))
-        tables.append_table(part.coalesce(1), parts)
+        live.arrive_in_order(part, parts)
         live.collect_baseline(live.read_frames(spark, parts), table, checkpoint, totals).awaitTermination()
     return live.session_totals(spark, totals)
 
@@ -471,10 +471,17 @@ def detection_totals(spark, data_dir):
     )
 
 
+def _arriving(spark, rows: DataFrame) -> str:
+    """A folder in which the rows of a table arrive in the order of capture."""
+    folder = new_path(spark, "arriving")
+    live.arrive_in_order(rows, folder)
+    return folder
+
+
 @query
 def collected_table(spark, data_dir):
     """The streaming collector over the whole frames table: decode, features, append."""
-    folder = frames(spark, data_dir).inputFiles()[0].rsplit("/", 1)[0]
+    folder = _arriving(spark, frames(spark, data_dir))
     path, checkpoint = new_path(spark, "collected"), new_path(spark, "collector-checkpoint")
     live.collect_baseline(live.read_frames(spark, folder), path, checkpoint).awaitTermination()
     return spark.read.parquet(path).select(
@@ -486,8 +493,7 @@ def collected_table(spark, data_dir):
 @query
 def stream_alerts(spark, data_dir):
     """The streaming job over the whole beacons table, run until it has caught up."""
-    table = beacons(spark, data_dir)
-    folder = table.inputFiles()[0].rsplit("/", 1)[0]
+    folder = _arriving(spark, beacons(spark, data_dir))
     detected = live.stream_detection(
         live.read_beacons(spark, folder), _profiles(spark, data_dir)
     )
@@ -523,7 +529,7 @@ def stream_model_alerts(spark, data_dir):
     want = materialise(batch.select("frame_id", *compared), "batch-frames")
     raised = materialise(alerting.confirmed_alerts(batch).select("frame_id"), "batch-alerts")
     known_path = known.inputFiles()[0].rsplit("/", 1)[0]
-    folder = beacons(spark, data_dir).inputFiles()[0].rsplit("/", 1)[0]
+    folder = _arriving(spark, beacons(spark, data_dir))
     results = []
     for way, limit in (("broadcast", None), ("state", 0)):
         apart = _session_for_models(spark)

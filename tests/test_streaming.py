@@ -241,3 +241,23 @@ def test_alert_numbers_come_from_the_ledger(spark, table, profiles, path):
     numbers = sorted(r[0] for r in spark.read.parquet(path("alerts")).select("alert_number").collect())
     assert numbers == list(range(1, len(numbers) + 1))
     assert spark.read.parquet(path("state") + "-ledger").agg(F.max("alerts")).first()[0] == len(numbers)
+
+
+def test_a_stored_table_arrives_in_order(spark, table, profiles, path):
+    """In several batches no frame is late, whatever files the table has."""
+    stored = table.repartition(5, "frame_id")
+    live.arrive_in_order(stored, path("in"), file_rows=stored.count() // 4)
+    source = live.read_beacons(spark, path("in"), maxFilesPerTrigger=1)
+    query = live.run_detection(live.stream_detection(source, profiles), path("alerts"), path("state"), late_path=path("late"))
+    query.awaitTermination()
+    assert len(query.recentProgress) >= 4
+    assert spark.read.parquet(path("late")).count() == 0
+    got, want = spark.read.parquet(path("alerts")).select(*ALERT), detect(table, profiles).select(*ALERT)
+    assert want.count() > 0
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_a_batch_of_one_key_fits_a_worker():
+    """At some 500 bytes a held beacon and 18 a stored one, a whole batch of one key stays below 2 GB."""
+    assert int(live.BATCH_LIMIT["maxBytesPerTrigger"]) / 18 * 500 < 2e9
+    assert live.STEP_ROWS <= 1 << 14
