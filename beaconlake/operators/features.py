@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from beaconlake.functions import sequence as S
 from beaconlake.functions.frames import security_code
 from beaconlake.operators.deviations import with_profile
-from beaconlake.operators.slicing import SLICED_KEY, halo, with_slices
+from beaconlake.operators.slicing import SLICED_KEY, dealt_by_slice, halo, with_slices
 from beaconlake.schema import HISTORY, MIN_HISTORY, ORDER
 
 
@@ -19,13 +19,13 @@ def sequence_features(
     on the same columns. Profiles are joined below that exchange: a later join by access point
     would bring the slices of a hot one together again.
     """
-    sliced, any_hot = with_slices(beacons, **slicing)
+    sliced, counted = with_slices(beacons, **slicing)
     rows = sliced if profiles is None else with_profile(sliced, profiles)
     rows = rows.withColumn("_halo", F.lit(False))
-    if any_hot:
+    if counted:
         earlier = halo(sliced).withColumn("_halo", F.lit(True))
         # Dealt out by slice: what a join by access point leaves would satisfy the windows too.
-        rows = rows.unionByName(earlier, allowMissingColumns=True).repartition(*SLICED_KEY)
+        rows = dealt_by_slice(rows.unionByName(earlier, allowMissingColumns=True), counted)
     in_seq = Window.partitionBy(*SLICED_KEY, "seq_num").orderBy(*ORDER)
     in_time = Window.partitionBy(*SLICED_KEY).orderBy(*ORDER)
     recent = in_time.rowsBetween(1 - HISTORY, 0)

@@ -155,3 +155,24 @@ def test_slices_survive_the_profile_join(spark, make_beacons):
     window = next(i for i, line in enumerate(lines) if "Window [" in line and "_clear_at" in line)
     exchange = next(line for line in lines[window:] if "Exchange hashpartitioning" in line)
     assert "slice" in exchange
+
+
+def test_sliced_rows_stay_in_many_tasks(make_beacons, monkeypatch):
+    """Adaptive execution does not join the tasks of slices, however well their rows compress."""
+    from beaconlake.operators import slicing
+
+    monkeypatch.setattr(slicing, "ROWS_PER_TASK", 10)
+    rows = make_beacons([{"frame_id": i} for i in range(600)])
+    made = sequence_features(rows, rows_per_slice=20, bucket_us=1_000)
+    assert made.select("frame_id", "timing_variance").rdd.getNumPartitions() == 60
+    assert made.count() == 600
+
+
+def test_small_slices_look_back_over_several(make_beacons):
+    """Slices of uneven sizes, most of fewer rows than a row looks back to."""
+    rows = make_beacons([{"frame_id": i, "capture_us": i * 100_000 + i * i % 7_001, "seq_num": i * 7 % 90} for i in range(150)])
+    names = ["frame_id", "seq_jump", "inter_beacon_ms", "is_seq_duplicate", "seq_dup_delta", "clock_skew"]
+    whole = sequence_features(rows).select(*names, F.round("timing_variance", 3).alias("v"))
+    for size in (1, 3, 17):
+        cut = sequence_features(rows, rows_per_slice=size, bucket_us=250_000).select(*names, F.round("timing_variance", 3).alias("v"))
+        assert cut.exceptAll(whole).count() == 0 and cut.count() == 150
