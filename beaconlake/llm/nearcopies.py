@@ -1,11 +1,13 @@
 """Near copies by the Jaccard similarity of word shingles, verified exactly.
 
-Texts of five-word similarity 0.8 have SimHash fingerprints about ten of 64 bits apart, often more than
-fifteen, which touch every byte: no index on byte positions finds them. The index here is made of
-bands of minimum hashes instead. Texts that share a band are candidates; candidates are joined to groups
-over one edge for each text and band, each group gets its texts' shingle sets once, and there a link
-is a similarity of the sets themselves. Within a group links are walked as in ``simhash``: one edge for
-each text reached. Groups are cut into chunks by size and every two chunks are walked together.
+Candidates come from two indexes. The first is that of ``simhash``: fingerprints of the five-word shingles,
+linked over posting lists of byte positions with count filtering. Texts of five-word similarity 0.8 have
+fingerprints about ten of 64 bits apart, often more than fifteen, which touch every byte: no index on byte positions
+finds all of them. So a second index, bands of minimum hashes, adds what lies beyond its radius. Texts that
+either connects are candidates; candidates are joined to groups over one edge for each text and band, each group gets
+its texts' shingle sets once, and there a link is a similarity of the sets themselves. Within a group
+links are walked as in ``simhash``: one edge for each text reached. Groups are cut into chunks by size and
+every two chunks are walked together.
 """
 
 from collections.abc import Iterator
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from beaconlake.llm.common import UID, text_bytes
 from beaconlake.llm.components import components
+from beaconlake.llm.simhash import fingerprint, links
 from beaconlake.session import materialise
 
 WIDTH, SEED = 5, 42
@@ -65,7 +68,8 @@ def _marks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets = [shingle_set(text_bytes(t)) for t in frame["text"]]
         nodes = [xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets]
         yield frame.drop(columns="text").assign(
-            node=np.array(nodes, dtype=np.uint64).view(np.int64), keys=[band_keys(s) for s in sets]
+            node=np.array(nodes, dtype=np.uint64).view(np.int64), keys=[band_keys(s) for s in sets],
+            fp=np.array([fingerprint(text_bytes(t), WIDTH) for t in frame["text"]], dtype=np.uint64).view(np.int64),
         )
 
 
@@ -111,11 +115,15 @@ def _walk_chunks(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def candidate_groups(nodes: DataFrame) -> DataFrame:
-    """``node, root``: the groups of two and more nodes that shared bands connect."""
+    """``node, root``: the groups of two and more nodes that near fingerprints or shared bands connect."""
+    prints = nodes.groupBy("fp").agg(F.min("node").alias("one"))
+    same = nodes.join(prints, "fp").filter("node <> one").selectExpr("one AS u", "node AS v")
+    ends = prints.withColumnsRenamed({"fp": "u", "one": "_u"}), prints.withColumnsRenamed({"fp": "v", "one": "_v"})
+    near = links(prints).distinct().join(ends[0], "u").join(ends[1], "v").selectExpr("_u AS u", "_v AS v")
     index = materialise(nodes.select("node", F.explode("keys").alias("key")), "near-index")
     least = index.groupBy("key").agg(F.min("node").alias("u"), F.count("*").alias("n")).filter("n > 1")
     edges = index.join(least, "key").filter("node <> u").select("u", F.col("node").alias("v")).distinct()
-    others = components(edges)
+    others = components(edges.unionByName(same).unionByName(near).distinct())
     return others.unionByName(others.select(F.col("root").alias("node"), "root").distinct())
 
 
@@ -148,12 +156,12 @@ def keep_one_of_near_copies(documents: DataFrame, chunk: int = CHUNK) -> DataFra
     rows = materialise(documents.withColumn(UID, F.monotonically_increasing_id()), "near-rows")
     kind = rows.schema["doc_id"].dataType.simpleString()
     marks = rows.select("doc_id", UID, "text").mapInPandas(
-        _marks, f"doc_id {kind}, `{UID}` long, node long, keys array<long>"
+        _marks, f"doc_id {kind}, `{UID}` long, node long, keys array<long>, fp long"
     )
     marks = materialise(marks, "near-marks")
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", UID)
-    nodes = marks.groupBy("node").agg(F.min(order).alias("first"), F.first("keys").alias("keys"))
-    nodes = materialise(nodes.select("node", "first", F.col(f"first.{UID}").alias(UID), "keys"), "near-nodes")
+    nodes = marks.groupBy("node").agg(F.min(order).alias("first"), F.first("keys").alias("keys"), F.min("fp").alias("fp"))
+    nodes = materialise(nodes.select("node", "first", F.col(f"first.{UID}").alias(UID), "keys", "fp"), "near-nodes")
     stars = components(verified_links(rows, nodes, chunk))
     rooted = nodes.join(stars, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     first = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col(f"first.{UID}").alias(UID))

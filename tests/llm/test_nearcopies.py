@@ -5,7 +5,7 @@ import pytest
 from samples import DATA
 
 import corpus_pipeline
-from beaconlake.llm.nearcopies import keep_one_of_near_copies
+from beaconlake.llm.nearcopies import candidate_groups, keep_one_of_near_copies
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -79,3 +79,14 @@ def test_odd_rows(odd_documents, no_documents):
     firsts = [min((i for i in ids if i is not None), default=None) for ids in want.values()]
     assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted(i or 0 for i in firsts)
     assert keep_one_of_near_copies(no_documents).collect() == []
+
+
+def test_near_fingerprints_are_candidates(spark):
+    """Texts without a shared band are candidates if their fingerprints are equal or up to three bits apart."""
+    far = 0x0F0F0F0F0F0F0F0F
+    prints = {1: 0, 2: 0, 3: 0b111, 4: far, 5: far ^ (1 << 40), 6: 0x00FF00FF00FF00FF}
+    nodes = spark.createDataFrame([(n, fp, [n * 100]) for n, fp in prints.items()], "node long, fp long, keys array<long>")
+    groups = defaultdict(set)
+    for r in candidate_groups(nodes).collect():
+        groups[r.root].add(r.node)
+    assert sorted(map(sorted, groups.values())) == [[1, 2, 3], [4, 5]]
