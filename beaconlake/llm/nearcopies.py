@@ -14,11 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconlake.llm.common import UID, text_bytes
+from beaconlake.llm.common import UID, batch_slices, text_bytes
 from beaconlake.llm.components import components
 from beaconlake.llm.simhash import fingerprint, links
 from beaconlake.session import materialise
@@ -30,6 +31,8 @@ LEAST = (4, 5)
 BANDS, BAND = 48, 8
 #: Shingles that are hashed at once, and that a chunk of a group has, about.
 HASHED, CHUNK = 1 << 12, 1 << 20
+#: Bytes of text whose shingles are held at once.
+AT_ONCE = 1 << 21
 _RANDOM = np.random.default_rng(SEED)
 FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MASKS = _RANDOM.integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64)
@@ -63,20 +66,32 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
 
 
-def _marks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        sets = [shingle_set(text_bytes(t)) for t in frame["text"]]
-        nodes = [xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets]
-        yield frame.drop(columns="text").assign(
-            node=np.array(nodes, dtype=np.uint64).view(np.int64), keys=[band_keys(s) for s in sets],
-            fp=np.array([fingerprint(text_bytes(t), WIDTH) for t in frame["text"]], dtype=np.uint64).view(np.int64),
-        )
+def _with_texts(made: dict):
+    """All columns but the text, the last one, and those that the functions of ``made`` make of its bytes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batch_slices(batches, "text", AT_ONCE):
+            texts = [text_bytes(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            sets = [shingle_set(t) for t in texts]
+            new = [pa.array([make(t, s) for t, s in zip(texts, sets, strict=True)], kind) for make, kind in made.values()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], *made])
 
-def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        sets = [shingle_set(text_bytes(t)) for t in frame["text"]]
-        yield frame.drop(columns="text").assign(n=[len(s) for s in sets], shingles=[s.tobytes() for s in sets])
+    return run
+
+
+def _signed(number: int) -> int:
+    return number - (number >> 63 << 64)
+
+
+MARKS = {
+    "node": (lambda text, hashes: _signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)), pa.int64()),
+    "keys": (lambda text, hashes: band_keys(hashes), pa.list_(pa.int64())),
+    "fp": (lambda text, hashes: _signed(fingerprint(text, WIDTH)), pa.int64()),
+}
+SETS = {
+    "n": (lambda text, hashes: len(hashes), pa.int64()),
+    "shingles": (lambda text, hashes: hashes.tobytes(), pa.binary()),
+}
 
 
 def walk_sets(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
@@ -134,7 +149,7 @@ def verified_links(rows: DataFrame, nodes: DataFrame, chunk: int = CHUNK) -> Dat
     """
     groups = candidate_groups(nodes).join(nodes.select("node", UID), "node")
     texts = rows.select(UID, "text").join(groups, UID).select("node", F.col("root").alias("grp"), "text")
-    sets = materialise(texts.mapInPandas(_sets, "node long, grp long, n long, shingles binary"), "near-sets")
+    sets = materialise(texts.mapInArrow(_with_texts(SETS), "node long, grp long, n long, shingles binary"), "near-sets")
     sizes = sets.groupBy("grp").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"))
     dealt = sets.join(sizes, "grp").withColumn("c", F.expr("CAST(pmod(xxhash64(node), chunks) AS INT)"))
     partner = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")
@@ -155,8 +170,8 @@ def keep_one_of_near_copies(documents: DataFrame, chunk: int = CHUNK) -> DataFra
     """
     rows = materialise(documents.withColumn(UID, F.monotonically_increasing_id()), "near-rows")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    marks = rows.select("doc_id", UID, "text").mapInPandas(
-        _marks, f"doc_id {kind}, `{UID}` long, node long, keys array<long>, fp long"
+    marks = rows.select("doc_id", UID, "text").mapInArrow(
+        _with_texts(MARKS), f"doc_id {kind}, `{UID}` long, node long, keys array<long>, fp long"
     )
     marks = materialise(marks, "near-marks")
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", UID)

@@ -11,13 +11,15 @@ import base64
 import json
 import zlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from beaconlake.llm.common import batch_slices
 from beaconlake.session import materialise
 
 LENGTH = 1024
@@ -30,35 +32,47 @@ PIECES = (
     " closed boolean, lane long, serial long, offset long, ids array<int>"
 )
 COLUMNS = [c.split()[0] for c in PIECES.split(", ")]
+KINDS = {"closed": pa.bool_(), "ids": pa.list_(pa.int32())}
+BATCH = pa.schema([(c, KINDS.get(c, pa.int64())) for c in COLUMNS])
+#: Bytes of text that become Python strings at once.
+AT_ONCE = 1 << 21
 
 _ENCODERS: dict = {}
 
 
+@cache
+def library(name: str):
+    """The library's own tokenizer, which takes more memory than all else here."""
+    import public_tokenizers
+    import tokenizers
+
+    return tokenizers.Tokenizer.from_file(public_tokenizers.path(name))
+
+
 def encoder(name: str):
     """``text -> uint32 ids`` as the library has them for a byte-level file ``name``.
 
     The rank file of the same vocabulary is used, which encodes several times faster; the
-    special strings stand for their ids, as they do by default in the library.
+    special strings stand for their ids, as they do by default in the library. The library itself is loaded
+    when a text first needs it.
     """
     if name not in _ENCODERS:
         import public_tokenizers
         import regex
         import tiktoken
-        import tokenizers
 
         with open(public_tokenizers.path(name)) as file:
             special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"] if t["special"]}
         with open(public_tokenizers.path(name.replace(".json", ".tiktoken")), "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         plain = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        library = tokenizers.Tokenizer.from_file(public_tokenizers.path(name))
         split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
         def part_ids(part: str) -> list[int]:
             try:
                 return plain.encode(part, disallowed_special=())
             except ValueError:  # the pattern gives up on very long runs of white space
-                return library.encode(part, add_special_tokens=False).ids
+                return library(name).encode(part, add_special_tokens=False).ids
 
         def encode(text: str) -> np.ndarray:
             if split is None or not any(s in text for s in special):
@@ -131,6 +145,12 @@ class Lane:
             self.emit(head)
             left -= size
 
+    def batch(self) -> pa.RecordBatch:
+        done, self.done = self.done, []
+        columns = zip(*done, strict=True) if done else [()] * len(COLUMNS)
+        arrays = [pa.array(list(c), type=f.type) for c, f in zip(columns, BATCH, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, schema=BATCH)
+
     def take(self) -> pd.DataFrame:
         done, self.done = self.done, []
         frame = pd.DataFrame(done, columns=COLUMNS)
@@ -152,19 +172,18 @@ def cut(pieces: list, size: int) -> tuple[list, list]:
 
 
 def _pack(name: str, length: int, windows: int, keep_ids: bool):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode = encoder(name)
         lane = Lane(TaskContext.get().partitionId(), length, windows, keep_ids)
-        for frame in frames:
-            for doc_id, text in zip(frame["doc_id"].astype("Int64"), frame["text"], strict=True):
-                ids = encode(text if isinstance(text, str) else "")
-                lane.document(doc_id, np.append(ids, END_ID).astype("<u4"))
-            yield lane.take()
+        for batch in batch_slices(batches, "text", AT_ONCE):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lane.document(doc_id, np.append(encode(text or ""), END_ID).astype("<u4"))
+            yield lane.batch()
         for pieces in lane.open:
             lane.emit(pieces, closed=False)
-        yield lane.take()
+        yield lane.batch()
 
     return run
 
@@ -204,7 +223,7 @@ def pack(
     """
     rows = documents.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")
     level, found = 0, []
-    made = materialise(rows.mapInPandas(_pack(tokenizer, length, windows, keep_ids), PIECES), "packed")
+    made = materialise(rows.mapInArrow(_pack(tokenizer, length, windows, keep_ids), PIECES), "packed")
     while True:
         number = F.shiftleft(F.lit(level).cast("long"), 58) + F.shiftleft("lane", 33) + F.col("serial")
         found.append(made.filter("closed").withColumn("sequence_id", number))

@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from beaconlake.llm.common import UID
+from beaconlake.llm.common import UID, batch_slices
 from beaconlake.session import materialise
 
 ENTITIES = "__entities"
+#: Bytes of text that become Python strings at once.
+AT_ONCE = 1 << 21
 #: Draws after which a candidate may be longer than the original, and after which the search fails.
 LONGER_AFTER, ATTEMPTS = 8, 200
 
@@ -268,7 +270,7 @@ def _detect(with_entities: bool):
     kind = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batch_slices(batches, "text", AT_ONCE):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             found = [entities_of(t) if t else [] for t in texts]
             if with_entities:
@@ -315,7 +317,7 @@ def surrogates(values: DataFrame, key: bytes) -> DataFrame:
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in batch_slices(batches, "text", AT_ONCE):
         place = batch.schema.get_field_index("text")
         texts = []
         for text, spans in zip(batch.column(place).to_pylist(), batch.column("__spans").to_pylist(), strict=True):

@@ -3,8 +3,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
+from beaconlake.llm import packing
+from beaconlake.llm.common import batch_slices
 from beaconlake.llm.packing import Lane, encoder, pack
 
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -86,3 +89,20 @@ def test_odd_rows(odd_documents, no_documents):
     rows = pack(odd_documents, length=64, windows=2).collect()
     check(rows, [(r.doc_id, r.text) for r in odd_documents.collect()], length=64)
     assert pack(no_documents).collect() == []
+
+
+def test_the_library_is_loaded_only_when_needed(monkeypatch):
+    loaded, load = [], packing.library
+    monkeypatch.setattr(packing, "library", lambda name: loaded.append(name) or load(name))
+    monkeypatch.setattr(packing, "_ENCODERS", {})
+    encode = encoder("byte_bpe_50k.json")
+    assert np.array_equal(encode("it's a <|endoftext|> text"), ids_of("it's a <|endoftext|> text")[:-1]) and not loaded
+    assert np.array_equal(encode(" " * 1_000_000), ids_of(" " * 1_000_000)[:-1]) and loaded
+
+
+def test_few_texts_become_strings_at_once():
+    texts = ["a" * 600, None, "", "é" * 300, "b" * 2500, "c"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, None, 2, 3, 2**60 + 1, 5], "text": texts})
+    parts = [p.to_pylist() for p in batch_slices([batch.slice(0, 0), batch], "text", 1000)]
+    assert [r for part in parts for r in part] == batch.to_pylist()
+    assert all(len(part) == 1 or sum(len((r["text"] or "").encode()) for r in part) <= 1600 for part in parts) and len(parts) > 2
