@@ -1,7 +1,7 @@
 """Named queries over the beacons derived from a data set, one or more per operator."""
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from beaconlake.operators.rules import evidence, evidence_contribution, with_rea
 from beaconlake.plans.capture import beacons, frames, frames_from_beacons
 from beaconlake.plans.detection import baseline_profiles, detect, score_frames
 from beaconlake.plans.single_ap import profile_one_ap
+from beaconlake.schema import SUPERVISED_FEATURES
 from beaconlake.session import materialise, new_path
 from beaconlake.sources import layout, tables
 from beaconlake.streaming import detection as live
@@ -690,8 +691,9 @@ def model_alerts(spark, data_dir):
     return _alert_columns(detect(beacons(spark, data_dir), known, MONITORED, forest))
 
 
-def _labelled(spark, data_dir) -> DataFrame:
-    rows = materialise(sequence_features(beacons(spark, data_dir)), "features")  # read for both labels
+def _labelled(spark, data_dir, columns: Sequence[str] = ("*",)) -> DataFrame:
+    rows = sequence_features(beacons(spark, data_dir)).select(*columns)
+    rows = materialise(rows, "features")  # read for both labels
     return supervised.labelled_union(
         rows.filter("label = 0").drop("label"), rows.filter("label = 1").drop("label")
     )
@@ -777,7 +779,9 @@ def training_refused(spark, data_dir):
 
 
 def _trained(spark, data_dir):
-    return supervised.train_baseline(_labelled(spark, data_dir))
+    # Only what training reads is stored: names tell header rows, security is encoded anew.
+    columns = dict.fromkeys(["sensor_id", "frame_id", "ssid", "label", "security", *SUPERVISED_FEATURES])
+    return supervised.train_baseline(_labelled(spark, data_dir, [*columns]))
 
 
 @query

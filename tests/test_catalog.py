@@ -5,6 +5,8 @@ from compare import connect, differences
 from places import DATA
 
 import __spark_entry__ as driver
+from beaconlake.plans import catalog
+from beaconlake.schema import SUPERVISED_FEATURES
 
 # The corpus operators have tests of their own.
 QUERIES = {name: run for name, run in driver.queries().items() if name not in driver.CORPUS}
@@ -32,3 +34,14 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
+
+
+def test_training_stores_only_what_it_reads(spark, monkeypatch):
+    """Of the features' table; sizes and features are those of training on all columns."""
+    stored, write = {}, catalog.materialise
+    monkeypatch.setattr(catalog, "materialise", lambda df, label: stored.setdefault(label, write(df, label)))
+    _, features, metrics = catalog._trained(spark, DATA)
+    needed = {"sensor_id", "frame_id", "ssid", "label", "security", *SUPERVISED_FEATURES}
+    assert set(stored["features"].columns) == needed
+    whole, wanted, counted = [catalog._labelled(spark, DATA), *metrics.select("train_rows", "test_rows").first()]
+    assert (set(features), wanted + counted) == (set(SUPERVISED_FEATURES), whole.count())
